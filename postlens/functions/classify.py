@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import contains_any, java_regex, strip
+from .text import contains_any, evaluate_once, java_regex, strip
 
 
 def _says(low: Column, signals) -> Column:
@@ -85,7 +85,7 @@ def enrich(listings: DataFrame, text: str = "raw_text") -> DataFrame:
     rent = normal_rent_text if types["rent"] == "string" else normal_rent
     low = F.col("_low")
     return (
-        listings.withColumn("_low", F.lower(text))
+        evaluate_once(listings, "_low", F.lower(text))
         .withColumns({"_veg": _says(low, fv.VEG_SIGNALS), "_non_veg": _says(low, fv.NON_VEG_SIGNALS)})
         .withColumns(
             {

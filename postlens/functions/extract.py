@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .text import (
     bold_digits_to_ascii,
-    contains_any,
+    evaluate_once,
     first_match,
     has_match,
     java_regex,
@@ -172,16 +172,11 @@ def _values(norm: Column) -> dict[str, Column]:
 
 
 def extract_fields(posts: DataFrame, text: str = "text") -> DataFrame:
-    """Add the fifteen extracted columns to ``posts``; the input columns stay.
-
-    The normalised text passes through ``explode`` of a one-element array.  Filters
-    on extracted columns stop there, so the text is normalised once even then, while
-    filters on input columns still reach the scan.
-    """
+    """Add the fifteen extracted columns to ``posts``; the input columns stay."""
     kept = [F.col(c) for c in posts.columns if c not in FIELDS]
     norm = F.col("_norm")
     texts = posts.withColumn("_plain", matching_form(F.col(text)))
-    texts = texts.select("*", F.explode(F.array(F.lower("_plain"))).alias("_norm"))
+    texts = evaluate_once(texts, "_norm", F.lower("_plain"))
     values = _values(norm)
     return texts.withColumns(_captures(norm)).select(*kept, *[values[f].alias(f) for f in FIELDS])
 

@@ -24,7 +24,11 @@ def prediction_object(raw: Column, widest: bool = False) -> Column:
     """
     pattern = fv.MODEL_JSON_WIDEST if widest else fv.MODEL_JSON_FIRST
     found = F.regexp_extract(raw, "(?s)" + pattern, 0)
-    return F.try_parse_json(F.when(found != "", found))
+    # The parser stops after a complete value.  Inside brackets it has to go on to
+    # the end, and more than one element means that there was more than one value.
+    listed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
+    more = F.try_variant_get(listed, "$[1]", "variant").isNotNull()
+    return F.when(~more, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def _field(obj: Column, name: str, kind: str) -> Column:

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
@@ -77,6 +77,16 @@ def has_match(col: Column, pattern: str, needs=()) -> Column:
     return contains_any(col, needs) & match if needs else match
 
 
+def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column that later filters refer to instead of repeating it.
+
+    Spark pushes a filter through projections by copying their expressions into it.
+    It does not push it through ``explode``, here of a one-element array, unless it
+    is on other columns, and those still reach the scan.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strip(col: Column) -> Column:
     """Remove white space of every kind from both ends."""
     return F.trim(col, F.lit(ASCII_SPACES + OTHER_SPACES))

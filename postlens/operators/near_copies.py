@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.text import strip
@@ -107,7 +108,9 @@ def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     sizes = posts.select(
         "part", "node", F.char_length("head").alias("own_size"), F.char_length("text").alias("chars"), "text"
     )
-    fields = sizes.drop("text").schema.add("at", "int").add("gram", "bigint").add("first", "boolean")
+    fields = (
+        sizes.drop("text").schema.add("at", T.IntegerType()).add("gram", T.LongType()).add("first", T.BooleanType())
+    )
     marked = cut_lineage(sizes.mapInArrow(_winnow(), fields), "grams")
 
     # Per gram: where it sits in the heads it stands for, and how long those are.
