@@ -12,18 +12,26 @@ from . import fixed_values as fv
 from .text import contains_any, evaluate_once, java_regex, strip
 
 
-def _says(low: Column, signals) -> Column:
-    return F.coalesce(contains_any(low, signals), F.lit(False))
+def _says(low: str, signals) -> Column:
+    return F.expr(f"coalesce({contains_any(low, signals)}, false)")
 
 
-def listing_type(low: Column) -> Column:
-    return (
-        F.when(contains_any(low, fv.FLATMATE_SIGNALS), F.lit("flatmate"))
-        .when(contains_any(low, fv.ROOM_SIGNALS), F.lit("room"))
-        .otherwise(F.lit("full_flat"))
+def listing_type(low: str) -> Column:
+    """``low``: the lower-cased text as a column name or SQL expression."""
+    return F.expr(
+        f"CASE WHEN {contains_any(low, fv.FLATMATE_SIGNALS)} THEN 'flatmate' "
+        f"WHEN {contains_any(low, fv.ROOM_SIGNALS)} THEN 'room' ELSE 'full_flat' END"
     )
 
 
+def says_veg(low: str) -> Column:
+    return _says(low, fv.VEG_SIGNALS)
+
+
+def says_non_veg(low: str) -> Column:
+    return _says(low, fv.NON_VEG_SIGNALS)
+
+
 def food_preference(veg: Column, non_veg: Column) -> Column:
     return (
         F.when(veg & non_veg, F.lit("any"))
@@ -32,15 +40,14 @@ def food_preference(veg: Column, non_veg: Column) -> Column:
     )
 
 
-def gender_preference(low: Column) -> Column:
-    return (
-        F.when(contains_any(low, fv.FEMALE_SIGNALS), F.lit("female"))
-        .when(contains_any(low, fv.MALE_SIGNALS), F.lit("male"))
-        .otherwise(F.lit("any"))
+def gender_preference(low: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {contains_any(low, fv.FEMALE_SIGNALS)} THEN 'female' "
+        f"WHEN {contains_any(low, fv.MALE_SIGNALS)} THEN 'male' ELSE 'any' END"
     )
 
 
-def no_brokerage(low: Column) -> Column:
+def no_brokerage(low: str) -> Column:
     return _says(low, fv.NO_BROKERAGE_SIGNALS)
 
 
@@ -83,10 +90,10 @@ def enrich(listings: DataFrame, text: str = "raw_text") -> DataFrame:
     """Add the four keyword classes and normalise four fields in place."""
     types = dict(listings.dtypes)
     rent = normal_rent_text if types["rent"] == "string" else normal_rent
-    low = F.col("_low")
+    low = "_low"
     return (
         evaluate_once(listings, "_low", F.lower(text))
-        .withColumns({"_veg": _says(low, fv.VEG_SIGNALS), "_non_veg": _says(low, fv.NON_VEG_SIGNALS)})
+        .withColumns({"_veg": says_veg(low), "_non_veg": says_non_veg(low)})
         .withColumns(
             {
                 "listing_type": listing_type(low),

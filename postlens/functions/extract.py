@@ -19,6 +19,7 @@ from .text import (
     first_match,
     has_match,
     java_regex,
+    literal,
     matching_form,
     whole_number,
 )
@@ -44,143 +45,125 @@ _GATED_NEEDS = (
 )
 
 
-def _filled(col: Column) -> Column:
-    return F.when(col != "", col)
+# Expressions below are SQL text over the normalised text column.
+_T = "_norm"
 
 
-def _bounded(value: Column, bounds: tuple[int, int]) -> Column:
-    return F.when(value.between(*bounds), value)
+def _filled(value: str) -> str:
+    return f"CASE WHEN {value} != '' THEN {value} END"
 
 
-def _rent_value(value: Column) -> Column:
-    """Small values mean thousands and are taken as they come; others must be in bounds."""
-    return F.when(value < fv.RENT_IN_THOUSANDS_BELOW, value * 1000).when(
-        value.between(*fv.RENT_BOUNDS), value
-    )
+def _bounded(value: str, bounds: tuple[int, int]) -> str:
+    return f"CASE WHEN {value} BETWEEN {bounds[0]} AND {bounds[1]} THEN {value} END"
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _with(value: str, use: str) -> str:
+    """``use``, an expression in ``v``, with ``value`` evaluated once for all its mentions."""
+    return f"transform(array({value}), v -> {use})[0]"
 
 
-def _captures(norm: Column) -> dict[str, Column]:
+def _captures() -> dict[str, str]:
+    areas = ", ".join(
+        f"CASE WHEN contains({_T}, {literal(area)}) THEN {literal(area.title())} END" for area in fv.AREAS
+    )
+    amenities = ", ".join(
+        f"CASE WHEN {has_match(_T, pattern, needs)} THEN {literal(label)} END"
+        for (label, pattern), needs in zip(fv.AMENITIES, _AMENITY_NEEDS, strict=True)
+    )
     return {
-        "_bhk": first_match(norm, fv.BHK, ["bhk"]),
-        "_sqft": whole_number(first_match(norm, fv.SQFT, ["sq", "sft"])),
-        "_areas": F.concat_ws(
-            ", ", *[F.when(norm.contains(area), F.lit(area.title())) for area in fv.AREAS]
-        ),
-        "_floor": first_match(norm, fv.FLOOR, ["floor"]),
-        "_maintenance": whole_number(first_match(norm, fv.MAINTENANCE, ["maintenance"])),
-        "_facing": first_match(norm, fv.FACING, ["facing"]),
-        "_amenities": F.concat_ws(
-            "|",
-            *[
-                F.when(has_match(norm, pattern, needs), F.lit(label))
-                for (label, pattern), needs in zip(fv.AMENITIES, _AMENITY_NEEDS, strict=True)
-            ],
-        ),
+        "_bhk": first_match(_T, fv.BHK, ["bhk"]),
+        "_sqft": whole_number(first_match(_T, fv.SQFT, ["sq", "sft"])),
+        "_areas": f"concat_ws(', ', {areas})",
+        "_floor": first_match(_T, fv.FLOOR, ["floor"]),
+        "_maintenance": whole_number(first_match(_T, fv.MAINTENANCE, ["maintenance"])),
+        "_facing": first_match(_T, fv.FACING, ["facing"]),
+        "_amenities": f"concat_ws('|', {amenities})",
         # No letter occurs in the pattern, so lower case makes no difference.
-        "_contact": F.regexp_extract(norm, java_regex(fv.CONTACT), 1),
-        "_car": has_match(norm, fv.CAR_PARKING, ["car"]),
-        "_bike": has_match(norm, fv.BIKE_PARKING, ["bike", "wheeler"]),
+        "_contact": first_match(_T, fv.CONTACT),
+        "_car": has_match(_T, fv.CAR_PARKING, ["car"]),
+        "_bike": has_match(_T, fv.BIKE_PARKING, ["bike", "wheeler"]),
     }
 
 
-def _rent(norm: Column) -> Column:
+def _rent() -> str:
+    # Small values mean thousands and are taken as they come; others must be in bounds.
+    low, high = fv.RENT_BOUNDS
+    accept = (
+        f"CASE WHEN v < {fv.RENT_IN_THOUSANDS_BELOW} THEN v * 1000 "
+        f"WHEN v BETWEEN {low} AND {high} THEN v END"
+    )
     rules = [
-        _with(whole_number(first_match(norm, pattern, needs)), _rent_value)
+        _with(whole_number(first_match(_T, pattern, needs)), accept)
         for pattern, needs in zip(fv.RENT, _RENT_NEEDS, strict=True)
     ]
-    span_low = whole_number(first_match(norm, fv.RENT_SPAN, ["k"])) * 1000
-    return F.coalesce(*rules, _with(span_low, lambda v: _bounded(v, fv.RENT_BOUNDS)))
+    span_low = whole_number(first_match(_T, fv.RENT_SPAN, ["k"])) + " * 1000"
+    return f"coalesce({', '.join(rules)}, {_with(span_low, _bounded('v', fv.RENT_BOUNDS))})"
 
 
-def _deposit(norm: Column) -> Column:
+def _deposit() -> str:
     needs = (["deposit"], ["advance", "security"])
-    return F.coalesce(
-        *[
-            _with(whole_number(first_match(norm, p, n)), lambda v: _bounded(v, fv.DEPOSIT_BOUNDS))
-            for p, n in zip(fv.DEPOSIT, needs, strict=True)
-        ]
-    )
+    rules = [
+        _with(whole_number(first_match(_T, pattern, words)), _bounded("v", fv.DEPOSIT_BOUNDS))
+        for pattern, words in zip(fv.DEPOSIT, needs, strict=True)
+    ]
+    return f"coalesce({', '.join(rules)})"
 
 
-def _available_from(norm: Column) -> Column:
+def _available_from() -> str:
     """The matched span is read first and taken apart afterwards."""
 
-    def part(span: Column, pattern: str, group: int) -> Column:
-        return F.initcap(F.regexp_extract(span, java_regex(pattern), group))
-
-    def dated(pattern: str, needs, layout) -> Column:
-        span = first_match(norm, pattern, needs, group=0)
-        return _with(
-            span,
-            lambda s: F.when(
-                s != "",
-                F.concat_ws(" ", *[part(s, pattern, x) if isinstance(x, int) else F.lit(x) for x in layout]),
-            ),
-        )
-
-    return F.when(
-        has_match(norm, fv.AVAILABLE_NOW, ["immedia", "move"]), F.lit("immediate")
-    ).otherwise(
-        F.coalesce(
-            dated(fv.DAY_MONTH, fv.MONTH_ABBREVIATIONS, (1, 2)),
-            dated(fv.MONTH_DAY, fv.MONTH_ABBREVIATIONS, (2, 1)),
-            dated(fv.WEEK_OF_MONTH, ["week"], ("Week", 1, "of", 2)),
-        )
-    )
+    def dated(pattern: str, needs, *layout) -> str:
+        parts = [
+            f"initcap({first_match('v', pattern, group=x)})" if isinstance(x, int) else literal(x)
+            for x in layout
+        ]
+        span = first_match(_T, pattern, needs, group=0)
+        return _with(span, f"CASE WHEN v != '' THEN concat_ws(' ', {', '.join(parts)}) END")
+
+    return f"""CASE WHEN {has_match(_T, fv.AVAILABLE_NOW, ["immedia", "move"])} THEN 'immediate'
+        ELSE coalesce(
+            {dated(fv.DAY_MONTH, fv.MONTH_ABBREVIATIONS, 1, 2)},
+            {dated(fv.MONTH_DAY, fv.MONTH_ABBREVIATIONS, 2, 1)},
+            {dated(fv.WEEK_OF_MONTH, ["week"], "Week", 1, "of", 2)}) END"""
 
 
-def _furnished(norm: Column) -> Column:
-    chain = F
-    for pattern, label in fv.FURNISHED:
-        chain = chain.when(has_match(norm, pattern), F.lit(label))
-    return F.when(norm.contains("furnish"), chain)
+def _furnished() -> str:
+    rules = " ".join(f"WHEN {has_match(_T, p)} THEN {literal(label)}" for p, label in fv.FURNISHED)
+    return f"CASE WHEN contains({_T}, 'furnish') THEN CASE {rules} END END"
 
 
-def _values(norm: Column) -> dict[str, Column]:
-    c = F.col
+def _values() -> dict[str, str]:
+    lease = [whole_number(first_match(_T, pattern, ["month"])) for pattern in fv.LEASE]
     return {
-        "bhk": F.when(has_match(norm, fv.RK, ["rk"]), F.lit("RK")).otherwise(_filled(c("_bhk"))),
-        "rent": _rent(norm).cast("int"),
-        "deposit": _deposit(norm).cast("int"),
-        "sqft": _bounded(c("_sqft"), fv.SQFT_BOUNDS).cast("int"),
-        "location": F.when(
-            c("_areas") != "", F.substring_index("_areas", ", ", fv.AREAS_REPORTED)
-        ),
-        "gated_community": F.coalesce(
-            has_match(norm, "|".join(fv.GATED), _GATED_NEEDS), F.lit(False)
-        ),
-        "furnished": _furnished(norm),
-        "available_from": _available_from(norm),
-        "floor": _filled(c("_floor")),
-        "maintenance": _bounded(c("_maintenance"), fv.MAINTENANCE_BOUNDS).cast("int"),
-        "parking": F.when(c("_car") & c("_bike"), F.lit("both"))
-        .when(c("_car"), F.lit("car"))
-        .when(c("_bike"), F.lit("bike"))
-        .when(norm.contains("parking"), F.lit("car")),
-        "facing": _filled(c("_facing")),
-        "lease_duration": F.coalesce(
-            *[whole_number(first_match(norm, p, ["month"])) for p in fv.LEASE]
-        ).cast("int"),
-        "amenities": F.split(_filled(c("_amenities")), r"\|"),
-        "contact": _filled(c("_contact")),
+        "bhk": f"CASE WHEN {has_match(_T, fv.RK, ['rk'])} THEN 'RK' ELSE {_filled('_bhk')} END",
+        "rent": f"CAST({_rent()} AS INT)",
+        "deposit": f"CAST({_deposit()} AS INT)",
+        "sqft": f"CAST({_bounded('_sqft', fv.SQFT_BOUNDS)} AS INT)",
+        "location": f"CASE WHEN _areas != '' THEN substring_index(_areas, ', ', {fv.AREAS_REPORTED}) END",
+        "gated_community": f"coalesce({has_match(_T, '|'.join(fv.GATED), _GATED_NEEDS)}, false)",
+        "furnished": _furnished(),
+        "available_from": _available_from(),
+        "floor": _filled("_floor"),
+        "maintenance": f"CAST({_bounded('_maintenance', fv.MAINTENANCE_BOUNDS)} AS INT)",
+        "parking": f"""CASE WHEN _car AND _bike THEN 'both' WHEN _car THEN 'car' WHEN _bike THEN 'bike'
+            WHEN contains({_T}, 'parking') THEN 'car' END""",
+        "facing": _filled("_facing"),
+        "lease_duration": f"CAST(coalesce({', '.join(lease)}) AS INT)",
+        "amenities": f"split({_filled('_amenities')}, {literal('[|]')})",
+        "contact": _filled("_contact"),
     }
 
 
 def extract_fields(posts: DataFrame, text: str = "text") -> DataFrame:
     """Add the fifteen extracted columns to ``posts``; the input columns stay."""
-    kept = [F.col(c) for c in posts.columns if c not in FIELDS]
-    norm = F.col("_norm")
+    kept = [f"`{c}`" for c in posts.columns if c not in FIELDS]
     texts = posts.withColumn("_plain", matching_form(F.col(text)))
-    texts = evaluate_once(texts, "_norm", F.lower("_plain"))
-    values = _values(norm)
-    return texts.withColumns(_captures(norm)).select(*kept, *[values[f].alias(f) for f in FIELDS])
+    texts = evaluate_once(texts, _T, F.lower("_plain"))
+    captured = texts.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _captures().items()])
+    return captured.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in _values().items()])
 
 
 def extract_phone(col: Column) -> Column:
     """Phone number of the model path: bold digits folded, no further normalisation."""
-    return _filled(F.regexp_extract(bold_digits_to_ascii(col), java_regex(fv.CONTACT), 1))
+    found = F.regexp_extract(bold_digits_to_ascii(col), java_regex(fv.CONTACT), 1)
+    return F.when(found != "", found)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .classify import normal_rent, normal_rent_text
+from .text import contains_any
 
 TEXT_FIELDS = ("bhk", "location", "furnished", "available_from", "floor", "parking", "facing")
 NUMBER_FIELDS = ("deposit", "sqft", "maintenance", "lease_duration")
@@ -71,14 +72,11 @@ def known_amenities(amenities: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def plausible_date(value: Column) -> Column:
+def plausible_date(value: str) -> Column:
     """Keep dates that name a month or say immediate; full ISO dates are made up."""
-    v = F.lower(value)
-    iso = (F.char_length(v) == 10) & (F.substring(v, 5, 1) == "-")
-    named = v.contains("immedia")
-    for month in fv.MONTH_ABBREVIATIONS:
-        named = named | v.contains(month)
-    return F.when(~iso & named, value)
+    named = contains_any(f"lower({value})", (*fv.MONTH_ABBREVIATIONS, "immedia"))
+    iso = f"(char_length({value}) = 10 AND substring({value}, 5, 1) = '-')"
+    return F.expr(f"CASE WHEN NOT {iso} AND {named} THEN {value} END")
 
 
 def decode_predictions(predictions: DataFrame, widest: bool = False) -> DataFrame:
@@ -125,7 +123,7 @@ def merge_columns() -> dict[str, Column]:
         # The model's rent is normalised already.
         "rent": first_number(c("rent"), c("model_rent")),
         "amenities": F.coalesce(c("amenities"), c("model_amenities")),
-        "available_from": F.coalesce(c("available_from"), plausible_date(c("model_available_from"))),
+        "available_from": F.coalesce(c("available_from"), plausible_date("model_available_from")),
         "location": F.coalesce(c("model_location"), c("location")),
         "gated_community": F.coalesce(c("gated_community"), F.lit(False))
         | F.coalesce(c("model_gated_community"), F.lit(False)),

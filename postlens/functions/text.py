@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,25 +55,39 @@ def java_regex(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
-def contains_any(col: Column, needles) -> Column:
-    """True when ``col`` holds at least one of the literal ``needles``."""
-    return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
+def literal(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_match(col: Column, pattern: str, needs=(), group: int = 1) -> Column:
+# The next functions return SQL expressions.  The rules are long lists, and one
+# parsed expression is much quicker to build than hundreds of Column objects.
+
+
+def contains_any(value: str, needles) -> str:
+    """True when ``value`` holds at least one of the literal ``needles``."""
+    return "(" + " OR ".join(f"contains({value}, {literal(n)})" for n in needles) + ")"
+
+
+def first_match(value: str, pattern: str, needs=(), group: int = 1) -> str:
     """Group of the leftmost match; ``''`` or NULL when there is none.
 
     ``needs`` lists literals of which every match must contain one.  Looking for
     them first is a plain byte scan, so most rows never reach the regex.
     """
-    match = F.regexp_extract(col, java_regex(pattern), group)
-    return F.when(contains_any(col, needs), match) if needs else match
+    match = f"regexp_extract({value}, {literal(java_regex(pattern))}, {group})"
+    return f"CASE WHEN {contains_any(value, needs)} THEN {match} END" if needs else match
 
 
-def has_match(col: Column, pattern: str, needs=()) -> Column:
+def has_match(value: str, pattern: str, needs=()) -> str:
     """Whether ``pattern`` occurs, with the same literal pre-check."""
-    match = col.rlike(java_regex(pattern))
-    return contains_any(col, needs) & match if needs else match
+    match = f"({value} RLIKE {literal(java_regex(pattern))})"
+    return f"({contains_any(value, needs)} AND {match})" if needs else match
+
+
+def whole_number(captured: str) -> str:
+    """Digits with thousands commas as BIGINT; NULL for anything that is no number."""
+    return f"try_cast(translate({captured}, ',', '') AS BIGINT)"
 
 
 def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -92,11 +105,6 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(ASCII_SPACES + OTHER_SPACES))
 
 
-def whole_number(captured: Column) -> Column:
-    """Digits with thousands commas as BIGINT; NULL for anything that is no number."""
-    return F.translate(captured, ",", "").try_cast("bigint")
-
-
 def bold_digits_to_ascii(col: Column) -> Column:
     """Only the mathematical bold sans digits, as the model path does."""
     return F.translate(col, fv.BOLD_DIGITS, "0123456789")

@@ -152,7 +152,7 @@ def phone_in_documents(spark, sf_dir):
 
 
 def keywords_in_conversations(spark, sf_dir):
-    low = F.lower("text")
+    low = "lower(text)"
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn",
         classify.listing_type(low).alias("listing_type"),
@@ -289,7 +289,7 @@ def near_copies(spark, sf_dir):
 
 
 def near_copies_posts(spark, sf_dir):
-    kept = drop_near_copies(posts(spark, sf_dir), ["scraped_at", "group_id"])
+    kept = drop_near_copies(posts(spark, sf_dir), ["group_id"])
     return kept.select("post_id", "group_id")
 
 

@@ -326,7 +326,7 @@ headed AS (SELECT *, substr(text, 1, 80) AS head FROM usable WHERE length(text)
 conflicts AS MATERIALIZED (
   SELECT b.post_id AS n, list(a.post_id) AS earlier
   FROM headed a JOIN headed b
-    ON a.scraped_at = b.scraped_at AND a.group_id = b.group_id AND a.post_id < b.post_id
+    ON a.group_id = b.group_id AND a.post_id < b.post_id
   WHERE contains(b.text, a.head) OR contains(a.text, b.head)
   GROUP BY b.post_id),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n) AS step FROM conflicts),

@@ -7,9 +7,11 @@ by the order key.  The work of every query therefore grows with ``orders``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import literal
+
 # Text fragments; the fragment of a list is chosen by template key modulo length.
 SIZE = ("1RK ", "1bhk ", "2 BHK ", "2.5BHK ", "3bhk ", "Spacious flat ", "12bhk ", "2 BHKs ")
 FURNISHING = ("semi furnished flat", "Fully-Furnished flat", "un-furnished flat", "furnished flat", "flat")
@@ -48,43 +50,36 @@ MODEL_OUTPUT = (
 )
 
 
-def _pick(fragments, key: Column) -> Column:
-    """``fragments[key % len(fragments)]`` as one lookup in a constant array."""
-    return F.get(F.array(*[F.lit(f) for f in fragments]), (key % len(fragments)).cast("int"))
+def _pick(fragments, key: str) -> str:
+    """SQL for ``fragments[key % len(fragments)]``, one look-up in a constant array."""
+    return f"get(array({', '.join(map(literal, fragments))}), CAST({key} % {len(fragments)} AS INT))"
 
 
 def posts_from_orders(orders: DataFrame) -> DataFrame:
     """``posts(post_id, group_id, scraped_at, text, images, post_url)``."""
-    key = F.col("o_orderkey")
-    rest = key % 8
-    template = F.when(rest == 3, key - 1).when(rest == 7, key - 3).otherwise(key)
-    amount = (5000 + 500 * (template % 40)).cast("string")
-    phone = F.when(template % 5 == 4, "").otherwise(
-        F.concat(
-            F.lit(". Contact: "), _pick(PHONE_PREFIX, template), F.lit("9"),
-            F.lpad(template.cast("string"), 9, "0"),
-        )
+    template = (
+        "CASE o_orderkey % 8 WHEN 3 THEN o_orderkey - 1 WHEN 7 THEN o_orderkey - 3 ELSE o_orderkey END"
     )
-    parts = [
-        F.replace(_pick(f, template), F.lit("{N}"), amount) if f is RENT else _pick(f, template)
-        for f in LISTS
-    ]
-    repost = F.when(rest == 7, REPOST).otherwise("")
-    group_id = (F.col("o_custkey") % N_GROUPS).cast("int")
-    photo = F.concat(F.lit("https://img.example/"), key.cast("string"), F.lit("/"))
-    return orders.select(
-        key.alias("post_id"),
-        group_id.alias("group_id"),
-        F.col("o_orderdate").alias("scraped_at"),
-        F.concat(*parts, phone, repost).alias("text"),
-        F.when(key % 4 == 1, F.array(F.concat(photo, F.lit("a.jpg"))))
-        .when(key % 4 == 2, F.array(F.concat(photo, F.lit("a.jpg")), F.concat(photo, F.lit("b.jpg"))))
-        .alias("images"),
-        F.when(
-            key % 3 != 0,
-            F.concat(F.lit("https://groups.example/"), group_id.cast("string"),
-                     F.lit("/posts/"), key.cast("string")),
-        ).alias("post_url"),
+    parts = [_pick(f, "_key") for f in LISTS]
+    at = LISTS.index(RENT)
+    parts[at] = f"replace({parts[at]}, '{{N}}', CAST(5000 + 500 * (_key % 40) AS STRING))"
+    phone = (
+        f"CASE WHEN _key % 5 = 4 THEN '' ELSE concat('. Contact: ', {_pick(PHONE_PREFIX, '_key')}, '9', "
+        "lpad(CAST(_key AS STRING), 9, '0')) END"
+    )
+    repost = f"CASE WHEN o_orderkey % 8 = 7 THEN {literal(REPOST)} ELSE '' END"
+    photo = "concat('https://img.example/', o_orderkey, '/{}.jpg')"
+    keyed = orders.selectExpr("o_orderkey", "o_custkey", "o_orderdate", f"{template} AS _key")
+    return keyed.selectExpr(
+        "o_orderkey AS post_id",
+        f"CAST(o_custkey % {N_GROUPS} AS INT) AS group_id",
+        "o_orderdate AS scraped_at",
+        f"concat({', '.join([*parts, phone, repost])}) AS text",
+        f"""CASE o_orderkey % 4 WHEN 1 THEN array({photo.format('a')})
+            WHEN 2 THEN array({photo.format('a')}, {photo.format('b')}) END AS images""",
+        f"""CASE WHEN o_orderkey % 3 != 0
+            THEN concat('https://groups.example/', o_custkey % {N_GROUPS}, '/posts/', o_orderkey)
+            END AS post_url""",
     )
 
 
@@ -102,8 +97,8 @@ def groups_from_orders(orders: DataFrame) -> DataFrame:
 
 def predictions_from_posts(posts: DataFrame) -> DataFrame:
     """``predictions(post_id, raw_output)``; an eighth of the posts has none."""
-    output = _pick([o or "" for o in MODEL_OUTPUT], F.col("post_id"))
-    return posts.where(F.col("post_id") % 8 != 0).select("post_id", output.alias("raw_output"))
+    output = _pick([o or "" for o in MODEL_OUTPUT], "post_id")
+    return posts.where("post_id % 8 != 0").selectExpr("post_id", f"{output} AS raw_output")
 
 
 def saved_log_from_events(events: DataFrame) -> DataFrame:
