@@ -23,8 +23,7 @@ def kth_smallest(rows: DataFrame, column: str, k: int, buckets: int = BUCKETS) -
         width = (high - low) // buckets + 1
         inside = rows.where(F.col(column).between(low, high))
         # Decimal arithmetic, as the distance may exceed 64 bits.
-        distance = F.col(column).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-        bucket = F.floor(distance / F.lit(width).cast("decimal(20,0)")).cast("bigint")
+        bucket = F.expr(f"(CAST(`{column}` AS DECIMAL(20, 0)) - ({low}BD)) div {width}BD")
         counts = inside.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.orderBy("bucket"))
         hit = (
