@@ -9,6 +9,19 @@ from ..functions.arrays import array_to_json, flag_to_int, json_to_array
 from . import schemas
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Give a small input as many tasks as there are cores.
+
+    A file of a few megabytes arrives as one task, yet reading text with dozens of
+    patterns is worth many.  Inputs with enough splits are left as they are, so
+    nothing is shuffled at scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
 def read_json_array(spark: SparkSession, path: str, schema=schemas.LISTINGS) -> DataFrame:
     """One JSON array per file.  Each file is one task, so land many moderate files."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.dedupe import entry_key, first_per_key
 from ..plans.jobs import to_listings
 from ..sources.schemas import POSTS
+from ..sources.tables import spread
 
 CORRUPT = "_corrupt_record"
 
@@ -71,6 +72,7 @@ def start_ingest(
         else:
             good = batch
         key = entry_key()
+        good = spread(good, "post_id")
         rows = first_per_key(to_listings(good, groups), key, ["id"]).withColumn(
             "key", F.unhex(F.sha2(F.to_json(key), 256))
         )
