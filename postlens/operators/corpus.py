@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..sources.scratch import cut_lineage
 from .order_statistics import kth_smallest
 
 
@@ -68,7 +69,8 @@ def split_ordered(rows: DataFrame, row_id: str = "id", share: float = fv.TRAIN_S
     ``row_id`` is a unique integer.  The cut is found by counting, so the split
     itself is a projection without shuffle.
     """
-    cut = kth_smallest(rows, row_id, int(rows.count() * share))
+    ids = cut_lineage(rows.select(row_id), "ids")
+    cut = kth_smallest(ids, row_id, int(ids.count() * share))
     train = F.lit(False) if cut is None else F.col(row_id) <= cut
     return rows.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("valid")))
 
@@ -83,8 +85,8 @@ def split_seeded(
     rows: DataFrame, row_id: str = "id", share: float = fv.TRAIN_SHARE, seed: int = 42
 ) -> DataFrame:
     """Random but repeatable split with exactly ``ceil(n * (1 - share))`` validation rows."""
-    mixed = rows.withColumn("_mixed", _mixed(row_id, seed))
-    wanted = math.ceil(round(rows.count() * (1 - share), 9))
+    mixed = cut_lineage(rows.select(row_id, _mixed(row_id, seed).alias("_mixed")), "ids")
+    wanted = math.ceil(round(mixed.count() * (1 - share), 9))
     cut = kth_smallest(mixed, "_mixed", wanted)
     if cut is None:
         return rows.withColumn("split", F.lit("train"))
@@ -92,7 +94,6 @@ def split_seeded(
     tied = mixed.where(F.col("_mixed") == cut)
     below = mixed.where(F.col("_mixed") < cut).count()
     last = kth_smallest(tied, row_id, wanted - below)
-    valid = (F.col("_mixed") < cut) | ((F.col("_mixed") == cut) & (F.col(row_id) <= last))
-    return mixed.withColumn(
-        "split", F.when(valid, F.lit("valid")).otherwise(F.lit("train"))
-    ).drop("_mixed")
+    value = _mixed(row_id, seed)
+    valid = (value < cut) | ((value == cut) & (F.col(row_id) <= last))
+    return rows.withColumn("split", F.when(valid, F.lit("valid")).otherwise(F.lit("train")))

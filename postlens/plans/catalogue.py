@@ -195,8 +195,8 @@ def merged_listings(spark, sf_dir):
 
 
 def merged_admission(spark, sf_dir):
-    rows = jobs.to_listings(posts(spark, sf_dir), predictions=predictions(spark, sf_dir))
-    return dedupe.admit_new_two_keys(rows).select("id", "contact", "bhk", "location")
+    rows = jobs.ingest(posts(spark, sf_dir), predictions=predictions(spark, sf_dir))
+    return rows.select("id", "contact", "bhk", "location")
 
 
 def reextracted(spark, sf_dir):

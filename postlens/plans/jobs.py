@@ -12,6 +12,7 @@ from ..operators.dedupe import admit_new, admit_new_two_keys, copy_new
 from ..operators.near_copies import drop_near_copies
 from ..operators.stats import run_counters
 from ..sources.schemas import LISTINGS
+from ..sources.scratch import cut_lineage
 from ..sources.tables import attach_groups
 
 
@@ -50,8 +51,10 @@ def ingest(
     if near_copies_within:
         posts = drop_near_copies(posts, near_copies_within)
     rows = to_listings(posts, groups, predictions)
-    admit = admit_new if predictions is None else admit_new_two_keys
-    return admit(rows, stored)
+    if predictions is None:
+        return admit_new(rows, stored)
+    # Admission reads the rows more than once; extraction should run once.
+    return admit_new_two_keys(cut_lineage(rows, "listings"), stored)
 
 
 def run_report(posts: DataFrame, new: DataFrame) -> DataFrame:
