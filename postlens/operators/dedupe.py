@@ -50,52 +50,48 @@ def entry_key(text: str = "raw_text", row_id: str = "id") -> Column:
     ).otherwise(text_key(text, row_id))
 
 
-def first_per_key(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The earliest row of each key."""
-    arrival = Window.partitionBy("_key").orderBy(*order)
-    return (
-        rows.withColumn("_key", key)
+def admit(
+    rows: DataFrame, known_keys: DataFrame | None, key: Column, order: list[str]
+) -> DataFrame:
+    """The earliest row of each key that ``known_keys(key)`` does not hold, with its ``key``.
+
+    The rows are shuffled by the key once, for the choice and the look-up together.
+    """
+    arrival = Window.partitionBy("key").orderBy(*order)
+    first = (
+        rows.withColumn("key", key)
         .withColumn("_rank", F.row_number().over(arrival))
         .where(F.col("_rank") == 1)
-        .drop("_rank", "_key")
+        .drop("_rank")
     )
+    return first if known_keys is None else first.join(known_keys, "key", "left_anti")
 
 
-def without_stored(rows: DataFrame, stored: DataFrame, key: Column) -> DataFrame:
-    """Rows whose key the stored table does not hold; only key columns of it are read."""
-    known = stored.select(key.alias("_key"))
-    return rows.withColumn("_key", key).join(known, "_key", "left_anti").drop("_key")
+def _admit_by(rows: DataFrame, stored: DataFrame | None, key: Column, order) -> DataFrame:
+    # Only the columns the key is made of are read from the stored table.
+    known = None if stored is None else stored.select(key.alias("key"))
+    return admit(rows, known, key, list(order)).select(*rows.columns)
 
 
 def unique_texts(
     rows: DataFrame, stored: DataFrame | None = None, order=("id",), text="raw_text", row_id="id"
 ) -> DataFrame:
     """Keep the first row per exact text, and none that is stored already."""
-    key = text_key(text, row_id)
-    fresh = first_per_key(rows, key, list(order))
-    return fresh if stored is None else without_stored(fresh, stored, key)
+    return _admit_by(rows, stored, text_key(text, row_id), order)
 
 
 def unique_across_groups(
     rows: DataFrame, stored: DataFrame | None = None, order=("id",), row_id="id"
 ) -> DataFrame:
     """Keep the first row per complete (contact, bhk, location)."""
-    key = triple_key(row_id)
-    fresh = first_per_key(rows, key, list(order))
-    return fresh if stored is None else without_stored(fresh, stored, key)
+    return _admit_by(rows, stored, triple_key(row_id), order)
 
 
 def admit_new(
-    rows: DataFrame,
-    stored: DataFrame | None = None,
-    order=("id",),
-    text="raw_text",
-    row_id="id",
+    rows: DataFrame, stored: DataFrame | None = None, order=("id",), text="raw_text", row_id="id"
 ) -> DataFrame:
     """Rows that enter the table, in one pass; fields must depend on the text alone."""
-    key = entry_key(text, row_id)
-    fresh = first_per_key(rows, key, list(order))
-    return fresh if stored is None else without_stored(fresh, stored, key)
+    return _admit_by(rows, stored, entry_key(text, row_id), order)
 
 
 def admit_new_two_keys(

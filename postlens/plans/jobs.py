@@ -73,8 +73,11 @@ def backfill(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def copy_table(source: DataFrame, target: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Rows to append to ``target``, and counts of attempted and written rows."""
     written = copy_new(source, target)
-    attempted = source.agg(F.count(F.lit(1)).alias("attempted"))
-    return written, attempted.crossJoin(written.agg(F.count(F.lit(1)).alias("written")))
+    marks = source.select(F.lit(1).alias("attempted"), F.lit(0).alias("written")).unionByName(
+        written.select(F.lit(0).alias("attempted"), F.lit(1).alias("written"))
+    )
+    counts = marks.agg(F.sum("attempted").alias("attempted"), F.sum("written").alias("written"))
+    return written, counts
 
 
 def reextract(listings: DataFrame, predictions: DataFrame) -> DataFrame:

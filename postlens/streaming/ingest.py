@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedupe import entry_key, first_per_key
+from ..operators.dedupe import admit, entry_key
 from ..plans.jobs import to_listings
 from ..sources.schemas import POSTS
 from ..sources.tables import spread
@@ -71,12 +71,9 @@ def start_ingest(
             good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         else:
             good = batch
-        key = entry_key()
-        good = spread(good, "post_id")
-        rows = first_per_key(to_listings(good, groups), key, ["id"]).withColumn(
-            "key", F.unhex(F.sha2(F.to_json(key), 256))
-        )
-        rows = rows.join(_known_keys(spark, keys, batch_id), "key", "left_anti")
+        digest = F.unhex(F.sha2(F.to_json(entry_key()), 256))
+        known = _known_keys(spark, keys, batch_id)
+        rows = admit(to_listings(spread(good, "post_id"), groups), known, digest, ["id"])
         rows.write.mode("overwrite").parquet(_batch_path(table, batch_id))
         # Read back: the keys are those of the rows that were written.
         written = spark.read.parquet(_batch_path(table, batch_id))

@@ -75,6 +75,16 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
 
 
+def test_choice_and_look_up_share_one_shuffle(spark):
+    stored = spark.createDataFrame([(1, "x", "c", "2", "A")], SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = dedupe.admit_new(stored, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # one for either side
+
+
 def greedy(posts):
     kept = {}
     for part, key, text in sorted(posts, key=lambda p: p[1]):
