@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, quality, toxicity
+from . import decontamination, language, main_text, mixing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
+        "op2_mixing": lambda s, d: mixing.mix(t(s, d, "documents")),
+        "op3_main_text": lambda s, d: main_text.extract_pages(t(s, d, "pages")),
         "op4_quality": lambda s, d: quality.score_documents(t(s, d, "documents"), t(s, d, "labels")),
+        "op5_warc": lambda s, d: warc.archive_pages(s, t(s, d, "pages")),
         "op7_language": lambda s, d: language.predict_documents(t(s, d, "documents")),
         "op9_toxicity": lambda s, d: toxicity.score_documents(t(s, d, "documents"), t(s, d, "labels")),
         "op10_decontamination": lambda s, d: decontamination.contamination(
@@ -27,5 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.ORACLE_SQL,
+        "op5_warc": warc.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,
     }
