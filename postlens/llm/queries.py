@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, main_text, mixing, quality, toxicity, warc
+from . import decontamination, language, main_text, mixing, near_duplicates, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
+        "op1_near_duplicates": lambda s, d: near_duplicates.near_duplicates(t(s, d, "documents")),
         "op2_mixing": lambda s, d: mixing.mix(t(s, d, "documents")),
         "op3_main_text": lambda s, d: main_text.extract_pages(t(s, d, "pages")),
         "op4_quality": lambda s, d: quality.score_documents(t(s, d, "documents"), t(s, d, "labels")),
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_duplicates": near_duplicates.ORACLE_SQL,
         "op2_mixing": mixing.ORACLE_SQL,
         "op5_warc": warc.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,

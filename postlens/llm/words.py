@@ -2,7 +2,7 @@
 
 Texts are laid out one after the other as code points, a blank before and after each.
 Work goes by chunks of bounded size.  A longer text is cut between words into pieces;
-a cut inside a word happens only if one word alone exceeds the size.
+a piece exceeds the size only if one word does.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 
 #: Code points in one chunk; a chunk needs some 60 bytes for each.
 CHUNK = 1 << 19
+_BLANKS = " \t\n\v\f\r"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -54,18 +55,26 @@ def chunks(texts: list[str], overlap: int = 0, size: int = CHUNK) -> Iterator[Ch
 
 
 def _pieces(text: str, overlap: int, size: int) -> Iterator[str]:
+    def last_blank(start: int, end: int) -> int:
+        return max(text.rfind(c, start, end) for c in _BLANKS)
+
     start = 0
     while start < len(text):
         end = min(len(text), start + size)
         if end < len(text):
-            cut = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
-            end = cut if cut > start else end
+            cut = last_blank(start + 1, end)
+            if cut < 0:  # one word fills the piece: it stays whole
+                cut = min((x for x in (text.find(c, end) for c in _BLANKS) if x >= 0), default=len(text))
+            end = cut
         yield text[start:end]
         if end == len(text):
             return
         back = end
-        for _ in range(overlap):
-            back = max(text.rfind(" ", start, back), text.rfind("\n", start, back))
+        words = 0
+        while words < overlap and back > start:
+            cut = last_blank(start, back)
+            words += cut + 1 < back
+            back = max(cut, start)
         start = back if back > start else end
 
 
