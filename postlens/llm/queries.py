@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, main_text, mixing, near_duplicates, quality, toxicity, warc
+from . import decontamination, fingerprints, language, main_text, mixing, near_duplicates, quality, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_main_text": lambda s, d: main_text.extract_pages(t(s, d, "pages")),
         "op4_quality": lambda s, d: quality.score_documents(t(s, d, "documents"), t(s, d, "labels")),
         "op5_warc": lambda s, d: warc.archive_pages(s, t(s, d, "pages")),
+        "op6_fingerprints": lambda s, d: fingerprints.fingerprint_documents(t(s, d, "documents")),
         "op7_language": lambda s, d: language.predict_documents(t(s, d, "documents")),
+        "op8_secrets": lambda s, d: secret_scan.scan(t(s, d, "documents")),
         "op9_toxicity": lambda s, d: toxicity.score_documents(t(s, d, "documents"), t(s, d, "labels")),
         "op10_decontamination": lambda s, d: decontamination.contamination(
             t(s, d, "documents"), t(s, d, "benchmark")
