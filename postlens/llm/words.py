@@ -7,6 +7,7 @@ a piece exceeds the size only if one word does.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,14 +59,14 @@ def _pieces(text: str, overlap: int, size: int) -> Iterator[str]:
     def last_blank(start: int, end: int) -> int:
         return max(text.rfind(c, start, end) for c in _BLANKS)
 
+    several = re.compile(rf"(?>[{_BLANKS}]*[^{_BLANKS}]+){{{overlap + 1}}}")
     start = 0
     while start < len(text):
         end = min(len(text), start + size)
         if end < len(text):
-            cut = last_blank(start + 1, end)
-            if cut < 0:  # one word fills the piece: it stays whole
-                cut = min((x for x in (text.find(c, end) for c in _BLANKS) if x >= 0), default=len(text))
-            end = cut
+            # More words than the next piece repeats, and no part of a word.
+            least = several.match(text, start)
+            end = max(last_blank(start + 1, end), least.end() if least else len(text))
         yield text[start:end]
         if end == len(text):
             return
