@@ -14,8 +14,10 @@ their sets' similarity (shared / all) is at least 0.8; a component of links is a
    pass if enough of their signatures agree (a pair at 0.8 fails that with probability
    1e-6) and are then confirmed on the full sets.
 5. Links join classes to components.  In buckets that still hold several components, all
-   pairs of classes of different components are tried likewise, so no link is lost to
-   the choice in 4.
+   pairs of classes of different components are tried too, so no link is lost to the
+   choice in 4.  A task holds two blocks of a bucket, tries a pair in the first band that
+   it shares, by signatures and then by full sets, and returns confirmed links only,
+   none between components that are joined by then.
 6. Components come from alternating large-star and small-star steps.
 
 Sets are compared by 64-bit hashes of shingles, classes are told apart by 64 bits.
@@ -44,6 +46,8 @@ HASHES = BANDS * ROWS
 AGREEING = 57
 #: Members compared with one copy of a hub's text.
 SLICE = 256
+#: Members of a bucket in one block.
+BLOCK = 400
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -189,6 +193,92 @@ def _confirm(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def _links_across(state: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components in ``state(bucket, band, node, component)``.
+
+    A bucket's members are dealt to blocks; each pair of blocks is one group of rows, so
+    a group has at most about ``2 * BLOCK`` of them, however large the bucket is."""
+    mixed = (
+        state.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+        .where("low < high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    )
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = (
+        state.join(mixed, "bucket").select("bucket", "band", "node", "component", own.alias("own"), "blocks")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    content = texts.join(info.select("node", "signature"), "node")
+    rows = (
+        dealt.join(content, "node")
+        .select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+                "own", "band", "node", "component", "signature", "text")
+        .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
+    )
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        group = list({x[5]: x for x in group}.values())  # a text may be there several times
+        signs = np.stack([np.frombuffer(x[7], np.uint32) for x in group])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets([group[k][8] or ""])[0]
+            return sets[k]
+
+        left, right, band = group[0][1], group[0][2], group[0][4]
+        component = np.array([x[6] for x in group])
+        block = np.array([x[3] for x in group])
+        likely = []
+        for i in range(len(group)):
+            if left != right and block[i] != left:
+                continue
+            j = np.arange(i + 1, len(group)) if left == right else np.nonzero(block == right)[0]
+            j = j[component[j] != component[i]]
+            same = signs[j] == signs[i]
+            first = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band
+            agree = same.sum(1)
+            good = first & (agree >= AGREEING)
+            likely += zip((-agree[good]).tolist(), [i] * int(good.sum()), j[good].tolist())
+        # The likeliest first: each link found spares all pairs of the two components.
+        for _, i, j in sorted(likely):
+            a, b = root(group[i][6]), root(group[j][6])
+            if a == b:
+                continue
+            x, y = shingles(i), shingles(j)
+            if 100 * min(len(x), len(y)) < 80 * max(len(x), len(y)):
+                continue
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= 80 * (len(x) + len(y) - shared):
+                parent[max(a, b)] = min(a, b)
+                yield group[i][5], group[j][5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][:3] != row[:3]:
+                    yield emit(list(links(group)))
+                    group = []
+                group.append(row)
+        if group:
+            yield emit(list(links(group)))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, node)`` per document, and ``(node, root, component_id)`` per class."""
     features = cut_lineage(
@@ -204,7 +294,7 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = F.array(*(
         F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)
     ))
-    placed = classes.select("node", F.explode(bands).alias("bucket"))
+    placed = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
     met = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = cut_lineage(placed.join(met.select("bucket"), "bucket"), "members")
 
@@ -240,20 +330,13 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = cut_lineage(_confirm(first, info, texts), "links")
     joined = components(links)
     state = cut_lineage(
-        known.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "state"
-    )
-    mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = state.join(mixed.select("bucket"), "bucket")
-    across = (
-        rest.alias("x").join(rest.alias("y"), "bucket").where("x.component < y.component").where(_may_link("x", "y"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        known.select("bucket", "band", "node").join(joined, "node", "left")
+        .withColumn("component", F.coalesce("component", "node")),
+        "state",
     )
-    tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    late = cut_lineage(across.join(tried, ["a", "b"], "left_anti"), "late-pairs")
-    if not late.isEmpty():
-        more = cut_lineage(_confirm(late, info, texts), "links")
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+    more = cut_lineage(_links_across(state, info, texts), "links")
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
     rooted = classes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return features.select("doc_id", "n", "node"), rooted.join(smallest, "root").select("node", "root", "component_id")
