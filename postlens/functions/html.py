@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .text import strip
 
-_HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-_IMG_SRC = r"""(?i)<img\s[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
+# Whole attributes before the one asked for, so that its name is not part of another.
+_ATTRIBUTES = r"""(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s>"']+))?)*?"""
+_HREF = rf"""(?i)<a{_ATTRIBUTES}\s+href\s*=\s*["']([^"']*)["']"""
+_IMG_SRC = rf"""(?i)<img{_ATTRIBUTES}\s+src\s*=\s*["']([^"']*)["']"""
 _HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 
 
@@ -65,8 +67,10 @@ def page_title(html: Column) -> Column:
 
 
 def with_titles(groups: DataFrame, pages: DataFrame, on: str = "url") -> DataFrame:
-    """Groups named after their page; the configured name stays where a page gives none."""
-    titles = pages.select(on, page_title(F.col("html")).alias("_title"))
+    """Groups named after their page; the configured name stays where a page gives none.
+
+    Of several pages with one address the smallest title counts, so a group stays one row."""
+    titles = pages.groupBy(on).agg(F.min(page_title(F.col("html"))).alias("_title"))
     return (
         groups.join(titles, on, "left")
         .withColumn("name", F.coalesce("_title", "name"))

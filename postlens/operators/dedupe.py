@@ -69,7 +69,8 @@ def admit(
 
 def _admit_by(rows: DataFrame, stored: DataFrame | None, key: Column, order) -> DataFrame:
     # Only the columns the key is made of are read from the stored table.
-    known = None if stored is None else stored.select(key.alias("key"))
+    # A row known by its id only never conflicts with another one.
+    known = None if stored is None else stored.select(key.alias("key")).where(F.col("key.kind") != "row")
     return admit(rows, known, key, list(order)).select(*rows.columns)
 
 

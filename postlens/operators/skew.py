@@ -11,10 +11,9 @@ HOT_ROWS = 1_000_000
 def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of ``big`` with ``lookup`` (one row per key), hot keys spread out.
 
-    A key with more than ``hot_rows`` rows in ``big`` is split into slices of about
-    that size, and its single lookup row is repeated once per slice.  There are at
-    most ``rows / hot_rows`` such keys (a hundred thousand in 10^11 rows), so the
-    table of hot keys has a known bound and may be broadcast.
+    A key with more than ``hot_rows`` rows in ``big`` is split into slices of about that
+    size, and its single lookup row is repeated once per slice.  Whether the table of
+    such keys is broadcast is left to Spark, which knows its size.
     """
     hot = (
         big.groupBy(*on)
@@ -22,7 +21,6 @@ def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], hot_rows: int
         .where(F.col("count") > hot_rows)
         .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices"))
     )
-    hot = F.broadcast(hot)
     slices = F.coalesce("_slices", F.lit(1))
     # The slice follows from the row's content, so a task that runs again agrees.
     content = F.xxhash64(*big.columns)

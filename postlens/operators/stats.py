@@ -43,7 +43,7 @@ def run_counters(parsed: DataFrame, new: DataFrame, group: str = "group_id") ->
     )
     added = new.groupBy(group).agg(F.count(F.lit(1)).alias("new"))
     return (
-        per_group.join(added, group, "left")
+        per_group.join(added.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left")
         .rollup(group)
         .agg(
             F.sum("parsed").alias("parsed"),

@@ -53,12 +53,14 @@ SHOWN = ("id", "bhk", "rent", "location", "furnished", "listing_type", "gender_p
 
 
 # Tables whose rows take long to process, and a key to spread them by.
+INPUT_TASKS = "spark.postlens.inputTasks"  # not set: the files' splits decide
 SPREAD = {"orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, SPREAD[name]) if name in SPREAD else rows
+    tasks = spark.conf.get(INPUT_TASKS, None)
+    return spread(rows, SPREAD[name], int(tasks)) if tasks and name in SPREAD else rows
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,13 @@ from ..functions.arrays import array_to_json, flag_to_int, json_to_array
 from . import schemas
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Give a small input as many tasks as there are cores.
+def spread(rows: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Deal a small input out to so many tasks, if the caller asks for it.
 
     A file of a few megabytes arrives as one task, yet reading text with dozens of
-    patterns is worth many.  Inputs with enough splits are left as they are, so
-    nothing is shuffled at scale.
+    patterns is worth many.  Without ``tasks`` the file's splits decide.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
+    return rows if tasks is None or rows.isStreaming else rows.repartition(tasks, key)
 
 
 def read_json_array(spark: SparkSession, path: str, schema=schemas.LISTINGS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.dedupe import admit, entry_key
 from ..plans.jobs import to_listings
 from ..sources.schemas import POSTS
-from ..sources.tables import spread
 
 CORRUPT = "_corrupt_record"
 
@@ -26,20 +26,30 @@ def read_posts(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return reader.json(path)
 
 
-def _batch_path(table: str, batch_id: int) -> str:
-    return f"{table.rstrip('/')}/batch_id={batch_id}"
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that ``checkpoint`` belongs to, kept beside it.
+
+    Batch numbers begin anew with each checkpoint; folders are named by run and batch,
+    so a second checkpoint adds to a table and a retry repeats its own folder."""
+    path = checkpoint.rstrip("/") + "_run"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("ignore").parquet(path)
+    return spark.read.schema("run string").parquet(path).first()["run"]
+
+
+def _batch_path(table: str, run: str, batch_id: int) -> str:
+    return f"{table.rstrip('/')}/run={run}/batch_id={batch_id}"
 
 
 def _open_key_table(spark: SparkSession, keys: str) -> None:
     """Make sure the key table can be read before the first batch has written to it."""
     none = spark.range(0).select(F.lit(None).cast("binary").alias("key"))
-    none.write.mode("ignore").parquet(_batch_path(keys, -1))
+    none.write.mode("ignore").parquet(_batch_path(keys, "none", -1))
 
 
-def _known_keys(spark: SparkSession, keys: str, batch_id: int) -> DataFrame:
-    """Keys of earlier batches; a retried batch must not see its own first attempt."""
-    rows = spark.read.schema("key BINARY, batch_id INT").parquet(keys)
-    return rows.where(F.col("batch_id") < batch_id).select("key")
+def _known_keys(spark: SparkSession, keys: str, run: str, batch_id: int) -> DataFrame:
+    """Keys of other runs and of earlier batches; a retry must not see its own first attempt."""
+    rows = spark.read.schema("key BINARY, run STRING, batch_id INT").parquet(keys)
+    return rows.where((F.col("run") != run) | (F.col("batch_id") < batch_id)).select("key")
 
 
 def start_ingest(
@@ -59,6 +69,7 @@ def start_ingest(
     """
     keys = table.rstrip("/") + "_keys"
     _open_key_table(posts.sparkSession, keys)
+    name = _run_id(posts.sparkSession, checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -67,17 +78,19 @@ def start_ingest(
             batch = batch.persist()
             broken = batch.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
             if quarantine:
-                broken.write.mode("overwrite").parquet(_batch_path(quarantine, batch_id))
+                broken.write.mode("overwrite").parquet(_batch_path(quarantine, name, batch_id))
             good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         else:
             good = batch
         digest = F.unhex(F.sha2(F.to_json(entry_key()), 256))
-        known = _known_keys(spark, keys, batch_id)
-        rows = admit(to_listings(spread(good, "post_id"), groups), known, digest, ["id"])
-        rows.write.mode("overwrite").parquet(_batch_path(table, batch_id))
+        known = _known_keys(spark, keys, name, batch_id)
+        rows = admit(to_listings(good, groups), known, digest, ["id"])
+        rows.write.mode("overwrite").parquet(_batch_path(table, name, batch_id))
         # Read back: the keys are those of the rows that were written.
-        written = spark.read.parquet(_batch_path(table, batch_id))
-        written.select("key").write.mode("overwrite").parquet(_batch_path(keys, batch_id))
+        written = spark.read.parquet(_batch_path(table, name, batch_id))
+        # A row known by its id only never conflicts with another one.
+        lasting = written.where(entry_key()["kind"] != "row").select("key")
+        lasting.write.mode("overwrite").parquet(_batch_path(keys, name, batch_id))
         if after_batch:
             after_batch(written.drop("key"), batch_id)
         if CORRUPT in batch.columns:

@@ -139,3 +139,11 @@ def test_merged_admission_equals_one_by_one(spark):
     rows = rows.select("id", "raw_text", "contact", "bhk", "location").cache()
     got = sorted(r.id for r in dedupe.admit_new_two_keys(rows).collect())
     assert got == sequential([tuple(r) for r in rows.collect()])
+
+
+def test_incomplete_rows_are_not_known_by_their_id(spark):
+    schema = "id long, raw_text string, contact string, bhk double, location string"
+    stored = spark.createDataFrame([(1, None, None, None, None)], schema)
+    new = spark.createDataFrame([(1, None, None, None, None), (2, "text", None, None, None)], schema)
+    for rule in (dedupe.unique_texts, dedupe.unique_across_groups, dedupe.admit_new):
+        assert sorted(r.id for r in rule(new, stored).collect()) == [1, 2]

@@ -68,3 +68,15 @@ def test_bounded_uniqueness(spark, tmp_path):
     ingest.unique_within(stream, "30 days").writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["other", "same"]
+
+
+def test_second_checkpoint_keeps_the_first_data(spark, tmp_path):
+    posts = catalogue.posts(spark, SF)
+    out = str(tmp_path / "out")
+    for part, ids in (("a", F.col("post_id") < 400), ("b", F.col("post_id") < 800)):
+        posts.where(ids).coalesce(1).write.json(str(tmp_path / part))
+        ingest.start_ingest(
+            ingest.read_posts(spark, str(tmp_path / part)), out, str(tmp_path / f"cp-{part}")).awaitTermination()
+    got = sorted(r.id for r in spark.read.parquet(out).select("id").collect())
+    whole = jobs.to_listings(posts.where("post_id < 800"))
+    assert got == sorted(r.id for r in dedupe.admit_new(whole).select("id").collect())
