@@ -74,6 +74,12 @@ def shingle_sets(texts: list[str], length: int = WORDS) -> list[np.ndarray]:
     return [np.unique(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in parts]
 
 
+def _sets_of(texts: pa.Array, rows: int = 200) -> Iterator[np.ndarray]:
+    """The sets of a batch one after the other; few texts are decoded at a time."""
+    for start in range(0, len(texts), rows):
+        yield from shingle_sets([t or "" for t in texts.slice(start, rows).to_pylist()])
+
+
 def class_of(shingles: np.ndarray) -> int | None:
     """64 bits of a digest of the set; None for the empty set."""
     if not len(shingles):
@@ -104,10 +110,7 @@ def _features(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sign = _signer()
         for texts in batches:
-            rows = [
-                (len(s), class_of(s), sign(s) if len(s) else None)
-                for s in shingle_sets([t or "" for t in texts.to_pylist()])
-            ]
+            rows = [(len(s), class_of(s), sign(s) if len(s) else None) for s in _sets_of(texts)]
             yield pa.array([dict(zip(("n", "node", "signature"), r)) for r in rows], kind)
 
     return F.arrow_udf(run, "struct<n: bigint, node: bigint, signature: binary>")(text)
@@ -116,7 +119,7 @@ def _features(text: Column) -> Column:
 def _class_column(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([class_of(s) for s in shingle_sets([t or "" for t in texts.to_pylist()])], pa.int64())
+            yield pa.array([class_of(s) for s in _sets_of(texts)], pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 
@@ -180,7 +183,7 @@ def _confirm(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
             names = ("hub", "slice", "role", "node")
             keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
             a, b = [], []
-            for (key, piece, role, node), s in zip(keys, shingle_sets(batch.column("text").to_pylist())):
+            for (key, piece, role, node), s in zip(keys, _sets_of(batch.column("text"))):
                 if role == 0:
                     hub, own = (key, piece), s
                 elif hub == (key, piece):

@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Code points in one chunk; a chunk needs some 60 bytes for each.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _BLANKS = " \t\n\v\f\r"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
