@@ -156,7 +156,7 @@ def scan(documents: DataFrame) -> DataFrame:
 def mask_secrets(documents: DataFrame) -> DataFrame:
     """``documents`` with every span of a text replaced by ``MASK``; ``n_chars``, if there,
     follows.  Spans that touch become one mask.  Documents without spans are unchanged."""
-    (name,) = fresh(documents, "found__")
+    name, clean = fresh(documents, "found__", "clean__")
     found = with_spans(documents, name)
     text, spans = quoted("text"), quoted(name)["all"]
 
@@ -172,14 +172,15 @@ def mask_secrets(documents: DataFrame) -> DataFrame:
     masked = F.aggregate(spans, first, step, lambda a: F.concat(
         F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))
     ))
-    masked = F.when(F.size(spans) > 0, masked).otherwise(text)
+    # A column of its own: its length is taken from the text that is returned.
+    found = found.withColumn(clean, F.when(F.size(spans) > 0, masked).otherwise(text))
     out = []
     for c in documents.columns:
         if c.lower() == "text":
-            out.append(masked.alias(c))
+            out.append(quoted(clean).alias(c))
         elif c.lower() == "n_chars":
             kind = documents.schema[c].dataType
-            out.append(F.when(F.size(spans) > 0, F.char_length(masked).cast(kind)).otherwise(quoted(c)).alias(c))
+            out.append(F.when(F.size(spans) > 0, F.char_length(quoted(clean)).cast(kind)).otherwise(quoted(c)).alias(c))
         else:
             out.append(quoted(c))
     return found.select(*out)
