@@ -109,6 +109,28 @@ def decode_predictions(predictions: DataFrame, widest: bool = False) -> DataFram
     )
 
 
+def raw_answers(predictions: DataFrame) -> DataFrame:
+    """``predictions`` with what the model said, one ``model_*`` column per field.
+
+    The widest JSON object counts.  Nothing is checked against lists or bounds; a value
+    that does not fit its column's type is NULL, and a number given as text fits.
+    """
+    obj = F.col("_obj")
+    columns = {f"model_{f}": _field(obj, f, "string") for f in (*TEXT_FIELDS, "preferred_tenant")}
+    columns |= {f"model_{f}": _field(obj, f, "int") for f in (*NUMBER_FIELDS, "rent")}
+    one = F.when(_kind(obj, "amenities") == "STRING", F.array(_field(obj, "amenities", "string")))
+    columns |= {
+        "model_gated_community": _field(obj, "gated_community", "boolean"),
+        "model_amenities": F.coalesce(_field(obj, "amenities", "array<string>"), one),
+        "model_empty": obj.isNull() | (F.to_json(obj) == "{}"),
+    }
+    return (
+        predictions.withColumn("_obj", prediction_object(F.col("raw_output"), widest=True))
+        .withColumns(columns)
+        .drop("_obj")
+    )
+
+
 def first_number(*values: Column) -> Column:
     """First value that is neither NULL nor 0."""
     return F.coalesce(*[F.when(v != 0, v) for v in values])

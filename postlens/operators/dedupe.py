@@ -91,7 +91,15 @@ def unique_across_groups(
 def admit_new(
     rows: DataFrame, stored: DataFrame | None = None, order=("id",), text="raw_text", row_id="id"
 ) -> DataFrame:
-    """Rows that enter the table, in one pass; fields must depend on the text alone."""
+    """Rows that enter the table; inside the batch, fields must depend on the text alone.
+
+    ``stored`` need not be like that: its texts are looked up before the first row of a
+    key is chosen, also for rows that the batch knows by their triple.
+    """
+    if stored is not None:
+        digest = F.sha2(F.col(text), 256)
+        known = stored.where(F.col(text).isNotNull()).select(digest.alias("_digest"))
+        rows = rows.withColumn("_digest", digest).join(known, "_digest", "left_anti").drop("_digest")
     return _admit_by(rows, stored, entry_key(text, row_id), order)
 
 

@@ -33,7 +33,7 @@ def sync_report(listings: DataFrame) -> DataFrame:
 
 
 def run_counters(parsed: DataFrame, new: DataFrame, group: str = "group_id") -> DataFrame:
-    """Parsed, new and failed posts per group, and in total (``group`` NULL).
+    """Parsed, new and failed posts per group, and in total (``is_total`` 1, ``group`` NULL).
 
     ``parsed`` carries ``parsed_ok``; ``new`` holds the rows that were really added.
     Groups are counted first, so the total is a sum over a few rows.
@@ -49,6 +49,7 @@ def run_counters(parsed: DataFrame, new: DataFrame, group: str = "group_id") ->
             F.sum("parsed").alias("parsed"),
             F.coalesce(F.sum("new"), F.lit(0)).alias("new"),
             F.sum("failed").alias("failed"),
+            F.grouping(group).alias("is_total"),
         )
     )
 

@@ -18,7 +18,7 @@ from ..operators import corpus, dedupe, facets, ordering, saved, stats
 from ..operators.near_copies import drop_near_copies, long_enough
 from ..sources import fixture
 from ..sources.scratch import new_folder
-from ..sources.tables import attach_groups, spread
+from ..sources.tables import attach_groups, read_listings, spread, write_listings
 from ..streaming import ingest as stream_ingest
 from ..streaming import totals as stream_totals
 from . import jobs
@@ -49,6 +49,9 @@ FILTERS = {
 WEB_ARGS = {"min_rent": "8000", "max_rent": "20000", "bhk": "2", "gender_preference": "not_male",
             "has_contact": "on", "parking": "car", "listing_type": ""}
 COMMAND_ARGS = {"max_rent": 25000, "furnished": "semi", "veg": True, "no_broker": True, "has_contact": True}
+# Short values for the normalisers, chosen by the order key.
+SHORT_VALUES = ("Furnished", " semi ", "2 car", "bike", "two wheeler", "rk", "RK ", "2.5 BHK", "both", "unfurnished",
+                "fully", "Car", "3", "", "none")
 SHOWN = ("id", "bhk", "rent", "location", "furnished", "listing_type", "gender_preference")
 
 
@@ -129,6 +132,19 @@ def _normaliser(name: str, function):
     return run
 
 
+def normalize_short_values(spark, sf_dir):
+    """Values of one or two words, as a model or a form gives them."""
+    orders = table(spark, sf_dir, "orders")
+    values = F.array(*map(F.lit, SHORT_VALUES))
+    picked = orders.select("o_orderkey", F.get(values, (F.col("o_orderkey") % len(SHORT_VALUES)).cast("int")).alias("v"))
+    return picked.select(
+        "o_orderkey",
+        classify.normal_furnished(F.col("v")).alias("furnished"),
+        classify.normal_parking(F.col("v")).alias("parking"),
+        classify.normal_bhk(F.col("v")).alias("bhk"),
+    )
+
+
 def extract_all(spark, sf_dir):
     return extract_fields(posts(spark, sf_dir)).select("post_id", *FIELDS)
 
@@ -216,6 +232,13 @@ def _filter(filters: dict):
     return run
 
 
+def stored_search(spark, sf_dir):
+    """Search over a stored table: extraction runs once, when the table is written."""
+    path = new_folder(spark, "stored-search") + "/listings"
+    write_listings(listings(spark, sf_dir).drop("group_id"), path)
+    return facets.filter_listings(read_listings(spark, path), bhk=2, has_rent=True).select(*SHOWN)
+
+
 def facets_web(spark, sf_dir):
     return _filter(facets.web_filters(WEB_ARGS))(spark, sf_dir)
 
@@ -469,7 +492,7 @@ def queries() -> dict:
         "page_beyond_last": _page(10**6),
     }
     for function in (
-        enrich_listings, backfill, backfill_count, contact_in_documents, phone_in_documents,
+        normalize_short_values, stored_search, enrich_listings, backfill, backfill_count, contact_in_documents, phone_in_documents,
         keywords_in_conversations, long_documents, decoded_predictions, merged_fields,
         merged_listings, merged_admission, reextracted, facets_web, facets_command, count_filtered,
         result_cards, newest_matches, dedupe_text, dedupe_triple, admit_new, copy_new, copy_counts,

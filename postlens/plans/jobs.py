@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import enrich
 from ..functions.extract import extract_fields, extract_phone
-from ..functions.predictions import NUMBER_FIELDS, TEXT_FIELDS, decode_predictions, merge_predictions
+from ..functions.predictions import NUMBER_FIELDS, TEXT_FIELDS, merge_predictions, raw_answers
 from ..operators.dedupe import admit_new, admit_new_two_keys, copy_new
 from ..operators.near_copies import drop_near_copies
 from ..operators.stats import run_counters
@@ -83,12 +83,11 @@ def copy_table(source: DataFrame, target: DataFrame | None) -> tuple[DataFrame,
 def reextract(listings: DataFrame, predictions: DataFrame) -> DataFrame:
     """Fields taken anew from model output, for the listings where that succeeds.
 
-    The widest JSON object of the output counts; the phone number comes from the
-    text.  Columns the model does not fill stay as stored.
+    The widest JSON object of the output counts, its values as they are; the phone
+    number comes from the text.  Columns the model does not fill stay as stored.
     """
-    decoded = decode_predictions(
-        predictions.select(F.col("post_id").alias("id"), "raw_output"), widest=True
-    ).where(~F.col("model_empty"))
+    answers = raw_answers(predictions.select(F.col("post_id").alias("id"), "raw_output"))
+    decoded = answers.where(~F.col("model_empty"))
     fields = (*TEXT_FIELDS, *NUMBER_FIELDS, "rent", "gated_community", "amenities", "preferred_tenant")
     renewed = {f: F.col(f"model_{f}") for f in fields} | {"contact": extract_phone(F.col("raw_text"))}
     return listings.join(decoded, "id").withColumns(renewed).select(*listings.columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import fixed_values as fv
 from ..functions.extract import FIELDS
 from ..sources import fixture
-from .catalogue import COMMAND_ARGS, FILTERS, HREF_NEEDLES, SHOWN, STORED_BEFORE
+from .catalogue import COMMAND_ARGS, FILTERS, HREF_NEEDLES, SHORT_VALUES, SHOWN, STORED_BEFORE
 
 
 def _q(text: str) -> str:
@@ -472,6 +472,10 @@ def oracle_sql() -> dict[str, str]:
     for name, sql in (("furnished", _norm_furnished("text")), ("parking", _norm_parking("text")),
                       ("rent_text", _norm_rent_text("text")), ("bhk", _norm_bhk("text"))):
         found[f"normalize_{name}"] = _sql(f"SELECT post_id, {sql} AS {name.removesuffix('_text')} FROM posts")
+    picked = f"{_list(SHORT_VALUES)}[1 + o_orderkey % {len(SHORT_VALUES)}]"
+    found["normalize_short_values"] = f"""SELECT o_orderkey, {_norm_furnished("v")} AS furnished,
+  {_norm_parking("v")} AS parking, {_norm_bhk("v")} AS bhk FROM (SELECT o_orderkey, {picked} AS v FROM orders)"""
+    found["stored_search"] = _sql(f"SELECT {_outs(SHOWN)} FROM listings WHERE bhk = '2' AND rent IS NOT NULL")
     for name in FILTERS:
         found[name] = _sql(f"SELECT {_outs(SHOWN)} FROM listings WHERE {_where(name)}")
     found["facets_web"] = _sql(
@@ -522,11 +526,13 @@ AND food_preference = 'veg' AND no_brokerage AND contact IS NOT NULL"""
         f"SELECT id, {_outs(shown)} FROM enriched", _decoded(), _merged(), _listings("merged", "enriched")
     )
     found["reextracted"] = _sql(
-        f"""SELECT id, model_bhk AS bhk, CAST(model_rent AS BIGINT) AS rent, model_location AS location,
-  model_furnished AS furnished, model_available_from AS available_from, {_first(fv.CONTACT, col='raw_text')} AS contact,
-  model_amenities AS amenities FROM listings JOIN widest USING (post_id) WHERE NOT model_empty""",
-        _decoded().replace("answers", "wide_answers").replace("objects", "wide_objects").replace("decoded AS", "widest AS")
-        .replace(_q("(?s)" + fv.MODEL_JSON_FIRST), _q("(?s)" + fv.MODEL_JSON_WIDEST)),
+        f"""SELECT id, o->>'bhk' AS bhk, TRY_CAST(o->>'rent' AS BIGINT) AS rent, o->>'location' AS location,
+  o->>'furnished' AS furnished, o->>'available_from' AS available_from, {_first(fv.CONTACT, col='raw_text')} AS contact,
+  array_to_string(CAST(o->'amenities' AS VARCHAR[]), '|') AS amenities
+FROM listings JOIN said USING (post_id) WHERE CAST(o AS VARCHAR) <> '{{}}'""",
+        f"""outputs AS (SELECT post_id, regexp_extract({_list(fixture.MODEL_OUTPUT)}[1 + post_id % 8],
+    {_q("(?s)" + fv.MODEL_JSON_WIDEST)}) AS j FROM posts WHERE post_id % 8 <> 0)""",
+        "said AS (SELECT post_id, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS o FROM outputs)",
     )
     found["result_cards"] = _sql(_cards())
     found["newest_matches"] = _sql(
@@ -556,7 +562,7 @@ AND food_preference = 'veg' AND no_brokerage AND contact IS NOT NULL"""
     found["sync_report"] = _sql("SELECT count(*) AS total, count(rent) AS with_rent, count(contact) AS with_contact FROM listings")
     found["run_counters"] = _sql(
         """SELECT group_id, count(*) AS parsed, count(*) FILTER (WHERE id IN (SELECT id FROM admitted)) AS new,
-  CAST(0 AS BIGINT) AS failed FROM listings GROUP BY ROLLUP (group_id)""",
+  CAST(0 AS BIGINT) AS failed, CAST(grouping(group_id) AS BIGINT) AS is_total FROM listings GROUP BY ROLLUP (group_id)""",
         _admitted("listings", "admitted"),
     )
     found["fill_rates"] = _sql(

@@ -51,6 +51,21 @@ def test_admission_equals_one_by_one(spark, seed):
     assert sorted(r.id for r in got.collect()) == sequential(rows, old)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_admission_against_stored_rows_of_other_triples(spark, seed):
+    rng = random.Random(seed + 20)
+    rows, old = batch(rng, 25, 2, functional=True), batch(rng, 4)
+    old = [r for r in old if r[0] in sequential(old)]
+    got = dedupe.admit_new(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(old, SCHEMA))
+    assert sorted(r.id for r in got.collect()) == sequential(rows, old)
+
+
+def test_stored_text_with_another_triple_keeps_the_text_out(spark):
+    stored = spark.createDataFrame([(1, "same text", "c1", "3", "Kokapet")], SCHEMA)
+    new = spark.createDataFrame([(5, "same text", "c1", "2", "Kondapur"), (6, "other", "c1", "2", "Kondapur")], SCHEMA)
+    assert [r.id for r in dedupe.admit_new(new, stored).collect()] == [6]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_admission_with_two_keys(spark, seed):
     rng = random.Random(seed + 50)
@@ -82,7 +97,7 @@ def test_choice_and_look_up_share_one_shuffle(spark):
         plan = dedupe.admit_new(stored, stored)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2  # one for either side
+    assert plan.count("Exchange hashpartitioning") == 4  # texts looked up, then one for either side of the keys
 
 
 def greedy(posts):

@@ -252,6 +252,24 @@ def test_boundary_and_json_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "chat")).columns == ["messages"]
 
 
+def test_reextraction_keeps_what_the_model_said(spark):
+    rows = catalogue.listings(spark, SF).drop("group_id").limit(3).cache()
+    ids = sorted(r.id for r in rows.collect())
+    said = ['{"amenities": ["rooftop bar", "lift"], "rent": "900", "bhk": 0, "location": false}',
+            '{"amenities": "lift", "rent": "12-14k", "sqft": "1100", "gated_community": "no"}', "{}"]
+    answers = spark.createDataFrame(list(zip(ids, said)), "post_id long, raw_output string")
+    a, b = jobs.reextract(rows, answers).orderBy("id").collect()
+    assert (a.amenities, a.rent, a.bhk, a.location) == (["rooftop bar", "lift"], 900, "0", "false")
+    assert (b.amenities, b.rent, b.sqft, b.gated_community) == (["lift"], None, 1100, False)
+
+
+def test_run_counters_tell_the_total_from_posts_without_group(spark):
+    parsed = spark.createDataFrame([(None, True), (None, True), (1, True), (1, False)], "group_id int, parsed_ok boolean")
+    new = spark.createDataFrame([(None,), (1,)], "group_id int")
+    got = {(r.is_total, r.group_id): (r.parsed, r.new, r.failed) for r in stats.run_counters(parsed, new).collect()}
+    assert got == {(0, None): (2, 1, 0), (0, 1): (1, 1, 1), (1, None): (3, 2, 1)}
+
+
 def test_publish_only_with_results(spark, tmp_path):
     rows = catalogue.listings(spark, SF).limit(3)
     none = spark.createDataFrame([(0, "{}"), (1, "nothing")], "post_id long, raw_output string")
