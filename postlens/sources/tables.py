@@ -34,11 +34,15 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_listings(listings: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet, one folder per day of collection."""
+    """Parquet, one folder per month of collection.
+
+    Rows are dealt by month, so that not every task writes a file for every month; a
+    month with very many rows is split over several tasks."""
     (
-        listings.withColumn("run_date", F.to_date("scraped_at"))
+        listings.withColumn("run_month", F.to_date(F.trunc("scraped_at", "month")))
+        .hint("rebalance", "run_month")
         .write.mode(mode)
-        .partitionBy("run_date")
+        .partitionBy("run_month")
         .parquet(path)
     )
 
