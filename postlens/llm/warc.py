@@ -29,6 +29,8 @@ from ..sources.scratch import cut_lineage, new_folder
 REVISIT_BYTES = 100
 #: A writer begins a new file after so many bytes; a reader's range has so many.
 ARCHIVE_BYTES, SPLIT_BYTES = 256 << 20, 8 << 20
+#: Reading tasks at most; beyond that, tasks read several ranges.
+READ_TASKS = 100_000
 _MAGIC, _BLOCK = b"\x1f\x8b\x08", 1 << 16
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -173,6 +175,8 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[dict[str
 def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The response and revisit records of all files in ``manifest(path, bytes)``.
 
+    Ranges are dealt to as many tasks by number, since adaptive execution would join
+    them: their rows are tiny, whatever lies behind them.
     The payload of a response is read and its digest computed; one that differs from the
     header is an error.  A revisit tells size and digest of the payload it refers to."""
 
@@ -206,7 +210,8 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = manifest.where(F.col("bytes") > 0).select("path", "bytes", starts.alias("start"))
-    return splits.repartition("path", "start").mapInArrow(run, READ)
+    ranges = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    return splits.repartition(max(1, min(ranges, READ_TASKS))).mapInArrow(run, READ)
 
 
 def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
