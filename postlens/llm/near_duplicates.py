@@ -201,10 +201,13 @@ def _links_across(state: DataFrame, info: DataFrame, texts: DataFrame) -> DataFr
 
     A bucket's members are dealt to blocks; each pair of blocks is one group of rows, so
     a group has at most about ``2 * BLOCK`` of them, however large the bucket is."""
-    mixed = (
+    # Facts about buckets are written before they are joined: adaptive execution splits a
+    # large bucket only in a join whose sides are plain shuffles.
+    mixed = cut_lineage(
         state.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-        .where("low < high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .where("low < high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")),
+        "mixed-buckets",
     )
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     dealt = (
@@ -298,8 +301,12 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)
     ))
     placed = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
-    met = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = cut_lineage(placed.join(met.select("bucket"), "bucket"), "members")
+    met = cut_lineage(
+        placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .where("low < high").select("bucket"),
+        "met-buckets",
+    )
+    members = cut_lineage(placed.join(met, "bucket"), "members")
 
     candidates = classes.join(members.select("node").distinct(), "node")
     ids = candidates.select("node", F.col("rep").alias("id"))
@@ -322,9 +329,12 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         "info",
     )
     known = cut_lineage(members.join(info.select("node", "n", "unique"), "node"), "known")
-    hubs = known.groupBy("bucket").agg(
-        F.min(F.struct((F.col("unique") / F.col("n")).alias("share"), "node", "n", "unique")).alias("h")
-    ).select("bucket", "h.node", "h.n", "h.unique")
+    hubs = cut_lineage(
+        known.groupBy("bucket")
+        .agg(F.min(F.struct((F.col("unique") / F.col("n")).alias("share"), "node", "n", "unique")).alias("h"))
+        .select("bucket", "h.node", "h.n", "h.unique"),
+        "hubs",
+    )
     first = cut_lineage(
         known.alias("m").join(hubs.alias("h"), "bucket").where("m.node != h.node").where(_may_link("m", "h"))
         .select(F.col("m.node").alias("a"), F.col("h.node").alias("b")).distinct(),
