@@ -163,7 +163,7 @@ def _confirm(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     likely = cut_lineage(likely, "likely-pairs")
-    hubs = likely.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    hubs = cut_lineage(likely.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "hub-slices")
     members = likely.join(hubs, "b").select(
         F.col("a").alias("node"), F.col("b").alias("hub"),
         F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"),
