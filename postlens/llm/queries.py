@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language, main_text, mixing, near_duplicates, quality, secret_scan, toxicity, warc
+from . import (
+    decontamination, fingerprints, hard_negatives, language, main_text, mixing, near_duplicates, phrases, quality,
+    secret_scan, simhash, toxicity, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": lambda s, d: decontamination.contamination(
             t(s, d, "documents"), t(s, d, "benchmark")
         ),
+        "op11_simhash": lambda s, d: simhash.near_duplicates(t(s, d, "documents")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.mine(t(s, d, "embeddings")),
+        "op13_collocations": lambda s, d: phrases.collocations(t(s, d, "documents")),
     }
 
 
@@ -37,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE_SQL,
         "op5_warc": warc.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op13_collocations": phrases.ORACLE_SQL,
     }

@@ -15,7 +15,7 @@ def rows(table):
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     mine = registered.queries()[name](spark, SF).toArrow()
     theirs = duck.sql(registered.oracle_sql()[name]).to_arrow_table()
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 14))
 
 
 def test_pipeline_equals_plain_steps(spark):
