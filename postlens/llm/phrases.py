@@ -4,11 +4,13 @@ A text is cut into pieces, a piece into words.  Nodes of the graph are runs of
 ``LONGEST - 1`` words, an edge is a run of ``LONGEST`` words between the two nodes that
 overlap in it, and its weight is how often it occurs.
 
-1. Edges are counted in every task first and then added up; so are the short ends of
-   pieces, which no edge leaves.
+1. Edges are counted in every task first and then added up by the node that they leave,
+   together with the short ends of pieces, which no edge leaves.  Nodes that hold a large
+   part of a sample's edges are dealt to ``SLICES`` tasks; that changes no count.
 2. Counts of shorter phrases are not read from the texts again: every occurrence of a
    phrase is followed by a word, or it ends its piece.  So a node's count is what flows
-   out of it plus the pieces that end there, and the same holds one word shorter.
+   out of it plus the pieces that end there, and the same holds one word shorter.  Rare
+   edges and nodes are dropped as soon as their weight has flowed into what is shorter.
 3. Only phrases that reach the least count go on.  Unary paths among their edges (no
    branch and no junction at the nodes between) are compacted: a path is one row with its
    words and weights.  Paths are also cut at one node in ``CUT``, chosen by hash, and are
@@ -22,6 +24,7 @@ overlap in it, and its weight is how often it occurs.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,17 +41,20 @@ TOP = 2000
 SHARE = 50
 SCALE = 1_000_000
 #: Distinct grams that a task holds before it hands on what it has counted.
-HELD = 200_000
+HELD = 500_000
+#: One text in so many tells which nodes are hot: those with that share of its edges.
+SAMPLE, HOT_SHARE = 64, 1 / 1000
+SLICES = 64
 CUT = 32
 ROUNDS = 9
 #: Parts in which a language is ranked first.
 PARTS = 32
 _PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-_GRAMS = "lang string, k int, gram string, n long"
+_GRAMS = "lang string, node string, slice int, next string, n long"
 
 
-def _count(longest: int):
-    """Task function: texts to counted edges (``k = longest``) and ends of pieces (shorter)."""
+def _count(longest: int, hot: frozenset = frozenset()):
+    """Task function: texts to counted edges, and to counted ends of pieces (``next`` NULL)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[Counter]] = {}
@@ -59,10 +65,18 @@ def _count(longest: int):
                     grams = list(counter)
                     for start in range(0, len(grams), 50_000):
                         part = grams[start : start + 50_000]
+                        counts = [counter[g] for g in part]
+                        last = [None] * len(part)
+                        if k == longest:
+                            part, _, last = zip(*[g.rpartition(b" ") for g in part])
+                        slices = [0] * len(part)
+                        if hot and k >= longest - 1:
+                            slices = [1 + zlib.crc32(x or b"") % SLICES if (lang, g) in hot else 0 for g, x in zip(part, last)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part)), pa.array([k] * len(part), pa.int32()),
-                             pa.array(part, pa.binary()).cast(pa.string()), pa.array([counter[g] for g in part], pa.int64())],
-                            ["lang", "k", "gram", "n"],
+                            [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                             pa.array(slices, pa.int32()), pa.array(last, pa.binary()).cast(pa.string()),
+                             pa.array(counts, pa.int64())],
+                            ["lang", "node", "slice", "next", "n"],
                         )
             held.clear()
 
@@ -91,36 +105,77 @@ def _count(longest: int):
     return run
 
 
-def graph(documents: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``(lang, k, gram, n)``: edges with their weights (``k = longest``), and for smaller
-    ``k`` how many pieces end in the gram."""
+def _words(gram: Column) -> Column:
+    return F.split(gram, " ")
+
+
+def _hot_nodes(texts: DataFrame, longest: int) -> frozenset:
+    """Nodes with a large share of the edges of a sample, at most ``1 / HOT_SHARE``.
+
+    They only decide where rows are added up."""
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    nodes = cut_lineage(
+        sample.mapInArrow(_count(longest), _GRAMS).where("next IS NOT NULL").groupBy("lang", "node").agg(F.sum("n").alias("n")),
+        "sampled-nodes",
+    )
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = nodes.where(F.col("n") > max(total * HOT_SHARE, SLICES)).collect()
+    return frozenset((r["lang"], r["node"].encode()) for r in hot)
+
+
+def flow(documents: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> DataFrame:
+    """``(lang, k, gram, f, whole)``: what the graph's edges and nodes hand down.
+
+    Edges that occur ``least`` times, their count in ``f``; the same for nodes, where
+    several rows of one node add up; and for all that is rarer or shorter, rows that count
+    for its first words (``whole`` false), which add up to phrases of ``k`` words."""
     texts = documents.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    return texts.mapInArrow(_count(longest), _GRAMS).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_count(longest, _hot_nodes(texts, longest)), _GRAMS)
+    # Tasks have added up already; all that leaves a node meets here, in one shuffle.
+    edges = (
+        counted.repartition("lang", "node", "slice").groupBy("lang", "node", "slice", "next").agg(F.sum("n").alias("n"))
+    )
+    own = Window.partitionBy("lang", "node", "slice").orderBy(F.asc_nulls_first("next"))
+    sums = edges.withColumns({
+        "f": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "place": F.row_number().over(own),
+    })
+    size = F.size(_words(F.col("node")))
+    row = lambda k, gram, f, whole: F.struct(
+        F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), gram.alias("gram"), F.col(f).alias("f"), F.lit(whole).alias("whole"))
+    edge = F.when(F.col("next").isNotNull() & (F.col("n") >= least),
+                  row(longest, F.concat_ws(" ", "node", "next"), "n", True))
+    # A slice is a part of its node's count, so it goes on whatever its own sum is.
+    node = F.when(
+        F.col("place") == 1,
+        F.when((size == longest - 1) & ((F.col("f") >= least) | (F.col("slice") > 0)), row(longest - 1, F.col("node"), "f", True))
+        .otherwise(row(F.least(size, F.lit(longest - 2)), F.substring_index("node", " ", longest - 2), "f", False)),
+    )
+    return sums.select("lang", F.inline(F.filter(F.array(edge, node), F.isnotnull)))
 
 
-def _words(gram: Column) -> Column:
-    return F.split(gram, " ")
+def phrase_counts(flows: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of all phrases that occur ``least`` times, ``(lang, k, gram, f)``, and the
+    words of each language, ``(lang, n)``, both added up from :func:`flow`."""
+    whole = flows.where("whole")
+    counts = whole.where(F.col("k") == longest).select("lang", "k", "gram", "f")
+    level = whole.where(F.col("k") == longest - 1).groupBy("lang", "gram").agg(F.sum("f").alias("f"))
+    for k in range(longest - 1, 0, -1):
+        if k < longest - 1:
+            level = _handed_down(flows, level, k)
+        level = cut_lineage(level, f"flow-{k}")
+        counts = counts.unionByName(level.where(F.col("f") >= least).select("lang", F.lit(k).alias("k"), "gram", "f"))
+    return counts, _handed_down(flows, level, 0).select("lang", F.col("f").alias("n"))
 
 
-def phrase_counts(edges: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Counts of all phrases that occur ``least`` times, ``(lang, k, gram, f)``, and the
-    words of each language, ``(lang, n)``, both from the flow of the graph."""
-    found = []
-    level = edges.where(F.col("k") == longest).select("lang", "gram", F.col("n").alias("f"))
-    for k in range(longest, 0, -1):
-        if k < longest:
-            head = F.array_join(F.slice(_words(F.col("gram")), 1, k), " ")
-            ends = edges.where(F.col("k") == k).select("lang", "gram", F.col("n").alias("f"))
-            flow = level.select("lang", head.alias("gram"), "f").unionByName(ends)
-            level = cut_lineage(flow.groupBy("lang", "gram").agg(F.sum("f").alias("f")), f"flow-{k}")
-        found.append(level.where(F.col("f") >= least).select("lang", F.lit(k).alias("k"), "gram", "f"))
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    return counts, level.groupBy("lang").agg(F.sum("f").alias("n"))
+def _handed_down(flows: DataFrame, longer: DataFrame, k: int) -> DataFrame:
+    """Counts of the phrases of ``k`` words: those one word longer, and what counts for them."""
+    heads = longer.select("lang", F.substring_index("gram", " ", k).alias("gram"), "f")
+    rest = flows.where(~F.col("whole") & (F.col("k") == k)).select("lang", "gram", "f")
+    return heads.unionByName(rest).groupBy("lang", "gram").agg(F.sum("f").alias("f"))
 
 
 def compact(edges: DataFrame, longest: int = LONGEST, cut: int = CUT, rounds: int = ROUNDS) -> DataFrame:
@@ -198,8 +253,8 @@ def collocations(
     time.  Ties in score and count go by the phrase's bytes, so ranks are unique.  Other
     columns than text and lang are not read; an empty table has an empty result.
     """
-    edges = cut_lineage(graph(documents, longest), "edges")
-    counts, totals = phrase_counts(edges, longest, least)
+    flows = cut_lineage(flow(documents, longest, least), "flows")
+    counts, totals = phrase_counts(flows, longest, least)
     counts = cut_lineage(counts, "phrase-counts")
     paths = cut_lineage(compact(counts.where(F.col("k") == longest), longest), "paths")
 
