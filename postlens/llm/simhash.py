@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_ROWS, lookup_join
 from ..sources.scratch import cut_lineage
 from .components import components
 
@@ -37,6 +36,8 @@ BITS = 64
 RADIUS = 2
 #: Fingerprints of a bucket that are compared pair by pair.
 BLOCK = 64
+#: Rows of one fingerprint that meet in one task.
+HOT_ROWS = 500_000
 #: Bytes of a text whose words are held at once.
 PIECE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -169,7 +170,10 @@ def near_duplicates(documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     marked = cut_lineage(
         documents.select("doc_id", _fingerprint_column(F.col("text")).alias("fingerprint")), "fingerprints"
     )
-    classes = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    classes = cut_lineage(
+        marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")),
+        "fingerprint-classes",
+    )
     links = cut_lineage(covering_links(classes.select("fingerprint")), "links")
     joined = components(links).withColumnRenamed("node", "fingerprint")
     grouped = cut_lineage(joined.join(classes, "fingerprint"), "grouped")
@@ -178,10 +182,17 @@ def near_duplicates(documents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     tied = grouped.join(smallest, "component").select("fingerprint", F.lit(True).alias("tied"), "id")
     named = cut_lineage(
         classes.join(tied, "fingerprint", "left").select(
-            "fingerprint", F.when(F.col("tied"), F.col("id")).otherwise(F.col("least")).alias("component_id")
+            "fingerprint", "m", F.when(F.col("tied"), F.col("id")).otherwise(F.col("least")).alias("component_id")
         ),
         "named",
     )
-    return lookup_join(marked, named, ["fingerprint"], hot_rows).select(
+    # A fingerprint of very many rows is cut into slices, its one row of names repeated.
+    hot = cut_lineage(
+        named.where(F.col("m") > hot_rows).select("fingerprint", F.ceil(F.col("m") / hot_rows).cast("int").alias("slices")), "hot"
+    )
+    slices = F.coalesce("slices", F.lit(1))
+    rows = marked.join(hot, "fingerprint", "left").withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int"))
+    names = named.join(hot, "fingerprint", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return rows.join(names.drop("slices", "m"), ["fingerprint", "slice"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
