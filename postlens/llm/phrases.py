@@ -50,7 +50,10 @@ ROUNDS = 9
 #: Parts in which a language is ranked first.
 PARTS = 32
 _PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-_GRAMS = "lang string, node string, slice int, next string, n long"
+#: What comes out of a task: a node with its kind and language, as lines of one key, so that
+#: rows are short and sort by their words.  Kind is empty for nodes, ``s`` and a number
+#: for slices of hot ones, ``e`` and the number of words for shorter ends of pieces.
+_GRAMS = "key string, next string, n long"
 
 
 def _count(longest: int, hot: frozenset = frozenset()):
@@ -69,14 +72,16 @@ def _count(longest: int, hot: frozenset = frozenset()):
                         last = [None] * len(part)
                         if k == longest:
                             part, _, last = zip(*[g.rpartition(b" ") for g in part])
-                        slices = [0] * len(part)
+                        kind = b"\n%s\n" % (b"" if k >= longest - 1 else b"e%d" % k) + lang.encode()
+                        keys = [g + kind for g in part]
                         if hot and k >= longest - 1:
-                            slices = [1 + zlib.crc32(x or b"") % SLICES if (lang, g) in hot else 0 for g, x in zip(part, last)]
+                            for i, (g, x) in enumerate(zip(part, last)):
+                                if (lang, g) in hot:
+                                    keys[i] = g + b"\ns%d\n" % (zlib.crc32(x or b"") % SLICES) + lang.encode()
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                             pa.array(slices, pa.int32()), pa.array(last, pa.binary()).cast(pa.string()),
+                            [pa.array(keys, pa.binary()).cast(pa.string()), pa.array(last, pa.binary()).cast(pa.string()),
                              pa.array(counts, pa.int64())],
-                            ["lang", "node", "slice", "next", "n"],
+                            ["key", "next", "n"],
                         )
             held.clear()
 
@@ -109,13 +114,21 @@ def _words(gram: Column) -> Column:
     return F.split(gram, " ")
 
 
+def _fields(rows: DataFrame) -> DataFrame:
+    """``rows`` with the node, kind and lang of their key."""
+    rows = rows.withColumn("node", F.substring_index("key", "\n", 1))
+    rows = rows.withColumn("after", F.expr("substring(key, char_length(node) + 2)"))
+    rows = rows.withColumn("kind", F.substring_index("after", "\n", 1))
+    return rows.withColumn("lang", F.expr("substring(after, char_length(kind) + 2)")).drop("after")
+
+
 def _hot_nodes(texts: DataFrame, longest: int) -> frozenset:
     """Nodes with a large share of the edges of a sample, at most ``1 / HOT_SHARE``.
 
     They only decide where rows are added up."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     nodes = cut_lineage(
-        sample.mapInArrow(_count(longest), _GRAMS).where("next IS NOT NULL").groupBy("lang", "node").agg(F.sum("n").alias("n")),
+        _fields(sample.mapInArrow(_count(longest), _GRAMS).where("next IS NOT NULL")).groupBy("lang", "node").agg(F.sum("n").alias("n")),
         "sampled-nodes",
     )
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -124,45 +137,45 @@ def _hot_nodes(texts: DataFrame, longest: int) -> frozenset:
 
 
 def flow(documents: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> DataFrame:
-    """``(lang, k, gram, f, whole)``: what the graph's edges and nodes hand down.
+    """``(lang, edge, n, k, gram, f, whole)``: what the graph's edges and nodes hand down.
 
-    Edges that occur ``least`` times, their count in ``f``; the same for nodes, where
-    several rows of one node add up; and for all that is rarer or shorter, rows that count
-    for its first words (``whole`` false), which add up to phrases of ``k`` words."""
+    ``edge`` and its count ``n`` are given for edges that occur ``least`` times.  ``gram``
+    and ``f`` are nodes of that count, where several rows of one node add up (``whole``);
+    all that is rarer or shorter counts for its first ``k`` words, where rows add up to
+    phrases of ``k`` words."""
     texts = documents.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
     counted = texts.mapInArrow(_count(longest, _hot_nodes(texts, longest)), _GRAMS)
     # Tasks have added up already; all that leaves a node meets here, in one shuffle.
-    edges = (
-        counted.repartition("lang", "node", "slice").groupBy("lang", "node", "slice", "next").agg(F.sum("n").alias("n"))
-    )
-    own = Window.partitionBy("lang", "node", "slice").orderBy(F.asc_nulls_first("next"))
+    edges = counted.repartition("key").groupBy("key", "next").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("key").orderBy(F.asc_nulls_first("next"))
     sums = edges.withColumns({
         "f": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "place": F.row_number().over(own),
     })
-    size = F.size(_words(F.col("node")))
-    row = lambda k, gram, f, whole: F.struct(
-        F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), gram.alias("gram"), F.col(f).alias("f"), F.lit(whole).alias("whole"))
-    edge = F.when(F.col("next").isNotNull() & (F.col("n") >= least),
-                  row(longest, F.concat_ws(" ", "node", "next"), "n", True))
+    frequent = F.col("next").isNotNull() & (F.col("n") >= least)
+    first = F.col("place") == 1
+    kind = F.col("kind")
     # A slice is a part of its node's count, so it goes on whatever its own sum is.
-    node = F.when(
-        F.col("place") == 1,
-        F.when((size == longest - 1) & ((F.col("f") >= least) | (F.col("slice") > 0)), row(longest - 1, F.col("node"), "f", True))
-        .otherwise(row(F.least(size, F.lit(longest - 2)), F.substring_index("node", " ", longest - 2), "f", False)),
+    whole = ~kind.startswith("e") & ((F.col("f") >= least) | kind.startswith("s"))
+    shorter = F.when(kind.startswith("e"), F.substring(kind, 2, 9).try_cast("int")).otherwise(longest - 2)
+    return _fields(sums.where(frequent | first)).select(
+        "lang", F.when(frequent, F.concat_ws(" ", "node", "next")).alias("edge"), F.when(frequent, F.col("n")).alias("n"),
+        F.when(first, F.when(whole, longest - 1).otherwise(shorter)).alias("k"),
+        F.when(first, F.when(whole, F.col("node")).otherwise(F.substring_index("node", " ", longest - 2))).alias("gram"),
+        F.when(first, F.col("f")).alias("f"), F.when(first, whole).alias("whole"),
     )
-    return sums.select("lang", F.inline(F.filter(F.array(edge, node), F.isnotnull)))
 
 
 def phrase_counts(flows: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases that occur ``least`` times, ``(lang, k, gram, f)``, and the
     words of each language, ``(lang, n)``, both added up from :func:`flow`."""
     whole = flows.where("whole")
-    counts = whole.where(F.col("k") == longest).select("lang", "k", "gram", "f")
-    level = whole.where(F.col("k") == longest - 1).groupBy("lang", "gram").agg(F.sum("f").alias("f"))
+    edges = flows.where("edge IS NOT NULL")
+    counts = edges.select("lang", F.lit(longest).alias("k"), F.col("edge").alias("gram"), F.col("n").alias("f"))
+    level = whole.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
     for k in range(longest - 1, 0, -1):
         if k < longest - 1:
             level = _handed_down(flows, level, k)
