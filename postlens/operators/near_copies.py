@@ -100,36 +100,42 @@ def _winnow():
     return run
 
 
-def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(part, head, node)``: another head of the same part occurs in the node's text.
-
-    ``posts(part, node, text, head)``.
-    """
+def marks(posts: DataFrame) -> DataFrame:
+    """Selected grams of ``posts(part, node, text, head)``, those of the head's first window
+    marked ``first``: ``(part, node, own_size, chars, at, gram, first)``."""
     sizes = posts.select(
         "part", "node", F.char_length("head").alias("own_size"), F.char_length("text").alias("chars"), "text"
     )
     fields = (
         sizes.drop("text").schema.add("at", T.IntegerType()).add("gram", T.LongType()).add("first", T.BooleanType())
     )
-    marked = cut_lineage(sizes.mapInArrow(_winnow(), fields), "grams")
+    return sizes.mapInArrow(_winnow(), fields)
 
+
+def head_places(texts: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(part, node, own_size, start, size)``: where a head that shares a gram may start in
+    a text.  Both are :func:`marks`, of texts and of posts whose heads are looked for."""
     # Per gram: where it sits in the heads it stands for, and how long those are.
     # Offsets are below 35 and sizes between 50 and 80, so the sets are bounded.
     spot = F.struct(F.col("at").alias("offset"), F.col("own_size").alias("size"))
-    head_grams = marked.where("first").groupBy("part", "gram").agg(F.collect_set(spot).alias("spots"))
-    places = (
-        lookup_join(marked, head_grams, ["part", "gram"], hot_rows)
-        .select("node", "at", "own_size", "chars", F.explode("spots").alias("spot"))
-        .select("node", "own_size", (F.col("at") - F.col("spot.offset")).alias("start"),
+    head_grams = heads.where("first").groupBy("part", "gram").agg(F.collect_set(spot).alias("spots"))
+    return (
+        lookup_join(texts, head_grams, ["part", "gram"], hot_rows)
+        .select("part", "node", "at", "own_size", "chars", F.explode("spots").alias("spot"))
+        .select("part", "node", "own_size", (F.col("at") - F.col("spot.offset")).alias("start"),
                 F.col("spot.size").alias("size"), "chars")
-        .where(
-            (F.col("start") >= 0)
-            & (F.col("start") + F.col("size") <= F.col("chars"))
-            & ~((F.col("start") == 0) & (F.col("size") == F.col("own_size")))
-        )
-        .select("node", "start", "size")
-        .distinct()
+        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("chars")))
+        .drop("chars").distinct()
     )
+
+
+def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(part, head, node)``: another head of the same part occurs in the node's text.
+
+    ``posts(part, node, text, head)``.
+    """
+    marked = cut_lineage(marks(posts), "grams")
+    places = head_places(marked, marked, hot_rows).where("NOT (start = 0 AND size = own_size)").drop("part", "own_size")
     found = places.join(posts, "node").select(
         "part", "node", F.col("head").alias("own_head"),
         F.expr("substring(text, start + 1, size)").alias("head"),
@@ -139,6 +145,23 @@ def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lookup_join(candidates, heads, ["part", "head"], hot_rows)
 
 
+def heads_in_texts(texts: DataFrame, heads: DataFrame, text_marks: DataFrame, head_marks: DataFrame) -> DataFrame:
+    """``(part, head, node)``: a head of ``heads`` occurs in the text of a node of ``texts``,
+    two sets of posts without a common node."""
+    found = head_places(text_marks, head_marks).join(texts.select("node", "text"), "node").select(
+        "part", "node", F.expr("substring(text, start + 1, size)").alias("head")
+    )
+    return found.distinct().join(heads.select("part", "head").distinct(), ["part", "head"])
+
+
+def as_posts(posts: DataFrame, part: list[str], order: str, text: str = "text") -> DataFrame:
+    """``(part, node, text, head)`` of posts that are long enough already."""
+    return posts.select(
+        F.struct(*part).alias("part"), F.col(order).alias("node"), F.col(text).alias("text"),
+        F.substring(text, 1, fv.HEAD_CHARS).alias("head"),
+    )
+
+
 def drop_near_copies(
     posts: DataFrame, part: list[str], order: str = "post_id", text: str = "text",
     hot_rows: int = HOT_ROWS,
@@ -149,15 +172,7 @@ def drop_near_copies(
     stripped.
     """
     usable = long_enough(posts, text)
-    base = cut_lineage(
-        usable.select(
-            F.struct(*part).alias("part"),
-            F.col(order).alias("node"),
-            F.col(text).alias("text"),
-            F.substring(text, 1, fv.HEAD_CHARS).alias("head"),
-        ),
-        "posts",
-    )
+    base = cut_lineage(as_posts(usable, part, order, text), "posts")
     inside = cut_lineage(contained_heads(base, hot_rows), "heads")
 
     # Posts with the same head conflict with each other.  Of those that contain no

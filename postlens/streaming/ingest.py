@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedupe import admit, entry_key
+from ..operators.dedupe import admit_new, admit_new_two_keys, text_key, triple_key
+from ..operators.near_copies import as_posts, drop_near_copies, heads_in_texts, long_enough, marks
 from ..plans.jobs import to_listings
 from ..sources.schemas import POSTS
+from ..sources.scratch import cut_lineage
+from ..sources.versions import BucketIndex
+from .runs import run_id
 
+#: Buckets of an index.  A table keeps the number that it was begun with.
+BUCKETS = 32
+KEYS = T.StructType([T.StructField("key", T.BinaryType())])
 CORRUPT = "_corrupt_record"
 
 
@@ -26,30 +32,78 @@ def read_posts(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return reader.json(path)
 
 
-def _run_id(spark: SparkSession, checkpoint: str) -> str:
-    """Name of the run that ``checkpoint`` belongs to, kept beside it.
-
-    Batch numbers begin anew with each checkpoint; folders are named by run and batch,
-    so a second checkpoint adds to a table and a retry repeats its own folder."""
-    path = checkpoint.rstrip("/") + "_run"
-    spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("ignore").parquet(path)
-    return spark.read.schema("run string").parquet(path).first()["run"]
-
-
 def _batch_path(table: str, run: str, batch_id: int) -> str:
     return f"{table.rstrip('/')}/run={run}/batch_id={batch_id}"
 
 
-def _open_key_table(spark: SparkSession, keys: str) -> None:
-    """Make sure the key table can be read before the first batch has written to it."""
-    none = spark.range(0).select(F.lit(None).cast("binary").alias("key"))
-    none.write.mode("ignore").parquet(_batch_path(keys, "none", -1))
+def _digest(key: Column) -> Column:
+    return F.unhex(F.sha2(F.to_json(key), 256))
 
 
-def _known_keys(spark: SparkSession, keys: str, run: str, batch_id: int) -> DataFrame:
-    """Keys of other runs and of earlier batches; a retry must not see its own first attempt."""
-    rows = spark.read.schema("key BINARY, run STRING, batch_id INT").parquet(keys)
-    return rows.where((F.col("run") != run) | (F.col("batch_id") < batch_id)).select("key")
+def key_index(spark: SparkSession, table: str, buckets: int = BUCKETS) -> BucketIndex:
+    """Digests of the texts and of the triples of all rows of ``table``, beside it."""
+    return BucketIndex(spark, table.rstrip("/") + "_keys", KEYS, ["key"], buckets)
+
+
+def _not_stored(rows: DataFrame, index: BucketIndex, run: str, batch_id: int) -> DataFrame:
+    """Rows whose text and whose triple are in no stored row."""
+    for key in (text_key(), triple_key()):
+        # A row known by its id only never conflicts with another one.
+        digest = F.when(key["kind"] != "row", _digest(key))
+        keyed = rows.withColumn("_digest", digest)
+        touched = index.touched(keyed.where("_digest IS NOT NULL"), "_digest")
+        known = index.find(touched, run, batch_id).select(F.col("key").alias("_digest"))
+        rows = keyed.join(known, "_digest", "left_anti").drop("_digest")
+    return rows
+
+
+def _new_keys(rows: DataFrame) -> DataFrame:
+    keys = F.explode(F.array(*(F.when(k["kind"] != "row", _digest(k)) for k in (text_key(), triple_key()))))
+    return rows.select(keys.alias("key")).where("key IS NOT NULL")
+
+
+class NearCopies:
+    """The near-copy filter across the batches of a run.
+
+    Kept posts are stored with their winnowed grams, both by buckets.  A batch reads the
+    grams that it shares and then the posts behind them, in both directions: stored heads
+    in new texts, and new heads in stored texts.  What is left is filtered as one batch."""
+
+    def __init__(self, spark: SparkSession, table: str, part: list[str], order: str = "post_id", buckets: int = BUCKETS):
+        self.spark, self.path, self.part, self.order = spark, table.rstrip("/") + "_near", part, order
+        self.buckets = buckets
+
+    def filter(self, posts: DataFrame, run: str, batch_id: int) -> DataFrame:
+        usable = cut_lineage(long_enough(posts), "batch-posts")
+        new = cut_lineage(as_posts(usable, self.part, self.order), "new-posts")
+        new_marks = cut_lineage(marks(new), "new-marks")
+        grams = BucketIndex(self.spark, self.path + "/grams", new_marks.schema, ["part", "gram"], self.buckets)
+        texts = BucketIndex(self.spark, self.path + "/posts", new.schema, ["node"], self.buckets)
+
+        shared = grams.find(grams.touched(new_marks), run, batch_id).join(
+            new_marks.select("part", "gram").distinct(), ["part", "gram"], "left_semi"
+        )
+        old_marks = cut_lineage(shared, "old-marks")
+        nodes = cut_lineage(old_marks.select("node").distinct(), "old-nodes")
+        old = cut_lineage(texts.find(texts.touched(nodes), run, batch_id).join(nodes, "node", "left_semi"), "old-posts")
+        holding = heads_in_texts(new, old, new_marks, old_marks).select("node")
+        held = heads_in_texts(old, new, old_marks, new_marks).select("part", "head").distinct()
+        dropped = cut_lineage(holding.unionByName(new.join(held, ["part", "head"], "left_semi").select("node")), "known-copies")
+
+        left = usable.join(dropped.withColumnRenamed("node", self.order), self.order, "left_anti")
+        kept = cut_lineage(drop_near_copies(left, self.part, self.order), "kept-posts")
+        ids = kept.select(F.col(self.order).alias("node"))
+        grams.append(new_marks.join(ids, "node", "left_semi"), run, batch_id)
+        texts.append(new.join(ids, "node", "left_semi"), run, batch_id)
+        return kept
+
+
+def _reason(batch: DataFrame) -> Column:
+    """Why a row cannot become a listing; NULL for good rows."""
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in batch.columns else F.lit(False)
+    return (
+        F.when(broken, "not a JSON object").when(F.col("post_id").isNull(), "no id").when(F.col("text").isNull(), "no text")
+    )
 
 
 def start_ingest(
@@ -57,44 +111,55 @@ def start_ingest(
     table: str,
     checkpoint: str,
     groups: DataFrame | None = None,
+    predictions: DataFrame | None = None,
+    near_copies_within: list[str] | None = None,
     quarantine: str | None = None,
     after_batch: Callable[[DataFrame, int], None] | None = None,
+    tasks: int | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Extract, admit and append each micro-batch of a post stream; ends when all is read.
 
-    Uniqueness has no time limit, so it is checked against the stored table and not
-    against stream state.  Beside the listings each batch writes the digests of its
-    keys (``<table>_keys``), and the check reads only those.  A batch writes into its
-    own folder and overwrites it when it runs again, so a retry changes nothing.
+    Batch after batch this gives what the sequential rule gives for the whole stream: a
+    post is dropped as a near-copy of an earlier kept one of its part, and a listing
+    enters unless an earlier one that entered has its text or its triple.  Uniqueness has
+    no time limit, so it is looked up in an index of stored keys, of which a batch reads
+    the buckets that it needs, and not in stream state.  With ``predictions`` equal texts
+    may have different triples, and both rules are settled together inside the batch.
+
+    Rows that cannot become listings go to ``quarantine`` with the reason and their group;
+    the others go on.  A batch writes into folders of its own and replaces them when it
+    runs again.  ``tasks`` deals out a batch whose files are few and small; ``buckets`` is
+    the size of the indexes, for a new table: take so many that one is a few megabytes.
     """
-    keys = table.rstrip("/") + "_keys"
-    _open_key_table(posts.sparkSession, keys)
-    name = _run_id(posts.sparkSession, checkpoint)
+    name = run_id(posts.sparkSession, checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if CORRUPT in batch.columns:
-            # Broken lines go aside; the rest of the batch goes on.
+        if tasks:
+            batch = batch.repartition(tasks)
+        reason = _reason(batch)
+        if quarantine or CORRUPT in batch.columns:
+            # Read once; a part that is lost is read again from the landed files.
             batch = batch.persist()
-            broken = batch.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-            if quarantine:
-                broken.write.mode("overwrite").parquet(_batch_path(quarantine, name, batch_id))
-            good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        else:
-            good = batch
-        digest = F.unhex(F.sha2(F.to_json(entry_key()), 256))
-        known = _known_keys(spark, keys, name, batch_id)
-        rows = admit(to_listings(good, groups), known, digest, ["id"])
-        rows.write.mode("overwrite").parquet(_batch_path(table, name, batch_id))
+        if quarantine:
+            kept = [c for c in ("group_id", "post_id", CORRUPT) if c in batch.columns]
+            bad = batch.withColumn("reason", reason).where("reason IS NOT NULL").select("reason", *kept)
+            bad.write.mode("overwrite").parquet(_batch_path(quarantine, name, batch_id))
+        good = batch.where(reason.isNull()).drop(CORRUPT)
+        if near_copies_within:
+            good = NearCopies(spark, table, near_copies_within, buckets=buckets).filter(good, name, batch_id)
+        index = key_index(spark, table, buckets)
+        rows = cut_lineage(to_listings(good, groups, predictions), "batch-listings")
+        fresh = _not_stored(rows, index, name, batch_id)
+        admitted = admit_new(fresh) if predictions is None else admit_new_two_keys(cut_lineage(fresh, "fresh"))
+        admitted.write.mode("overwrite").parquet(_batch_path(table, name, batch_id))
         # Read back: the keys are those of the rows that were written.
-        written = spark.read.parquet(_batch_path(table, name, batch_id))
-        # A row known by its id only never conflicts with another one.
-        lasting = written.where(entry_key()["kind"] != "row").select("key")
-        lasting.write.mode("overwrite").parquet(_batch_path(keys, name, batch_id))
+        written = spark.read.schema(admitted.schema).parquet(_batch_path(table, name, batch_id))
+        index.append(_new_keys(written), name, batch_id)
         if after_batch:
-            after_batch(written.drop("key"), batch_id)
-        if CORRUPT in batch.columns:
-            batch.unpersist()
+            after_batch(written, batch_id)
+        batch.unpersist()
 
     return (
         posts.writeStream.foreachBatch(run)
@@ -104,6 +169,13 @@ def start_ingest(
     )
 
 
+def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:
+    """Failed rows per group and reason."""
+    rows = spark.read.parquet(quarantine)
+    group = F.col("group_id") if "group_id" in rows.columns else F.lit(None).cast("int")
+    return rows.groupBy(group.alias("group_id"), "reason").agg(F.count("*").alias("failed"))
+
+
 def unique_within(posts: DataFrame, horizon: str, text: str = "text") -> DataFrame:
     """Exact text uniqueness on a stream for as long as ``horizon`` (for example "30 days").
 
