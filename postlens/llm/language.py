@@ -14,7 +14,6 @@ Texts are read whole.  Equal texts have equal predictions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +36,6 @@ PER_LANGUAGE = 400
 LANGUAGES = 1024
 UNKNOWN = "und"
 FOLDS, HELD = 4, 2
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(chunk: w.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -97,7 +95,8 @@ def train(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE,
         .select("doc_id")
         .distinct()
     )
-    sample = bounded_sample(documents, chosen, per_language * len(languages), [])
+    # A chosen id may have other rows, of a language that is not learned.
+    sample = bounded_sample(documents.where(F.col("lang").cast("string").isin(languages)), chosen, per_language * len(languages), [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[str]] = {}
@@ -144,7 +143,7 @@ def _predictor(names: list[str], sliced: np.ndarray) -> Callable[[list[str]], li
         out = []
         rest = np.maximum(hits - total[:, None] * false, 0) / (1 - false) if names else hits
         for text, row in zip(texts, rest):
-            if not names or not _LETTER.search(text):
+            if not names or not any(map(str.isalpha, text)):
                 out.append({"lang": UNKNOWN, "score": 0.0})
                 continue
             best, everything = int(row.argmax()), float(row.sum())

@@ -1,19 +1,27 @@
 """Main text of web pages by composite text density.
 
-The page is read into a tree.  Parts that are never article text leave it: scripts,
-menus, page headers and footers, sidebars, forms, adverts, notices and reader
-comments, told by element, role or by words of their class and id.  For every node left
-the characters per tag are computed and lowered by the share of characters and tags in
-links; a node's score is the sum of its children's densities.  The node with the
-largest score is the article; below it, parts less dense than the thinnest node on the
-way from it to the body are dropped.  If that node lies in an ``article`` or ``main``
-element, that whole element is the article, since the page says so itself.
+The page is read into a tree.  Elements and roles that are never article text leave it
+first: scripts, menus, page headers and footers, sidebars, forms, dialogs and what is
+hidden.  So do boxes whose class or id is a name for adverts, notices, comments and the
+like; a name counts only if all of its words are of that kind (``ad-box``, not
+``no-sidebar`` or ``copyright-law``), and a box that holds most of the text stays.
+
+For every node left the characters per tag are computed and lowered by the share of
+characters and tags in links; a node's score is the sum of its children's densities.
+The node with the largest score is the core of the article.  The least density on the
+way from it to the body is the threshold.  The article grows from the core to its parent
+as long as all that the parent adds looks like the article too: parts at the threshold
+whose text is not mostly links, and of those without a tag for headings, paragraphs or
+sections only such with a fair share of the core's score.  Scores inside an ``article`` or ``main`` element count
+``RAISED`` times, and such an element around the core lets it grow that far.  In the article, parts below
+the threshold whose text is mostly links are dropped.
 
 Character references are decoded, white space becomes one blank, blocks are joined in
-page order by one blank.  Nothing else is dropped and nothing is cut.  NULL, empty and
-tag-only pages have an empty text.  Broken and cut-off markup is read as browsers do
-in the common cases: open elements end with their parents, a tag cut off by the end of
-the page is dropped.
+page order by one blank.  Nothing else is dropped and nothing is cut, however long the
+page is.  NULL, empty and tag-only pages have an empty text.  Broken and cut-off markup
+is read as browsers do in the common cases: open elements end with their parents, a tag
+cut off by the end of the page is dropped.  Only page_id, url and html are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -69,6 +77,19 @@ NEVER_WORDS = frozenset(
     " copyright disclaimer skip".split()
 )
 HEADER_WORDS = frozenset("header topbar".split())
+#: Words that say nothing about what a box holds.
+BOX_WORDS = frozenset(
+    "box wrap wrapper container block section area list bar panel inner outer holder unit slot zone row col column item"
+    " items site page top bottom left right global small large main primary secondary content div group".split()
+)
+#: Tags of parts that a text is made of.
+TEXT_TAGS = frozenset(
+    "h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table figure figcaption blockquote pre section header details address hr center".split()
+)
+#: Share of the core's score that another box beside it needs.
+FAIR = 0.25
+#: What a score in an ``article`` or ``main`` element counts for.
+RAISED = 4
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -78,6 +99,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _says(name: str, never: frozenset) -> bool:
+    """Whether a class or id names a box of a kind that is never article text."""
+    words = [x.lower() for x in _NAME_PARTS.findall(name)]
+    known = [x in never for x in words]
+    return any(known) and all(k or x in BOX_WORDS or x.isdigit() for k, x in zip(known, words))
+
+
 class _Page:
     """The tree in page order: parents before children, a subtree is a range of nodes."""
 
@@ -163,7 +191,7 @@ class _Page:
         holds = [self.tag[i] in ("article", "main") or self.attributes[i].get("role") == "main" for i in range(n)]
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
-        out, inside = [False] * n, [False] * n
+        out, inside, named = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             up = self.parent[i]
             tag, have = self.tag[i], self.attributes[i]
@@ -175,15 +203,24 @@ class _Page:
             elif tag == "header":
                 out[i] = not inside[up] and not holds[i]
             elif have and tag not in ("html", "body", "main") and not (holds[i] and tag != "article"):
-                words = {x.lower() for x in _NAME_PARTS.findall(f"{have.get('class', '')} {have.get('id', '')}")}
                 out[i] = (
                     "hidden" in have
                     or have.get("aria-hidden") == "true"
                     or "display:none" in have.get("style", "").replace(" ", "").lower()
                     or have.get("role", "").lower() in NEVER_ROLES
-                    or bool(words & NEVER_WORDS)
-                    or bool(words & HEADER_WORDS) and not inside[i]
                 )
+                if not out[i] and ("class" in have or "id" in have):
+                    never = NEVER_WORDS if inside[i] else NEVER_WORDS | HEADER_WORDS
+                    named[i] = any(_says(name, never) for name in f"{have.get('class', '')} {have.get('id', '')}".split())
+        if any(named):
+            size = [0] * n
+            for node, text in self.parts:
+                if text and not out[node]:
+                    size[node] += len("".join(text.split()))
+            for i in range(n - 1, 0, -1):
+                size[self.parent[i]] += size[i]
+            for i in range(1, n):
+                out[i] = out[i] or out[self.parent[i]] or named[i] and 2 * size[i] <= size[0]
         return out
 
 
@@ -225,22 +262,33 @@ def main_text(source: str) -> str:
     score = [0.0] * n
     for i in range(1, n):
         score[page.parent[i]] += density[i]
+    holding = [False] * n
+    for i in range(1, n):
+        holding[i] = page.tag[i] in ("article", "main") or holding[page.parent[i]]
+        score[i] *= RAISED if holding[i] else 1
     best = max(range(n), key=lambda i: (score[i], -i)) if any(score) else 0
-    # The page may name its article.
-    named, up = None, best
-    while up >= 0:
-        if page.tag[up] == "article" or (page.tag[up] == "main" and named is None):
-            named = up
+    core, path, up = best, [], best
+    while up > 0 and page.tag[up] not in ("body", "html"):
+        path.append(up)
         up = page.parent[up]
-    thin = 0.0
-    if named is None:
-        path, up = [], best
-        while up >= 0 and page.tag[up] != "body":
-            path.append(density[up])
-            up = page.parent[up]
-        thin = min([*path, density[max(up, 0)]])
-    else:
-        best = named
+    thin = min([density[i] for i in path] + [density[up]])
+    text_like = [density[i] >= thin or 2 * link_chars[i] <= chars[i] for i in range(n)]
+    children: dict[int, list[int]] = {i: [] for i in path}
+    for i in range(min(path, default=n), n):
+        if page.parent[i] in children and not out[i] and chars[i]:
+            children[page.parent[i]].append(i)
+
+    def fits(i: int) -> bool:
+        fair = page.tag[i] in TEXT_TAGS or page.tag[i] in INLINE or score[i] + density[i] >= FAIR * score[core]
+        return text_like[i] and 2 * link_chars[i] <= chars[i] and fair
+
+    named = [k for k, i in enumerate(path) if page.tag[i] in ("article", "main")]
+    reach = max((k for k in named if page.tag[path[k]] == "article"), default=min(named, default=0))
+    for k in range(1, len(path)):
+        if k <= reach or not named and all(i == path[k - 1] or fits(i) for i in children[path[k]]):
+            best = path[k]
+        else:
+            break
     kept = [False] * n
     for i in range(best, n):
         up = page.parent[i]
@@ -248,7 +296,7 @@ def main_text(source: str) -> str:
             kept[i] = True
         elif up >= best and kept[up] and not out[i]:
             # Link lists are thin; a thin part without links is a short paragraph.
-            kept[i] = density[i] >= thin or 2 * link_chars[i] <= chars[i] or page.tag[i] in INLINE
+            kept[i] = text_like[i] or page.tag[i] in INLINE
     pieces = [
         text if text else " " for node, text in page.parts[page.first[best] : page.end[best]] if not text or kept[node]
     ]

@@ -74,3 +74,11 @@ def test_scores_do_not_depend_on_neighbours():
 
 def test_fold_of_null_is_null(spark):
     assert spark.range(1).select(fold(F.lit(None).cast("long"), 5).alias("f")).first()["f"] is None
+
+
+def test_language_needs_a_letter_and_learns_known_rows_only(spark):
+    rows = [(i % 3, f"the words of text {i} are read here", None if i % 2 else "en") for i in range(12)]
+    rows += [(50, "½ ² ①", "en"), (51, "12 :-)", "en"), (52, "x", "en"), (53, None, "en")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.predict_documents(documents).collect()}
+    assert [found[i] for i in (50, 51, 52, 53, 0)] == ["und", "und", "en", "und", "en"]

@@ -1,10 +1,16 @@
 import io
+import re
 import zlib
 
+import duckdb
+import pytest
+
 from pyspark.sql import functions as F
 
+from postlens.llm import main_text as module
 from postlens.llm import warc
 from postlens.llm.main_text import extract_pages, main_text
+from tests.conftest import SF
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header>Site name</header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies, a long text about them.</div>
@@ -27,7 +33,7 @@ def test_page_without_an_article_element():
 
 def test_broken_pages():
     assert [main_text(x) for x in ("", "<", "<p", "a < b", "plain &amp; simple", "<p>open <b>text &am", "<!-- x", "<p>a</div>b</p></p>", "<p title=\">\">q</p>", "<script>x")] == [
-        "", "<", "", "a < b", "plain & simple", "open text &am", "", "a b" if False else main_text("<p>a</div>b</p></p>"), "q", ""]
+        "", "<", "", "a < b", "plain & simple", "open text &am", "", "ab", "q", ""]
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
 
 
@@ -39,6 +45,45 @@ def test_extract_handles_odd_rows(spark):
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<h2>About it</h2>" + "".join(f"<p>{'Some words of an article that goes on for a while here. ' * k}</p>" for k in (2, 5, 3))
+WHOLE = "About it " + " ".join(["Some words of an article that goes on for a while here."] * 10)
+
+
+@pytest.mark.parametrize("box", [
+    '<div class="content no-sidebar">%s</div>', '<div class="content-with-sidebar">%s</div>', '<div class="post share-enabled">%s</div>',
+    '<div class="page-modal-open">%s</div>', '<section id="comments-on-policy">%s</section>', '<div class="comments">%s</div>',
+    "<article>%s</article>", "<main><div>%s</div></main>", "<div><div><div>%s</div></div></div>"])
+def test_boxes_around_the_article(box):
+    page = "<body><div><a href=1>Home</a><a href=2>News</a></div>%s<div class='cookie-notice'>We use cookies.</div></body>"
+    assert main_text(page % (box % ARTICLE)) == WHOLE
+
+
+def test_names_that_only_hold_a_word_of_the_list():
+    assert main_text(f"<div><p class='copyright-law'>On law.</p>{ARTICLE}<p class='ad-box'>Buy</p></div>") == "On law. " + WHOLE
+
+
+def test_density_decides_without_names():
+    """Given pages with all their elements renamed: the text is that of the named page, and
+    a density that says nothing would not find it."""
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF.replace('0.001', '0.01')}/pages.parquet'").fetchall()]
+    bare = [re.sub(r"<(/?)(article|main|nav|footer|aside)\b", r"<\1div", h).replace(' class="ad"', "") for h in pages]
+    named = [re.sub(r"<(/?)(article|main)\b", r"<\1div", h) for h in pages]
+    texts = list(map(main_text, pages))
+    assert sum(main_text(b) == t for b, t in zip(named, texts)) >= 0.99 * len(pages)
+    # Articles of a few words are less dense than the notices beside them.
+    assert sum(main_text(b) == t for b, t in zip(bare, texts)) >= 0.9 * len(pages)
+    density, module._density = module._density, lambda *_: 1.0
+    try:
+        assert sum(main_text(b) == t for b, t in zip(bare, texts)) < 0.8 * len(pages)
+    finally:
+        module._density = density
+
+
+def test_very_long_page():
+    page = f"<div><a href=1>x</a></div><div>{'<p>words of the text</p>' * 30_000}</div>"
+    assert main_text(page) == " ".join(["words of the text"] * 30_000)
+
+
 def archive(payloads):
     out = b""
     for i, p in enumerate(payloads):
