@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .text import strip
 
-# Whole attributes before the one asked for, so that its name is not part of another.
-_ATTRIBUTES = r"""(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s>"']+))?)*?"""
-_HREF = rf"""(?i)<a{_ATTRIBUTES}\s+href\s*=\s*["']([^"']*)["']"""
-_IMG_SRC = rf"""(?i)<img{_ATTRIBUTES}\s+src\s*=\s*["']([^"']*)["']"""
-_HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+# The inside of a tag: quoted values may hold ``>``.  All repetitions are possessive, which
+# Java runs as loops; a plain repeated group would recurse once for each attribute.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+# One attribute with its value in any quoting.
+_ATTRIBUTE = r"""(?<![^\s/"'])[^\s=/>"']++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+# Text that only looks like tags.
+_NOT_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_HEADING = rf"(?is)<h1(?=[\s/>]){_INSIDE}>(.*?)</h1>"
+
+
+def _unescape(texts: Column) -> Column:
+    """Character references of HTML decoded, in a text or an array of texts.
+
+    Only values with a reference reach Python."""
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from html import unescape
+
+        for batch in batches:
+            yield pa.array([None if t is None else unescape(t) for t in batch.to_pylist()], pa.string())
+
+    coded = F.when(texts.contains("&"), texts)
+    return F.coalesce(F.arrow_udf(decode, "string")(coded), texts)
+
+
+def _attribute_values(html: Column, tag: str, name: str) -> Column:
+    """Raw values of the attribute in page order, one for each tag that has it."""
+    page = F.when(html.contains("<!--") | html.rlike("(?i)<s(?:cript|tyle)"), F.regexp_replace(html, _NOT_TAGS, "")).otherwise(html)
+    tags = F.regexp_extract_all(page, F.lit(rf"(?is)<{tag}(?=[\s/])({_INSIDE})>"), 1)
+
+    def value(inside: Column) -> Column:
+        pairs = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 0)
+        own = F.filter(pairs, lambda p: F.lower(F.trim(F.regexp_replace(F.substring_index(p, "=", 1), r"\s", ""))) == name)
+        raw = F.regexp_replace(F.get(own, F.lit(0)), r"^[^=]*+=\s*+", "")
+        quoted = raw.startswith('"') | raw.startswith("'")
+        return F.when(quoted, F.substring(raw, F.lit(2), F.char_length(raw) - 2)).otherwise(raw)
+
+    return F.filter(F.transform(tags, value), F.isnotnull)
+
+
+def _decoded_values(html: Column, tag: str, name: str) -> Column:
+    # One text for all values of a page, as values hold no control character.
+    joined = _unescape(F.array_join(_attribute_values(html, tag, name), "\x01"))
+    return F.when(joined != "", F.split(joined, "\x01")).otherwise(F.array().cast("array<string>"))
 
 
 def _any_of(value: Column, needles) -> Column:
@@ -23,7 +63,7 @@ def _any_of(value: Column, needles) -> Column:
 
 def page_links(pages: DataFrame, needles=fv.PERMALINK_NEEDLES) -> DataFrame:
     """All matching links as rows ``(page_id, position, link)``, cut at the first ``?``."""
-    hrefs = F.regexp_extract_all("html", F.lit(_HREF), 1)
+    hrefs = _decoded_values(F.col("html"), "a", "href")
     return (
         pages.select("page_id", F.posexplode(hrefs).alias("position", "href"))
         .where(_any_of(F.col("href"), needles))
@@ -33,28 +73,25 @@ def page_links(pages: DataFrame, needles=fv.PERMALINK_NEEDLES) -> DataFrame:
 
 def post_link(html: Column, needles=fv.PERMALINK_NEEDLES) -> Column:
     """First link that holds one of the needles, cut at its first ``?``."""
-    hrefs = F.regexp_extract_all(html, F.lit(_HREF), 1)
+    hrefs = _decoded_values(html, "a", "href")
     first = F.try_element_at(F.filter(hrefs, lambda h: _any_of(h, needles)), F.lit(1))
     return F.substring_index(first, "?", 1)
 
 
 def image_sources(html: Column, needles=fv.IMAGE_NEEDLES, excluded=fv.IMAGE_EXCLUDED) -> Column:
     """Image addresses that hold a needle and no excluded part, in page order."""
-    sources = F.regexp_extract_all(html, F.lit(_IMG_SRC), 1)
+    sources = _decoded_values(html, "img", "src")
     return F.filter(sources, lambda s: _any_of(s, needles) & ~_any_of(s, excluded))
 
 
 def _inner(html: Column, tag: str) -> Column:
-    found = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-    return F.when(html.rlike(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), found)
+    pattern = rf"(?is)<{tag}(?=[\s/>]){_INSIDE}>(.*?)</{tag}>"
+    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 
 
 def _plain_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    text = F.regexp_replace(html, rf"(?s)<!--.*?-->|</?[a-zA-Z]{_INSIDE}>", "")
+    return strip(F.translate(_unescape(text), "\xa0", " "))
 
 
 def page_title(html: Column) -> Column:

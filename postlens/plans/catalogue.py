@@ -448,13 +448,54 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _tasks(spark) -> int | None:
+    tasks = spark.conf.get(INPUT_TASKS, None)
+    return int(tasks) if tasks else None
+
+
+def _landed(spark, rows: DataFrame, order: str, out: str, batches: int) -> DataFrame:
+    """``rows`` as a stream of so many micro-batches in the given order."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // batches + 1
+    for k in range(batches):
+        first = (low or 0) + k * step
+        rows.where(F.col(order).between(first, first + step - 1)).coalesce(1).write.mode("append").parquet(f"{out}/landed")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+
+
 def stream_ingest_listings(spark, sf_dir):
     out = new_folder(spark, "stream-ingest")
     incoming = fixture.posts_from_orders(_stream(spark, sf_dir, "orders"))
-    stream_ingest.start_ingest(incoming, f"{out}/listings", f"{out}/checkpoint").awaitTermination()
+    stream_ingest.start_ingest(incoming, f"{out}/listings", f"{out}/checkpoint", tasks=_tasks(spark)).awaitTermination()
     return spark.read.parquet(f"{out}/listings").select("id", "contact", "bhk", "location")
 
 
+def stream_ingest_merged(spark, sf_dir):
+    """Posts in four micro-batches, with predictions and both uniqueness rules."""
+    out = new_folder(spark, "stream-merged")
+    incoming = _landed(spark, posts(spark, sf_dir), "post_id", out, 4)
+    stream_ingest.start_ingest(
+        incoming, f"{out}/listings", f"{out}/checkpoint", predictions=predictions(spark, sf_dir), tasks=_tasks(spark)
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/listings").select("id", "contact", "bhk", "location")
+
+
+def stream_near_copies(spark, sf_dir):
+    """Documents that survive the near-copy filter of their source, in two batches."""
+    out = new_folder(spark, "stream-near")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    incoming = _landed(spark, documents, "doc_id", out, 2)
+    near = stream_ingest.NearCopies(spark, f"{out}/documents", ["source"], order="doc_id", buckets=8)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        kept = near.filter(rows, "only", batch_id).select("doc_id", "source")
+        kept.write.mode("overwrite").parquet(f"{out}/kept/batch_id={batch_id}")
+
+    incoming.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/kept").select("doc_id", "source")
+
+
 def stream_toggle(spark, sf_dir):
     out = new_folder(spark, "stream-toggle")
     log = fixture.saved_log_from_events(_stream(spark, sf_dir, "events"))
@@ -499,7 +540,8 @@ def queries() -> dict:
         near_copies, near_copies_posts, dashboard, sync_report, run_counters, fill_rates, toggle_fold,
         toggle_fold_started, saved_listings, saved_flag, saved_add, saved_remove, training_pairs,
         chat_turns, split_ordered, split_seeded, page_links, page_post_link, page_images, page_title,
-        post_groups, boundary_form, stream_ingest_listings, stream_toggle, stream_group_totals,
+        post_groups, boundary_form, stream_ingest_listings, stream_ingest_merged, stream_near_copies,
+        stream_toggle, stream_group_totals,
     ):
         found[function.__name__] = function
     return {name: _ported(run) for name, run in found.items()}

@@ -272,6 +272,27 @@ def _entry() -> str:
       THEN 'K|' || contact || '|' || bhk || '|' || location ELSE 'T|' || raw_text END"""
 
 
+def _rounds(source: str) -> str:
+    """Two-key admission in rounds: state 0 waits, 1 has entered, 2 has not.
+
+    A row enters when no earlier row that may still enter shares its text or its triple."""
+    return f"""admission_keys AS MATERIALIZED (
+  SELECT id, 'T' || raw_text AS text_key, CASE WHEN contact <> '' AND bhk <> '' AND location IS NOT NULL
+    THEN 'K|' || contact || '|' || bhk || '|' || location ELSE 'N' || id END AS triple_key FROM {source}),
+rounds AS (
+  SELECT id, text_key, triple_key, 0 AS state, 0 AS round FROM admission_keys
+  UNION ALL
+  SELECT id, text_key, triple_key,
+         CASE WHEN state <> 0 THEN state WHEN entered_text < id OR entered_triple < id THEN 2
+              WHEN first_text = id AND first_triple = id THEN 1 ELSE 0 END, round + 1
+  FROM (SELECT *, min(id) FILTER (state = 1) OVER (PARTITION BY text_key) AS entered_text,
+               min(id) FILTER (state = 1) OVER (PARTITION BY triple_key) AS entered_triple,
+               min(id) FILTER (state <> 2) OVER (PARTITION BY text_key) AS first_text,
+               min(id) FILTER (state <> 2) OVER (PARTITION BY triple_key) AS first_triple,
+               min(state) OVER () AS least FROM rounds)
+  WHERE least = 0)"""
+
+
 def _by_day() -> str:
     day = f"scraped_at < TIMESTAMP '{STORED_BEFORE} 00:00:00'"
     return ",\n".join([
@@ -525,6 +546,10 @@ AND food_preference = 'veg' AND no_brokerage AND contact IS NOT NULL"""
     found["merged_listings"] = _sql(
         f"SELECT id, {_outs(shown)} FROM enriched", _decoded(), _merged(), _listings("merged", "enriched")
     )
+    found["merged_admission"] = found["stream_ingest_merged"] = _sql(
+        "SELECT id, contact, bhk, location FROM enriched WHERE id IN (SELECT id FROM rounds WHERE state = 1 AND round = (SELECT max(round) FROM rounds))",
+        _decoded(), _merged(), _listings("merged", "enriched"), _rounds("enriched"),
+    )
     found["reextracted"] = _sql(
         f"""SELECT id, o->>'bhk' AS bhk, TRY_CAST(o->>'rent' AS BIGINT) AS rent, o->>'location' AS location,
   o->>'furnished' AS furnished, o->>'available_from' AS available_from, {_first(fv.CONTACT, col='raw_text')} AS contact,
@@ -556,7 +581,7 @@ FROM listings JOIN said USING (post_id) WHERE CAST(o AS VARCHAR) <> '{{}}'""",
     found["copy_counts"] = _sql(
         "SELECT (SELECT count(*) FROM fresh) AS attempted, (SELECT count(*) FROM copied) AS written", _by_day(), _COPIED
     )
-    found["near_copies"] = _near_copies()
+    found["near_copies"] = found["stream_near_copies"] = _near_copies()
     found["near_copies_posts"] = _near_copies_posts()
     found["dashboard"] = _sql(f"SELECT {stats} FROM listings")
     found["sync_report"] = _sql("SELECT count(*) AS total, count(rent) AS with_rent, count(contact) AS with_contact FROM listings")

@@ -227,6 +227,23 @@ def test_page_extraction(spark):
     assert sorted(html.with_titles(groups, found).collect(), key=str) == [Row("u1", "abc"), Row("u2", None)]
 
 
+def test_tags_of_real_pages(spark):
+    many = " ".join(f'data-{i}="{i}"' for i in range(100_000))
+    pages = {
+        1: """<a title="a > b" href="/posts/1">x</a>""", 2: "<a href=/posts/2>x</a>", 3: "<A data-href='/posts/0' HREF = '/posts/3?a=1&amp;b=2'>x</A>",
+        4: f"<a {many} href='/posts/4'>x</a>", 5: "<!-- <a href='/posts/0'> --><script>'<a href=/posts/0>'</script><a href='/posts/5&amp;c'>x</a>",
+        6: "<abbr href='/posts/0'></abbr><a disabled href='/posts/6' href='/posts/7'>x</a>", 7: "<a title='href=/posts/0' class=b>x</a>", 8: "<a href='/posts/8",
+        9: "<h1 title='a > b'>Caf&eacute; &#8211; A&nbsp;b</h1><img alt='>' src=//scontent/x.jpg?a=1&amp;b><img/src='scontent/y'>", 10: None,
+    }
+    table = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    rows = {r.page_id: r for r in table.select(
+        "page_id", html.post_link(F.col("html")).alias("link"), html.image_sources(F.col("html")).alias("images"),
+        html.page_title(F.col("html")).alias("title")).collect()}
+    assert [rows[i].link for i in range(1, 9)] == [
+        "/posts/1", "/posts/2", "/posts/3", "/posts/4", "/posts/5&c", "/posts/6", None, None]
+    assert rows[9].images == ["//scontent/x.jpg?a=1&b", "scontent/y"] and rows[9].title == "Café – A b"
+
+
 def test_groups_file(spark, tmp_path):
     path = tmp_path / "groups.yaml"
     path.write_text("groups:\n  - url: https://g.example/1\n  - url: 'https://g.example/2'\n    name: Flats\n")
