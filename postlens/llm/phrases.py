@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ SCALE = 1_000_000
 #: Distinct grams that a task holds before it hands on what it has counted.
 HELD = 500_000
 #: One text in so many tells which nodes are hot: those with that share of its edges.
-SAMPLE, HOT_SHARE = 64, 1 / 1000
+SAMPLE, HOT_SHARE = 128, 1 / 1000
 SLICES = 64
 CUT = 32
 ROUNDS = 9
@@ -56,32 +57,34 @@ _PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _GRAMS = "key string, next string, n long"
 
 
-def _count(longest: int, hot: frozenset = frozenset()):
+def _count(longest: int, large_nodes: dict[str, list[bytes]] | None = None):
     """Task function: texts to counted edges, and to counted ends of pieces (``next`` NULL)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[Counter]] = {}
+        hot = large_nodes or {}
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counters in held.items():
                 for k, counter in enumerate(counters, 1):
-                    grams = list(counter)
+                    grams, counts = pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())
                     for start in range(0, len(grams), 50_000):
-                        part = grams[start : start + 50_000]
-                        counts = [counter[g] for g in part]
-                        last = [None] * len(part)
+                        part = grams.slice(start, 50_000)
+                        n = len(part)
+                        last = pa.nulls(n, pa.binary())
                         if k == longest:
-                            part, _, last = zip(*[g.rpartition(b" ") for g in part])
+                            halves = pc.split_pattern(part, b" ", max_splits=1, reverse=True).flatten()
+                            part, last = halves.take(pa.array(range(0, 2 * n, 2))), halves.take(pa.array(range(1, 2 * n, 2)))
                         kind = b"\n%s\n" % (b"" if k >= longest - 1 else b"e%d" % k) + lang.encode()
-                        keys = [g + kind for g in part]
-                        if hot and k >= longest - 1:
-                            for i, (g, x) in enumerate(zip(part, last)):
-                                if (lang, g) in hot:
-                                    keys[i] = g + b"\ns%d\n" % (zlib.crc32(x or b"") % SLICES) + lang.encode()
+                        keys = pc.binary_join_element_wise(part, pa.scalar(kind, pa.binary()), pa.scalar(b"", pa.binary()))
+                        if hot.get(lang) and k >= longest - 1:
+                            large = pc.is_in(part, value_set=pa.array(hot[lang], pa.binary()))
+                            places = pc.indices_nonzero(large)
+                            cut = [b"%s\ns%d\n%s" % (g, zlib.crc32(x or b"") % SLICES, lang.encode())
+                                   for g, x in zip(part.take(places).to_pylist(), last.take(places).to_pylist())]
+                            keys = pc.replace_with_mask(keys, large, pa.array(cut, pa.binary()))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys, pa.binary()).cast(pa.string()), pa.array(last, pa.binary()).cast(pa.string()),
-                             pa.array(counts, pa.int64())],
-                            ["key", "next", "n"],
+                            [keys.cast(pa.string()), last.cast(pa.string()), counts.slice(start, 50_000)], ["key", "next", "n"]
                         )
             held.clear()
 
@@ -122,7 +125,7 @@ def _fields(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lang", F.expr("substring(after, char_length(kind) + 2)")).drop("after")
 
 
-def _hot_nodes(texts: DataFrame, longest: int) -> frozenset:
+def _hot_nodes(texts: DataFrame, longest: int) -> dict[str, list[bytes]]:
     """Nodes with a large share of the edges of a sample, at most ``1 / HOT_SHARE``.
 
     They only decide where rows are added up."""
@@ -133,7 +136,10 @@ def _hot_nodes(texts: DataFrame, longest: int) -> frozenset:
     )
     total = nodes.agg(F.sum("n")).first()[0] or 0
     hot = nodes.where(F.col("n") > max(total * HOT_SHARE, SLICES)).collect()
-    return frozenset((r["lang"], r["node"].encode()) for r in hot)
+    found: dict[str, list[bytes]] = {}
+    for r in hot:
+        found.setdefault(r["lang"], []).append(r["node"].encode())
+    return found
 
 
 def flow(documents: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> DataFrame:
