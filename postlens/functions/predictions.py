@@ -27,9 +27,25 @@ def prediction_object(raw: Column, widest: bool = False) -> Column:
     found = F.regexp_extract(raw, "(?s)" + pattern, 0)
     # The parser stops after a complete value.  Inside brackets it has to go on to
     # the end, and more than one element means that there was more than one value.
-    listed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
+    whole = F.concat(F.lit("["), found, F.lit("]"))
+    listed = F.try_parse_json(whole)
     more = F.try_variant_get(listed, "$[1]", "variant").isNotNull()
-    return F.when(~more, F.try_variant_get(listed, "$[0]", "variant"))
+    one = F.when(~more, F.try_variant_get(listed, "$[0]", "variant"))
+    return F.coalesce(one, F.when(listed.isNull(), _last_of_repeated_keys(whole)))
+
+
+def _last_of_repeated_keys(whole: Column) -> Column:
+    """The one object in a JSON array as VARIANT, the last value of each key counting.
+
+    VARIANT has no repeated keys, so such objects are read as lists of members first.
+    Members are compared with each other, which is for the few keys of an answer.
+    Keys repeated inside a value, below the object itself, are still malformed.
+    """
+    objects = F.from_json(whole, "array<map<string,variant>>", {"allowSingleQuotes": "false"})
+    members = F.map_entries(F.get(objects, F.lit(0)))
+    keys = F.transform(members, lambda m: m["key"])
+    last = F.filter(members, lambda m, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), m["key"]))
+    return F.when(F.size(objects) == 1, F.try_parse_json(F.to_json(F.map_from_entries(last))))
 
 
 def _field(obj: Column, name: str, kind: str) -> Column:

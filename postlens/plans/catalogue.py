@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, html
+from ..functions import fixed_values as fv
 from ..functions.arrays import array_to_json, json_to_array
 from ..functions.cards import cards
 from ..functions.extract import FIELDS, extract_fields, extract_phone
@@ -18,7 +19,13 @@ from ..operators import corpus, dedupe, facets, ordering, saved, stats
 from ..operators.near_copies import drop_near_copies, long_enough
 from ..sources import fixture
 from ..sources.scratch import new_folder
-from ..sources.tables import attach_groups, read_listings, spread, write_listings
+from ..sources.json_arrays import read_json_arrays
+from ..sources.schemas import LISTINGS
+from ..sources.tables import (
+    attach_groups, from_boundary, read_groups, read_listings, spread, to_boundary, write_chat, write_json, write_listings,
+    write_training_pairs,
+)
+from ..sources.versions import publish, read_published
 from ..streaming import ingest as stream_ingest
 from ..streaming import totals as stream_totals
 from . import jobs
@@ -52,6 +59,11 @@ COMMAND_ARGS = {"max_rent": 25000, "furnished": "semi", "veg": True, "no_broker"
 # Short values for the normalisers, chosen by the order key.
 SHORT_VALUES = ("Furnished", " semi ", "2 car", "bike", "two wheeler", "rk", "RK ", "2.5 BHK", "both", "unfurnished",
                 "fully", "Car", "3", "", "none")
+# JSON texts of arrays, whole and broken, chosen by the order key.
+ARRAY_TEXTS = ('["a", "b"]', "[", "", '{"a": 1}', "[]", '["x", null]', "null", '["q\\"r"]', "plain words", '["a"')
+FULL_WIDTH_DIGITS = "０１２３４５６７８９"
+#: Orders whose post fails, one in so many.
+FAILING = 13
 SHOWN = ("id", "bhk", "rent", "location", "furnished", "listing_type", "gender_preference")
 
 
@@ -189,9 +201,29 @@ def long_documents(spark, sf_dir):
     return documents.select("doc_id", F.char_length("text").alias("chars"))
 
 
+def extract_styled_digits(spark, sf_dir):
+    """Digits written in bold or in full width count as digits."""
+    plain, key = "0123456789", F.col("post_id") % 3
+    styled = F.when(key == 0, F.translate("text", plain, fv.BOLD_DIGITS)).when(
+        key == 1, F.translate("text", plain, FULL_WIDTH_DIGITS)
+    ).otherwise(F.col("text"))
+    return extract_fields(posts(spark, sf_dir).withColumn("text", styled)).select("post_id", *FIELDS)
+
+
 # ---------------------------------------------------------------- predictions
 
 
+def repeated_keys(spark, sf_dir):
+    """Answers that name a key twice: the last value counts."""
+    key = F.col("o_orderkey")
+    said = F.format_string(
+        'ok {"bhk": %d, "floor": "%d", "rent": 9000, "bhk": "%d", "rent": %d, "floor": null} end',
+        key % 4, key % 9, key % 5 + 1, 5000 + key % 100 * 100,
+    )
+    answers = table(spark, sf_dir, "orders").select(key.alias("post_id"), said.alias("raw_output"))
+    return decode_predictions(answers).select("post_id", "model_bhk", "model_rent", "model_floor", "model_empty")
+
+
 def decoded_predictions(spark, sf_dir):
     return decode_predictions(predictions(spark, sf_dir)).select(
         "post_id", "model_bhk", "model_rent", "model_deposit", "model_sqft", "model_location",
@@ -217,6 +249,17 @@ def merged_admission(spark, sf_dir):
     return rows.select("id", "contact", "bhk", "location")
 
 
+def published_renewal(spark, sf_dir):
+    """A published table is backfilled in place; what is re-extracted from it is published."""
+    stored, renewed = (f"{new_folder(spark, 'published')}/{name}" for name in ("listings", "renewed"))
+    publish(listings(spark, sf_dir), stored)
+    jobs.backfill_published(spark, stored)
+    jobs.publish_renewed(read_published(spark, stored), predictions(spark, sf_dir), renewed)
+    return read_published(spark, renewed).select(
+        "id", "bhk", "rent", "location", "furnished", "available_from", "contact", "amenities"
+    )
+
+
 def reextracted(spark, sf_dir):
     rows = jobs.reextract(listings(spark, sf_dir), predictions(spark, sf_dir))
     return rows.select("id", "bhk", "rent", "location", "furnished", "available_from", "contact", "amenities")
@@ -239,6 +282,23 @@ def stored_search(spark, sf_dir):
     return facets.filter_listings(read_listings(spark, path), bhk=2, has_rent=True).select(*SHOWN)
 
 
+def json_listings(spark, sf_dir):
+    """Search over listings written as JSON lines."""
+    path = new_folder(spark, "json-listings")
+    write_json(listings(spark, sf_dir).drop("group_id"), path)
+    return facets.filter_listings(spark.read.schema(LISTINGS).json(path), bhk=2, has_rent=True).select(*SHOWN)
+
+
+def json_arrays(spark, sf_dir):
+    """Search over listings written as JSON arrays of some thousand each, several a file."""
+    path = new_folder(spark, "json-arrays")
+    rows = listings(spark, sf_dir).drop("group_id")
+    one = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    arrays = rows.groupBy(F.floor(F.col("id") / 4096).alias("part")).agg(F.array_join(F.collect_list(one), ",\n").alias("members"))
+    arrays.select(F.concat(F.lit("["), "members", F.lit("]")).alias("value")).write.text(path)
+    return facets.filter_listings(read_json_arrays(spark, path, LISTINGS), bhk=2, has_rent=True).select(*SHOWN)
+
+
 def facets_web(spark, sf_dir):
     return _filter(facets.web_filters(WEB_ARGS))(spark, sf_dir)
 
@@ -259,10 +319,20 @@ def _top(sort_by: str, limit: int, offset: int = 0):
     return run
 
 
-def _page(number: int):
+def _top_by_rank(sort_by: str, limit: int, offset: int):
+    """Rows below an offset that is found by rank."""
+
+    def run(spark, sf_dir):
+        rows = listings(spark, sf_dir).select(*SHOWN, "created_at")
+        return ordering.numbered(ordering.top_listings(rows, sort_by, limit, offset, shallow=0), sort_by)
+
+    return run
+
+
+def _page(number: int, shallow: int = ordering.SHALLOW):
     def run(spark, sf_dir):
         found = facets.filter_listings(listings(spark, sf_dir), bhk=2).select(*SHOWN, "created_at")
-        rows, total, shown = ordering.page(found, number, "rent")
+        rows, total, shown = ordering.page(found, number, "rent", shallow=shallow)
         return rows.withColumns({"total": F.lit(total), "page": F.lit(shown)})
 
     return run
@@ -341,6 +411,13 @@ def run_counters(spark, sf_dir):
     )
 
 
+def run_counters_failed(spark, sf_dir):
+    """Posts without text fail, and their groups go on."""
+    failing = posts(spark, sf_dir).withColumn("text", F.when(F.col("post_id") % FAILING != 0, F.col("text")))
+    new = dedupe.admit_new(jobs.to_listings(failing.where(F.col("text").isNotNull())))
+    return jobs.run_report(failing, new.select("group_id"))
+
+
 def fill_rates(spark, sf_dir):
     return stats.fill_rates(extract_fields(posts(spark, sf_dir)))
 
@@ -384,6 +461,13 @@ def saved_remove(spark, sf_dir):
     )
 
 
+def saved_remove_some(spark, sf_dir):
+    third = table(spark, sf_dir, "events").where(F.col("user_id") % 3 == 0)
+    return saved.remove_saved(
+        saved_list(spark, sf_dir), third.select(F.col("user_id").alias("listing_id"))
+    )
+
+
 # ---------------------------------------------------------------- corpus
 
 
@@ -396,6 +480,19 @@ def chat_turns(spark, sf_dir):
     return chats.select("id", F.posexplode("messages").alias("turn", "m")).select("id", "turn", "m.role", "m.content")
 
 
+def training_files(spark, sf_dir):
+    path = new_folder(spark, "pairs")
+    write_training_pairs(corpus.training_pairs(listings(spark, sf_dir)), path)
+    return spark.read.schema("prompt string, completion string").json(path)
+
+
+def chat_files(spark, sf_dir):
+    path = new_folder(spark, "chats")
+    write_chat(corpus.chat_turns(corpus.training_pairs(listings(spark, sf_dir))), path)
+    chats = spark.read.schema("messages array<struct<role: string, content: string>>").json(path)
+    return chats.select(F.posexplode("messages").alias("turn", "m")).select("turn", "m.role", "m.content")
+
+
 def _training_ids(spark, sf_dir) -> DataFrame:
     return corpus.training_pairs(listings(spark, sf_dir)).select("id")
 
@@ -440,6 +537,38 @@ def boundary_form(spark, sf_dir):
     return rows.withColumn("as_array", json_to_array(F.col("as_text")))
 
 
+def boundary_rows(spark, sf_dir):
+    """Listings in row-store form; reading them back gives the flags and arrays again."""
+    columns = ("amenities", "images", "gated_community", "no_brokerage")
+    stored = to_boundary(listings(spark, sf_dir).select("id", *columns))
+    back = from_boundary(stored).select("id", *[F.col(c).alias(f"{c}_back") for c in columns])
+    return stored.join(back, "id")
+
+
+def boundary_values(spark, sf_dir):
+    """Whole and broken JSON texts read as arrays."""
+    texts = F.array(*map(F.lit, ARRAY_TEXTS), F.lit(None))
+    text = F.get(texts, (F.col("o_orderkey") % (len(ARRAY_TEXTS) + 1)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", json_to_array(text).alias("found"))
+
+
+def groups_file(spark, sf_dir):
+    """The group list as JSON lines."""
+    path = new_folder(spark, "groups") + "/groups.json"
+    groups(spark, sf_dir).write.json(path)
+    return read_groups(spark, path).select("group_id", "url", "name")
+
+
+def groups_yaml(spark, sf_dir):
+    """The group list in its hand-kept form, entries in the order of their urls."""
+    path = new_folder(spark, "groups") + "/groups.yaml"
+    name = F.when(F.col("name").isNotNull(), F.concat(F.lit("\n    name: "), F.col("name"))).otherwise(F.lit(""))
+    entry = F.concat(F.lit("  - url: "), F.col("url"), name)
+    whole = F.concat(F.lit("groups:\n"), F.array_join(F.array_sort(F.collect_list(entry)), "\n"))
+    groups(spark, sf_dir).agg(whole.alias("value")).write.text(path)
+    return read_groups(spark, path).select("group_id", "url", "name")
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -496,6 +625,16 @@ def stream_near_copies(spark, sf_dir):
     return spark.read.parquet(f"{out}/kept").select("doc_id", "source")
 
 
+def stream_unique_within(spark, sf_dir):
+    """Texts that are unique within a horizon longer than the log, in three batches."""
+    out = new_folder(spark, "stream-unique")
+    rows = posts(spark, sf_dir).select("post_id", "text", F.col("scraped_at").cast("timestamp").alias("scraped_at"))
+    unique = stream_ingest.unique_within(_landed(spark, rows, "post_id", out, 3), "10000 days")
+    unique.writeStream.format("parquet").option("path", f"{out}/unique").option(
+        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/unique").select("text")
+
+
 def stream_toggle(spark, sf_dir):
     out = new_folder(spark, "stream-toggle")
     log = fixture.saved_log_from_events(_stream(spark, sf_dir, "events"))
@@ -531,6 +670,9 @@ def queries() -> dict:
         "top_unknown_key": _top("shoe_size", 12),
         "page_3": _page(3),
         "page_beyond_last": _page(10**6),
+        "page_last_by_rank": _page(10**6, shallow=0),
+        "top_bhk_by_rank": _top_by_rank("bhk", 50, 1000),
+        "top_recent_by_rank": _top_by_rank("created_at", 20, 700),
     }
     for function in (
         normalize_short_values, stored_search, enrich_listings, backfill, backfill_count, contact_in_documents, phone_in_documents,
@@ -541,7 +683,9 @@ def queries() -> dict:
         toggle_fold_started, saved_listings, saved_flag, saved_add, saved_remove, training_pairs,
         chat_turns, split_ordered, split_seeded, page_links, page_post_link, page_images, page_title,
         post_groups, boundary_form, stream_ingest_listings, stream_ingest_merged, stream_near_copies,
-        stream_toggle, stream_group_totals,
+        stream_toggle, stream_group_totals, extract_styled_digits, repeated_keys, json_listings, published_renewal,
+        run_counters_failed, saved_remove_some, training_files, chat_files, boundary_rows, boundary_values, groups_file,
+        groups_yaml, stream_unique_within, json_arrays,
     ):
         found[function.__name__] = function
     return {name: _ported(run) for name, run in found.items()}

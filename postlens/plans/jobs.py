@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import enrich
@@ -14,6 +14,7 @@ from ..operators.stats import run_counters
 from ..sources.schemas import LISTINGS
 from ..sources.scratch import cut_lineage
 from ..sources.tables import attach_groups
+from ..sources.versions import publish, read_published
 
 
 def to_listings(
@@ -100,3 +101,16 @@ def publish_reextracted(listings: DataFrame, predictions: DataFrame, path: str)
         return False
     rows.write.mode("overwrite").parquet(path)
     return True
+
+
+def publish_renewed(listings: DataFrame, predictions: DataFrame, path: str) -> bool:
+    """Publish re-extracted listings as the table at ``path`` as a whole, if there is one.
+
+    Like :func:`publish_reextracted`, but rows are computed once, and readers
+    (:func:`read_published`) see the old table until the new one is complete."""
+    return publish(reextract(listings, predictions), path)
+
+
+def backfill_published(spark: SparkSession, path: str) -> bool:
+    """Renew classes and normalised fields of a published table, in its own place."""
+    return publish(enrich(read_published(spark, path)), path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import fixed_values as fv
 from ..functions.extract import FIELDS
 from ..sources import fixture
-from .catalogue import COMMAND_ARGS, FILTERS, HREF_NEEDLES, SHORT_VALUES, SHOWN, STORED_BEFORE
+from .catalogue import COMMAND_ARGS, FAILING, FILTERS, HREF_NEEDLES, SHORT_VALUES, SHOWN, STORED_BEFORE
 
 
 def _q(text: str) -> str:
@@ -653,6 +653,45 @@ SELECT id, 1, 'user', prompt FROM pairs UNION ALL SELECT id, 2, 'assistant', com
     found["stream_ingest_listings"] = _sql(
         "SELECT id, contact, bhk, location FROM admitted", _admitted("listings", "admitted")
     )
+    found["page_last_by_rank"] = found["page_beyond_last"]
+    found["top_bhk_by_rank"] = _numbered("bhk", 50, 1000)
+    found["top_recent_by_rank"] = _numbered("created_at", 20, 700)
+    found["extract_styled_digits"] = found["extract_all"]
+    found["repeated_keys"] = """SELECT o_orderkey AS post_id, CAST(o_orderkey % 5 + 1 AS VARCHAR) AS model_bhk,
+  5000 + o_orderkey % 100 * 100 AS model_rent, CAST(NULL AS VARCHAR) AS model_floor, CAST(0 AS BIGINT) AS model_empty FROM orders"""
+    found["json_listings"] = found["json_arrays"] = found["stored_search"]
+    found["published_renewal"] = found["reextracted"]
+    found["run_counters_failed"] = _sql(
+        f"""SELECT group_id, count(*) FILTER (WHERE id % {FAILING} <> 0) AS parsed,
+  count(*) FILTER (WHERE id IN (SELECT id FROM admitted)) AS new, count(*) FILTER (WHERE id % {FAILING} = 0) AS failed,
+  CAST(grouping(group_id) AS BIGINT) AS is_total FROM listings GROUP BY ROLLUP (group_id)""",
+        f"whole AS (SELECT * FROM listings WHERE id % {FAILING} <> 0)", _admitted("whole", "admitted"),
+    )
+    found["saved_remove_some"] = f"""WITH {_LOG}, {_SAVED} SELECT listing_id, note, {_TIME} FROM saved
+WHERE listing_id % 3 <> 0"""
+    found["training_files"] = _sql("SELECT prompt, completion FROM pairs", _pairs())
+    found["chat_files"] = f"SELECT turn, role, content FROM ({found['chat_turns']})"
+
+    def as_json(column: str) -> str:
+        return f"""'["' || replace({column}, '|', '","') || '"]'"""
+
+    def flag(column: str) -> str:
+        return f"CAST(CAST(coalesce({column}, FALSE) AS INT) AS BIGINT)"
+
+    found["boundary_rows"] = _sql(
+        f"""SELECT id, {as_json('amenities')} AS amenities, {as_json('images')} AS images,
+  {flag('gated_community')} AS gated_community, {flag('no_brokerage')} AS no_brokerage,
+  coalesce(amenities, '') AS amenities_back, coalesce(images, '') AS images_back,
+  {flag('gated_community')} AS gated_community_back, {flag('no_brokerage')} AS no_brokerage_back FROM listings"""
+    )
+    # What each text stands for: only whole arrays have values.
+    values = ("a|b", "", "", "", "", "x", "", 'q"r', "", "", "")
+    found["boundary_values"] = f"SELECT o_orderkey, {_list(values)}[1 + o_orderkey % {len(values)}] AS found FROM orders"
+    named = """SELECT DISTINCT CAST(o_custkey % 16 AS BIGINT) AS group_id, 'https://groups.example/' || (o_custkey % 16) AS url,
+  CASE WHEN o_custkey % 16 % 5 <> 4 THEN 'Group ' || (o_custkey % 16) END AS name FROM orders"""
+    found["groups_file"] = named
+    found["groups_yaml"] = f"SELECT row_number() OVER (ORDER BY url) - 1 AS group_id, url, name FROM ({named})"
+    found["stream_unique_within"] = _sql("SELECT DISTINCT text FROM posts")
     found["stream_toggle"] = found["toggle_fold"]
     found["stream_group_totals"] = _sql(
         "SELECT CAST(group_id AS BIGINT) AS group_id, count(*) AS parsed, CAST(0 AS BIGINT) AS failed FROM posts GROUP BY group_id"

@@ -19,7 +19,7 @@ def spread(rows: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema=schemas.LISTINGS) -> DataFrame:
-    """One JSON array per file.  Each file is one task, so land many moderate files."""
+    """One JSON array per file, each file in one task; ``json_arrays`` reads large files in ranges."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 

@@ -3,16 +3,17 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postlens.functions import classify, html
 from postlens.functions.predictions import decode_predictions, merge_predictions
 from postlens.operators import corpus, facets, ordering, saved, stats
-from postlens.operators.order_statistics import kth_smallest
+from postlens.operators.order_statistics import kth_largest, kth_smallest
 from postlens.operators.skew import lookup_join
 from postlens.plans import catalogue, jobs
-from postlens.sources import tables
+from postlens.sources import tables, versions
 from tests.conftest import SF
 
 
@@ -69,6 +70,17 @@ def test_decode_predictions(spark):
     assert rows[1].model_floor == "7" and rows[2].model_location is None and rows[3].model_amenities is None
 
 
+def test_last_of_repeated_keys_counts(spark):
+    raws = [
+        '{"bhk": 2, "bhk": 3}', '{"rent": 9000, "rent": "12000-14000", "floor": null, "floor": "7"}', '{"x": 1, "x": 2}',
+        '{"bhk": 2, "bhk": null}', "{'bhk': 1, 'bhk': 2}", '{"bhk": 1, "bhk": 2', '{"bhk" 1, "bhk": 1}', '{"gated_community": true, "gated_community": 0}',
+    ]
+    got = decode_predictions(spark.createDataFrame(list(enumerate(raws)), "post_id long, raw_output string")).orderBy("post_id").collect()
+    assert [r.model_bhk for r in got] == ["3"] + [None] * 7
+    assert (got[1].model_rent, got[1].model_floor, got[7].model_gated_community) == (12000, "7", False)
+    assert [r.model_empty for r in got] == [False] * 4 + [True] * 3 + [False]
+
+
 def test_widest_object_must_be_one_value(spark):
     raws = {1: '{"floor": "3"} and {"floor": "4"}', 2: 'a {"floor": {"n": 1}} b', 3: '{"floor": "3"},{"floor": "4"}'}
     df = spark.createDataFrame(list(raws.items()), "post_id long, raw_output string")
@@ -123,6 +135,32 @@ def test_pages_partition_the_result(spark):
     assert ordering.page(rows, 10**6, total=total)[2] == ordering.page_count(total)
 
 
+@pytest.mark.parametrize("sort_by", ["rent", "created_at", "bhk"])
+def test_deep_pages_equal_a_sort(spark, sort_by):
+    rows = catalogue.listings(spark, SF).select("id", "bhk", "rent", "created_at").where("id % 3 = 0 OR rent IS NULL").cache()
+    expected = [r.id for r in rows.orderBy(*ordering.sort_order(sort_by)).select("id").collect()]
+    filled = rows.where(F.col(sort_by).isNotNull()).count()
+    for offset in {1, filled, filled + 1, len(expected) - 1, len(expected) + 1}:
+        deep = ordering.top_listings(rows, sort_by, 12, offset, shallow=0)
+        assert [r.id for r in deep.collect()] == expected[offset : offset + 12]
+        assert "Offset" not in deep._jdf.queryExecution().optimizedPlan().toString()
+    first = ordering.top_listings(rows, sort_by, 5).collect()[-1]
+    after = ordering.top_after(rows, first[sort_by], first.id, sort_by, 5)
+    assert [r.id for r in after.collect()] == expected[5:10]
+    assert ordering.top_listings(rows.limit(0), sort_by, 5, 5, shallow=0).collect() == []
+
+
+def test_kth_largest(spark):
+    texts = ["", "a", "a\0", "abcdef", "abcdefg", "abcdefgé", "é", "𝒳", "𝒳" * 9, "\uffff", None, "a", "abcdefghijklm"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    ordered = sorted((t for t in texts if t is not None), key=lambda t: t.encode(), reverse=True)
+    assert [kth_largest(rows, "t", k) for k in range(1, len(ordered) + 2)] == [*ordered, None]
+    days = spark.sql("SELECT * FROM VALUES (DATE'1950-02-01'), (DATE'2024-02-29'), (NULL) AS t(d)")
+    assert [str(kth_largest(days, "d", k)) for k in (1, 2, 3)] == ["2024-02-29", "1950-02-01", "None"]
+    with pytest.raises(TypeError):
+        kth_largest(days.select(F.lit(1.5).alias("x")), "x", 1)
+
+
 def test_stats_equal_separate_counts(spark):
     rows = catalogue.listings(spark, SF).cache()
     row = stats.stats(rows).first()
@@ -294,3 +332,24 @@ def test_publish_only_with_results(spark, tmp_path):
     some = rows.limit(1).select(F.col("id").alias("post_id"), F.lit('{"rent": 9000}').alias("raw_output"))
     assert jobs.publish_reextracted(rows, some, str(tmp_path / "new")) is True
     assert spark.read.parquet(str(tmp_path / "new")).first().rent == 9000
+
+
+def test_published_listings_are_renewed_as_a_whole(spark, tmp_path, monkeypatch):
+    rows = catalogue.listings(spark, SF).limit(3).cache()
+    stored, renewed = str(tmp_path / "stored"), str(tmp_path / "renewed")
+    versions.publish(rows.withColumn("listing_type", F.lit("old")), stored)
+    assert jobs.backfill_published(spark, stored)
+    assert {r.listing_type for r in versions.read_published(spark, stored).collect()} == {r.listing_type for r in rows.collect()}
+    none = spark.createDataFrame([(-1, "{}")], "post_id long, raw_output string")
+    assert not jobs.publish_renewed(rows, none, renewed)
+    some = rows.limit(1).select(F.col("id").alias("post_id"), F.lit('{"rent": 9000}').alias("raw_output"))
+    assert jobs.publish_renewed(rows, some, renewed)
+
+    def broken(*_):
+        raise OSError("no space")
+
+    # A failure after the rows and before the pointer leaves the old table.
+    monkeypatch.setattr(versions.Versions, "publish", broken)
+    with pytest.raises(OSError):
+        jobs.publish_renewed(rows, some.withColumn("raw_output", F.lit('{"rent": 8000}')), renewed)
+    assert versions.read_published(spark, renewed).first().rent == 9000
