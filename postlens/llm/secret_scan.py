@@ -13,6 +13,7 @@ text at them: lengths of pieces and matches add up to places in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,9 @@ ALLOWED = (
     r"^[A-Za-z+/_=-]*$|^[0-9+/_=-]*$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     r"|(?i:example|sample|placeholder|xxxx|0123456789|123456789|abcdefgh)"
-    r"|^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/+=](?:[A-Za-z]+|[0-9]{1,4}))+$"
 )
+#: Words or short numbers joined by single signs: there is a sign, and none of these.
+SIGN, NOT_JOINED = r"[-_/+=]", r"^[-_/+=]|[-_/+=]$|[-_/+=]{2}|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 MASK = "[SECRET]"
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -64,7 +66,50 @@ def _located(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
     empty = F.array().cast(_SPANS)
     first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.coalesce(F.when(text.rlike(pattern), F.aggregate(parts, first, add, lambda a: a["spans"])), empty)
+
+    def together(blocks: Column) -> Column:
+        """Places count from the beginning of a block; the blocks before it are added."""
+        shift = lambda b, base: F.transform(b["spans"], lambda x: F.struct(
+            (x["start"] + base).alias("start"), x["kind"].alias("kind"), (x["end"] + base).alias("end"), x["value"].alias("value")
+        ))
+        base = lambda k: F.aggregate(F.slice(blocks, 1, k), F.lit(0), lambda a, b: a + b["at"])
+        return F.flatten(F.transform(blocks, lambda b, k: _with(base(k), lambda sum_: shift(b, sum_))))
+
+    located = _with(F.transform(_blocks(parts), lambda b: F.aggregate(b, first, add)), together)
+    return F.coalesce(F.when(text.rlike(pattern), located), empty)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into about as many blocks as each has items, at least one block.
+
+    What copies or passes over a block for each of its items then costs n * sqrt(n), not
+    the square, for the very many matches of a long text."""
+
+    def cut(all_: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(all_))).cast("int"))
+        last = F.greatest(F.ceil(F.size(all_) / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * size + 1, size))
+
+    return _with(items, cut)
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """Candidates that share no character with a span of ``base``, which is sorted."""
+
+    def free(blocks: Column) -> Column:
+        touches = lambda x, c: (x["start"] < c["end"]) & (c["start"] < x["end"])
+        near = lambda b, c: touches(b, c) & F.exists(b["spans"], lambda x: touches(x, c))
+        return F.filter(candidates, lambda c: ~F.exists(blocks, lambda b: near(b, c)))
+
+    reach = F.transform(F.filter(_blocks(base), lambda b: F.size(b) > 0), lambda b: F.struct(
+        F.get(b, F.lit(0))["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans"),
+    ))
+    return F.when(F.size(candidates) == 0, candidates).otherwise(_with(reach, free))
 
 
 def _window_entropy(value: Column) -> Column:
@@ -103,6 +148,10 @@ def _window_entropy(value: Column) -> Column:
     return F.aggregate(steps, first, slide, lambda a: a["best"])
 
 
+def _allowed(value: Column) -> Column:
+    return value.rlike(ALLOWED) | (value.rlike(SIGN) & ~value.rlike(NOT_JOINED))
+
+
 def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
@@ -117,10 +166,10 @@ def with_spans(documents: DataFrame, name: str) -> DataFrame:
         .withColumn(assign, F.filter(_located(text, ASSIGN, 0, 1), lambda x: F.char_length(x["value"]) >= ASSIGN_LENGTH))
         .withColumn(access, F.filter(_located(text, ACCESS, 1), lambda x: F.char_length(x["value"]) >= ACCESS_LENGTH))
         .withColumn(run, _located(text, HEX, 2))
-        .withColumn(maybe, F.filter(_located(text, CANDIDATE, 3), lambda x: ~x["value"].rlike(ALLOWED)))
+        .withColumn(maybe, F.filter(_located(text, CANDIDATE, 3), lambda x: ~_allowed(x["value"])))
         .withColumn(base, F.array_sort(_bare(F.concat(quoted(assign), quoted(access), quoted(run)))))
     )
-    apart = F.filter(quoted(maybe), lambda c: ~F.exists(quoted(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = _apart(quoted(maybe), quoted(base))
     is_hex = lambda c: c["value"].rlike("^[0-9a-fA-F]+$")
     random = F.filter(apart, lambda c: _window_entropy(c["value"]) >= F.when(is_hex(c), LIMITS["entropy_hex"]).otherwise(LIMITS["entropy_base64"]))
     named = F.transform(random, lambda c: F.struct(
@@ -144,7 +193,8 @@ def _listed(spans: Column) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    NULL and empty texts have no spans.  Repeated rows are scanned one by one."""
+    NULL and empty texts have no spans.  Repeated rows are scanned one by one.  A text of n
+    matches costs n * sqrt(n) besides its length.  Other columns are not looked at."""
     found = with_spans(documents.select("doc_id", "text"), "found").select("doc_id", "found")
     count = lambda n: F.size(F.filter(F.col("found.base"), lambda x: x["kind"] == n)).cast("long")
     return found.select(
@@ -160,18 +210,28 @@ def mask_secrets(documents: DataFrame) -> DataFrame:
     found = with_spans(documents, name)
     text, spans = quoted("text"), quoted(name)["all"]
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["parts"], F.array(clear, F.lit(MASK))))
-            .otherwise(acc["parts"]).alias("parts"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(spans, first, step, lambda a: F.concat(
-        F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))
-    ))
+    def whole(blocks: Column) -> Column:
+        end = lambda bs: F.greatest(F.lit(0), F.array_max(F.flatten(F.transform(bs, lambda b: F.transform(b, lambda x: x["end"])))))
+        done = F.transform(blocks, lambda b, k: _with(
+            F.struct(F.coalesce(end(F.slice(blocks, 1, k)), F.lit(0)).alias("at"), b.alias("spans")), block
+        ))
+        return F.concat(F.array_join(done, ""), F.substring(text, F.coalesce(end(blocks), F.lit(0)) + 1, F.char_length(text)))
+
+    def block(b: Column) -> Column:
+        """The text from the end of all earlier blocks to the end of this one, masked."""
+        begin, last = b["at"], F.array_max(F.transform(b["spans"], lambda x: x["end"]))
+        return _with(F.substring(text, begin + 1, F.greatest(last - begin, F.lit(0))), lambda part: F.aggregate(
+            b["spans"], F.struct(begin.alias("at"), F.array().cast("array<string>").alias("parts")),
+            lambda acc, x: F.struct(
+                F.greatest(acc["at"], x["end"]).alias("at"),
+                F.when(x["start"] >= acc["at"], F.concat(acc["parts"], F.array(
+                    F.substring(part, acc["at"] - begin + 1, x["start"] - acc["at"]), F.lit(MASK)
+                ))).otherwise(acc["parts"]).alias("parts"),
+            ),
+            lambda acc: F.array_join(acc["parts"], ""),
+        ))
+
+    masked = _with(_blocks(spans), whole)
     # A column of its own: its length is taken from the text that is returned.
     found = found.withColumn(clean, F.when(F.size(spans) > 0, masked).otherwise(text))
     out = []

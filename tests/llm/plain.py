@@ -1,7 +1,9 @@
 """Plain, slow versions of operators for comparison."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 from itertools import combinations
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,6 +59,45 @@ def secrets(text):
     return sorted(out)
 
 
+def allowed(value):
+    return bool(
+        re.search(r"^[A-Za-z+/_=-]*$|^[0-9+/_=-]*$", value)
+        or re.search(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", value)
+        or re.search(r"example|sample|placeholder|xxxx|0123456789|123456789|abcdefgh", value, re.I)
+        or re.search(r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/+=](?:[A-Za-z]+|[0-9]{1,4}))+$", value)
+    )
+
+
+def entropy(value, window):
+    def one(part):
+        return -sum(n / len(part) * math.log2(n / len(part)) for n in Counter(part).values())
+
+    return max(one(value[i : i + window]) for i in range(len(value) - window + 1))
+
+
+def all_secrets(text, window=20, limits=(3.0, 3.7)):
+    """Base spans and those found by entropy, by looking at all pairs and all windows."""
+    base = secrets(text)
+    out = list(base)
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{window},}}", text or ""):
+        if allowed(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        kind = 0 if re.fullmatch("[0-9a-fA-F]+", m[0]) else 1
+        # Sums in another order differ in the last digits.
+        if entropy(m[0], window) >= limits[kind] - 1e-9:
+            out.append((m.start(), 3 + kind, m.end()))
+    return sorted(out)
+
+
+def masked(text, spans, mask):
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join(out) + text[at:] if spans else text
+
+
 def listed(spans, names):
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
