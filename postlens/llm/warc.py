@@ -27,6 +27,8 @@ from ..sources.scratch import cut_lineage, new_folder
 
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 100
+#: Pages of one payload that meet in a task when their response is looked up.
+SLICE = 1000
 #: A writer begins a new file after so many bytes; a reader's range has so many.
 ARCHIVE_BYTES, SPLIT_BYTES = 256 << 20, 8 << 20
 #: Reading tasks at most; beyond that, tasks read several ranges.
@@ -220,18 +222,31 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFr
     Of the pages with equal payloads of ``revisit_bytes`` or more, those with the smallest
     page_id are responses (all rows of it, if rows repeat) and the others revisit it.  A
     NULL page_id is never the smallest; pages without any id are all responses.  NULL html
-    is an empty payload.
+    is an empty payload.  Other columns are not looked at.
+
+    A payload of more than ``SLICE`` pages is split by its pages' ids, and the one row that
+    names its response is repeated per slice; payloads that need no look-up go anywhere.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     hashed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         html.alias("html"), F.sha2(html, 256).alias("payload_digest"),
     )
-    firsts = hashed.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    revisit = (
-        (F.octet_length("html") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    long_enough = F.octet_length("html") >= revisit_bytes
+    repeated = cut_lineage(
+        hashed.where(long_enough).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .where((F.col("n") > 1) & F.col("first").isNotNull()),
+        "warc-repeated",
+    )
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    hot = repeated.where(F.col("n") > SLICE).select("payload_digest", slices.alias("slices"))
+    firsts = repeated.select("payload_digest", "first", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    page = F.xxhash64("page_id", "url")
+    dealt = hashed.join(hot, "payload_digest", "left").withColumn(
+        "slice", F.pmod(page, F.when(long_enough, F.coalesce("slices", F.lit(1))).otherwise(1 << 20)).cast("int")
     )
-    return hashed.join(firsts, "payload_digest").select(
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return dealt.join(firsts, ["payload_digest", "slice"], "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "page_id", "url", "html", "payload_digest", F.when(revisit, F.col("first")).alias("refers_to"),
     )

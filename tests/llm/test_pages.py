@@ -1,6 +1,7 @@
 import io
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -115,3 +116,32 @@ def test_round_trip_with_odd_rows_in_small_files_and_splits(spark):
         (4, 5, "response", None), (6, 5, "response", None), (7, 0, "response", None), (8, 0, "response", None),
         (3, 120, "response", None), (0, 200, "response", None), (0, 200, "response", None), (11, 300_000, "response", None)])
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
+
+
+def test_hot_payload_is_spread_over_tasks(spark):
+    rows = [(i, f"u{i}", "x" * 200 if i % 3 else "" if i % 2 else f"page {i} " * 30) for i in range(9000)]
+    rows += [(None, None, "x" * 200), (4, "again", "x" * 200), (None, "n", "y" * 150), (None, "m", "y" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        planned = warc.plan_records(pages).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = Counter(r["task"] for r in planned)
+    # A third of all rows would be 3,000, and 6,000 have the hot payload.
+    assert max(tasks.values()) < 2200 and len(tasks) == 16
+    got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in planned), key=repr)
+    smallest = {}
+    for page, _, html in rows:
+        if page is not None:
+            smallest[html] = min(page, smallest.get(html, page))
+    expected = []
+    for page, url, html in rows:
+        first = smallest.get(html) if len(html) >= 100 else None
+        again = first is not None and page != first
+        expected.append((page, url, "revisit" if again else "response", first if again else None))
+    assert got == sorted(expected, key=repr)
