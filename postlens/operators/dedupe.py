@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut_lineage
 from .first_come import first_come
 
 
@@ -119,13 +120,17 @@ def admit_new_two_keys(
             known = stored.withColumn(order, F.lit(None)).select(key.alias(name))
             keyed = keyed.join(known.where(F.col(f"{name}.kind") != "row"), name, "left_anti")
     firsts = keyed.groupBy("_text_key", "_triple_key").agg(F.min(order).alias("node"))
-    incidence = firsts.select(
-        "node",
-        F.col("node").alias("ord"),
-        F.explode(F.array("_text_key", "_triple_key")).alias("edge"),
-        F.lit(True).alias("member"),
+    # Keys of one row alone are no conflict; rows without any shared key enter at once.
+    edges = cut_lineage(
+        firsts.select("node", F.explode(F.array("_text_key", "_triple_key")).alias("edge")), "keys"
     )
-    entered = first_come(incidence).withColumnRenamed("node", order)
+    alone = edges.groupBy("edge").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    shared = cut_lineage(edges.join(alone.drop("last"), ["edge", "node"], "left_anti"), "shared-keys")
+    single = edges.select("node").distinct().join(shared.select("node"), "node", "left_anti")
+    incidence = shared.distinct().select(
+        "node", F.col("node").alias("ord"), "edge", F.lit(True).alias("member")
+    )
+    entered = single.unionByName(first_come(incidence)).withColumnRenamed("node", order)
     return rows.join(entered, order, "left_semi")
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from postlens.operators import dedupe
+from postlens.operators import dedupe, first_come
 from postlens.operators.near_copies import drop_near_copies
 from postlens.plans import catalogue
 from tests.conftest import SF
@@ -76,6 +76,43 @@ def test_admission_with_two_keys(spark, seed):
     assert sorted(r.id for r in got.collect()) == sequential(rows, old)
 
 
+def test_a_chain_of_conflicts_needs_few_rounds(spark, monkeypatch):
+    # Texts and triples alternate, so every row is in conflict with the one before it.
+    chain = [(i, f"t{(i + 1) // 2}", "c", f"{i // 2}", "A") for i in range(1000)]
+    rounds = []
+    for name in ("_round", "_chain_round"):
+        plain = getattr(first_come, name)
+        monkeypatch.setattr(first_come, name, lambda *a, plain=plain: rounds.append(1) or plain(*a))
+    got = dedupe.admit_new_two_keys(spark.createDataFrame(chain, SCHEMA))
+    assert sorted(r.id for r in got.collect()) == sequential(chain) == list(range(0, 1000, 2))
+    assert len(rounds) <= 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_with_branches_equal_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(first_come, "PLAIN_ROUNDS", 0)
+    rng = random.Random(seed)
+    rows = [(i, f"t{rng.randrange(40)}", "c", f"{rng.randrange(40)}", "A") for i in range(80)]
+    got = dedupe.admit_new_two_keys(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.id for r in got.collect()) == sequential(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_with_rows_that_are_no_members(spark, seed, monkeypatch):
+    monkeypatch.setattr(first_come, "PLAIN_ROUNDS", seed % 2)
+    rng = random.Random(seed)
+    rows = sorted({(rng.randrange(15), n, n, rng.random() < 0.5) for n in range(40) for _ in range(2)})
+    rows = list({r[:2]: r for r in rows}.values())
+    kept = []
+    for node in range(40):
+        mine = {e: m for e, n, _, m in rows if n == node}
+        rivals = [(e, m) for e, n, _, m in rows if n in kept and e in mine]
+        if mine and not any(m or mine[e] for e, m in rivals):
+            kept.append(node)
+    frame = spark.createDataFrame(rows, "edge long, node long, ord long, member boolean")
+    assert sorted(r.node for r in first_come.first_come(frame).collect()) == kept
+
+
 def test_null_texts_and_open_triples_never_conflict(spark):
     rows = spark.createDataFrame([(1, None, None, "2", "A"), (2, None, None, "2", "A"), (3, "x", "c", "2", None),
                                   (4, "y", "c", "2", None)], SCHEMA)
