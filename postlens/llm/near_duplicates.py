@@ -15,9 +15,12 @@ their sets' similarity (shared / all) is at least 0.8; a component of links is a
    1e-6) and are then confirmed on the full sets.
 5. Links join classes to components.  In buckets that still hold several components, all
    pairs of classes of different components are tried too, so no link is lost to the
-   choice in 4.  A task holds two blocks of a bucket, tries a pair in the first band that
-   it shares, by signatures and then by full sets, and returns confirmed links only,
-   none between components that are joined by then.
+   choice in 4.  Where such classes fill several blocks of a bucket, they are first dealt
+   to blocks at random and tried within them, again while that halves the pairs left: texts
+   of one template grow together in a few such rounds of linear cost.  Then each block of
+   classes outside a bucket's largest component meets all blocks of the bucket.  A task
+   tries a pair in the first band that it shares, by signatures and then by full sets
+   (as one product of matrices if many pairs are left), and returns confirmed links only.
 6. Components come from alternating large-star and small-star steps.
 
 Sets are compared by 64-bit hashes of shingles, classes are told apart by 64 bits.
@@ -46,8 +49,11 @@ HASHES = BANDS * ROWS
 AGREEING = 57
 #: Members compared with one copy of a hub's text.
 SLICE = 256
-#: Members of a bucket in one block.
-BLOCK = 400
+#: Members of a bucket in one block, and shingles in it; a longer text is a block of its own.
+BLOCK = 1000
+BLOCK_SHINGLES = 500_000
+#: Pairs are counted one by one where a product of matrices takes more steps a pair than this.
+STEPS = 100_000
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -196,77 +202,126 @@ def _confirm(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _links_across(state: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components in ``state(bucket, band, node, component)``.
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
+    """Sizes of the intersections of sets ``i[k]`` and ``j[k]``; None if that is dearer than
+    to count them pair by pair.  Shingles that occur in the same sets are one column."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(place, kind="stable")
+    pattern = np.add.reduceat(w.mix(owner.astype(np.uint64) + w.ODD)[order], np.cumsum(count) - count)
+    several = np.nonzero(count > 1)[0]
+    _, first, weight = np.unique(pattern[several], return_index=True, return_counts=True)
+    left, at_left = np.unique(i, return_inverse=True)
+    right, at_right = np.unique(j, return_inverse=True)
+    if len(left) * len(right) * len(first) > STEPS * len(i):
+        return None
+    column = np.full(len(values), -1)
+    column[several[first]] = np.arange(len(first))
+    column = column[place]
+    product = np.zeros((len(left), len(right)))
+    for start in range(0, len(first), 1024):
+        size = min(1024, len(first) - start)
+        here = (column >= start) & (column < start + size)
+        cells = np.zeros((len(sets), size))
+        cells[owner[here], column[here] - start] = 1
+        product += (cells[left] * weight[start : start + size]) @ cells[right].T
+    return product[at_left, at_right]
+
+
+def _links_of_group(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links that join components, from rows of one pair of blocks."""
+    group = list({x[5]: x for x in group}.values())  # a text may be there several times
+    left, right, band = group[0][1], group[0][2], group[0][4]
+    signs = np.stack([np.frombuffer(x[8], np.uint32) for x in group])
+    block, component, n = (np.array([x[k] for x in group]) for k in (3, 6, 7))
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(len(group)):
+        if left != right and block[i] != left:
+            continue
+        j = np.arange(i + 1, len(group)) if left == right else np.nonzero(block == right)[0]
+        j = j[(component[j] != component[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
+        same = signs[j] == signs[i]
+        first = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band
+        agree = same.sum(1)
+        good = first & (agree >= AGREEING)
+        pairs.append((np.full(int(good.sum()), i), j[good], agree[good]))
+    a, b, agree = (np.concatenate(x) for x in zip(*pairs)) if pairs else 3 * (np.zeros(0, int),)
+    if not len(a):
+        return
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    sets = list(_sets_of(pa.array([group[k][9] for k in used], pa.string())))
+    i, j = place[: len(a)], place[len(a) :]
+    counted = _shared(sets, i, j)
+    sure = np.full(len(a), -1.0) if counted is None else counted
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    # The likeliest first: each link found spares all pairs of the two components.
+    order = np.argsort(-agree, kind="stable")
+    if counted is not None:
+        total = n[a] + n[b]
+        order = order[100 * sure[order] >= 80 * (total[order] - sure[order])]
+    for k in order.tolist():
+        x, y = root(int(component[a[k]])), root(int(component[b[k]]))
+        if x == y:
+            continue
+        if counted is None:
+            s, t = sets[i[k]], sets[j[k]]
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * shared < 80 * (len(s) + len(t) - shared):
+                continue
+        parent[max(x, y)] = min(x, y)
+        yield group[a[k]][5], group[b[k]][5]
+
+
+def _mixed(state: DataFrame) -> DataFrame:
+    """``(bucket, main, rest, blocks)`` of buckets with several components: the largest one,
+    the blocks that all others fill, and those of all members."""
+    parts = state.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
 
-    A bucket's members are dealt to blocks; each pair of blocks is one group of rows, so
-    a group has at most about ``2 * BLOCK`` of them, however large the bucket is."""
+    def blocks(m: Column, n: Column) -> Column:
+        return F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+
+    rest = blocks(F.col("m") - F.col("h.m"), F.col("n") - F.col("h.n"))
     # Facts about buckets are written before they are joined: adaptive execution splits a
     # large bucket only in a join whose sides are plain shuffles.
-    mixed = cut_lineage(
-        state.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-        .where("low < high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")),
+    return cut_lineage(
+        parts.groupBy("bucket")
+        .agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"),
+             F.max(F.struct("m", "n", "component")).alias("h"))
+        .where("parts > 1")
+        .select("bucket", F.col("h.component").alias("main"), rest.alias("rest"),
+                (rest + blocks(F.col("h.m"), F.col("h.n"))).alias("blocks")),
         "mixed-buckets",
     )
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = (
-        state.join(mixed, "bucket").select("bucket", "band", "node", "component", own.alias("own"), "blocks")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    content = texts.join(info.select("node", "signature"), "node")
+
+
+def _links_between(state: DataFrame, mixed: DataFrame, content: DataFrame, within: int | None) -> DataFrame:
+    """Links between components in ``state(bucket, band, node, n, component)``.
+
+    Members of a bucket are dealt to blocks; each block (``within``: a seed) or each pair of
+    blocks is one group of rows, of bounded size however large the bucket is."""
+    members = state.join(mixed, "bucket")
+    if within is not None:
+        own = F.pmod(F.xxhash64("node", F.lit(within)), F.col("blocks")).cast("int")
+        dealt = members.withColumn("own", own).withColumn("other", F.col("own"))
+    else:
+        code, main = F.xxhash64("node", F.lit(-1)), F.col("component") == F.col("main")
+        own = F.when(main, F.col("rest") + F.pmod(code, F.col("blocks") - F.col("rest"))).otherwise(F.pmod(code, F.col("rest")))
+        last = F.when(main, F.col("rest")).otherwise(F.col("blocks")) - 1
+        dealt = members.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = (
         dealt.join(content, "node")
         .select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-                "own", "band", "node", "component", "signature", "text")
+                "own", "band", "node", "component", "n", "signature", "text")
         .repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
     )
 
-    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        group = list({x[5]: x for x in group}.values())  # a text may be there several times
-        signs = np.stack([np.frombuffer(x[7], np.uint32) for x in group])
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.get(c, c) != c:
-                parent[c] = parent.get(parent[c], parent[c])
-                c = parent[c]
-            return c
-
-        sets: dict[int, np.ndarray] = {}
-
-        def shingles(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingle_sets([group[k][8] or ""])[0]
-            return sets[k]
-
-        left, right, band = group[0][1], group[0][2], group[0][4]
-        component = np.array([x[6] for x in group])
-        block = np.array([x[3] for x in group])
-        likely = []
-        for i in range(len(group)):
-            if left != right and block[i] != left:
-                continue
-            j = np.arange(i + 1, len(group)) if left == right else np.nonzero(block == right)[0]
-            j = j[component[j] != component[i]]
-            same = signs[j] == signs[i]
-            first = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band
-            agree = same.sum(1)
-            good = first & (agree >= AGREEING)
-            likely += zip((-agree[good]).tolist(), [i] * int(good.sum()), j[good].tolist())
-        # The likeliest first: each link found spares all pairs of the two components.
-        for _, i, j in sorted(likely):
-            a, b = root(group[i][6]), root(group[j][6])
-            if a == b:
-                continue
-            x, y = shingles(i), shingles(j)
-            if 100 * min(len(x), len(y)) < 80 * max(len(x), len(y)):
-                continue
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * shared >= 80 * (len(x) + len(y) - shared):
-                parent[max(a, b)] = min(a, b)
-                yield group[i][5], group[j][5]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
             a, b = zip(*found) if found else ((), ())
@@ -276,15 +331,38 @@ def _links_across(state: DataFrame, info: DataFrame, texts: DataFrame) -> DataFr
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][:3] != row[:3]:
-                    yield emit(list(links(group)))
+                    yield emit(list(_links_of_group(group)))
                     group = []
                 group.append(row)
         if group:
-            yield emit(list(links(group)))
+            yield emit(list(_links_of_group(group)))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _grown(links: DataFrame, known: DataFrame, content: DataFrame) -> DataFrame:
+    """``(node, component)`` by ``links`` and all further links inside buckets."""
+    joined, before, seed = components(links), None, 0
+    while True:
+        state = cut_lineage(
+            known.select("bucket", "band", "node", "n").join(joined, "node", "left")
+            .withColumn("component", F.coalesce("component", "node")),
+            "state",
+        )
+        mixed = _mixed(state)
+        wide, left = mixed.agg(F.max("rest"), F.sum(F.col("rest") * F.col("blocks").cast("double"))).first()
+        if wide is None:
+            return joined
+        last = wide == 1 or (before is not None and 2 * left > before)
+        more = cut_lineage(_links_between(state, mixed, content, None if last else seed), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = components(links)
+        if last:
+            return joined
+        before, seed = left, seed + 1
+
+
 def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, node)`` per document, and ``(node, root, component_id)`` per class."""
     features = cut_lineage(
@@ -341,15 +419,7 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         "first-pairs",
     )
     links = cut_lineage(_confirm(first, info, texts), "links")
-    joined = components(links)
-    state = cut_lineage(
-        known.select("bucket", "band", "node").join(joined, "node", "left")
-        .withColumn("component", F.coalesce("component", "node")),
-        "state",
-    )
-    more = cut_lineage(_links_across(state, info, texts), "links")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    joined = _grown(links, known, texts.join(info.select("node", "signature"), "node"))
     rooted = classes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return features.select("doc_id", "n", "node"), rooted.join(smallest, "root").select("node", "root", "component_id")

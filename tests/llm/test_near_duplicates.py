@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.llm import near_duplicates as nd
@@ -37,6 +38,31 @@ def test_equals_all_pairs_with_groups_around_the_limit(spark):
     assert result(nd.near_duplicates(docs(spark, rows))) == plain.near_duplicates(rows)
 
 
+def templated(rng, rows):
+    """Pages of one template with six of twenty exchangeable blocks."""
+    frame = [f"t{k}" for k in range(150)]
+    blocks = [[f"b{k}x{i}" for i in range(8)] for k in range(20)]
+    return [" ".join(frame + sum((blocks[k] for k in sorted(rng.sample(range(20), 6))), [])) for _ in range(rows)]
+
+
+@pytest.mark.parametrize("steps", [0, nd.STEPS])
+def test_templated_texts_in_many_blocks_equal_all_pairs(spark, monkeypatch, steps):
+    monkeypatch.setattr(nd, "BLOCK", 12)
+    monkeypatch.setattr(nd, "STEPS", steps)
+    rng = random.Random(8)
+    rows = list(enumerate(templated(rng, 160)))
+    assert result(nd.near_duplicates(docs(spark, rows))) == plain.near_duplicates(rows)
+
+
+def test_intersections_as_a_product():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    sets += sets[:5]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(10), np.arange(5, 35)))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert nd._shared(sets, i, j).tolist() == want
+
+
 def test_null_ids_repeated_rows_and_ties(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(None, text), (7, text), (7, text), (3, text + " end"), (9, "alone in the world"), (9, text), (None, "nobody knows this one")]
