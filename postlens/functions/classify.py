@@ -76,7 +76,9 @@ def normal_rent(value: Column) -> Column:
 
 def normal_rent_text(value: Column) -> Column:
     """Rent given as text: its first run of four to six digits, when in bounds."""
-    digits = F.regexp_extract(value, java_regex(fv.RENT_IN_TEXT), 1).try_cast("int")
+    found = F.regexp_extract(value, java_regex(fv.RENT_IN_TEXT), 1)
+    # At most six digits; an empty text would make an exception inside the cast.
+    digits = F.get(F.transform(F.array(found), lambda d: F.when(d != "", d.try_cast("int"))), F.lit(0))
     return F.when(digits.between(*fv.RENT_BOUNDS), digits)
 
 

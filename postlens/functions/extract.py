@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .text import (
     bold_digits_to_ascii,
+    by_common_part,
     evaluate_once,
     first_match,
     has_match,
@@ -63,8 +64,11 @@ def _with(value: str, use: str) -> str:
 
 
 def _captures() -> dict[str, str]:
+    # Spark evaluates the part that several areas share once for all of them.
+    part = {area: part for part, group in by_common_part(fv.AREAS) for area in group}
     areas = ", ".join(
-        f"CASE WHEN contains({_T}, {literal(area)}) THEN {literal(area.title())} END" for area in fv.AREAS
+        f"CASE WHEN contains({_T}, {literal(part[area])}) AND contains({_T}, {literal(area)}) "
+        f"THEN {literal(area.title())} END" for area in fv.AREAS
     )
     amenities = ", ".join(
         f"CASE WHEN {has_match(_T, pattern, needs)} THEN {literal(label)} END"

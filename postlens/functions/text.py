@@ -64,9 +64,34 @@ def literal(text: str) -> str:
 # parsed expression is much quicker to build than hundreds of Column objects.
 
 
+def by_common_part(needles) -> list[tuple[str, list[str]]]:
+    """``needles`` in groups, each with a literal that all of the group hold.
+
+    A text without that literal holds none of the group, so one look-up stands for all."""
+    left, groups = list(dict.fromkeys(needles)), []
+    while left:
+        parts = {n[i:j] for n in left for i in range(len(n)) for j in range(i + 3, len(n) + 1)}
+        shared = {p: [n for n in left if p in n] for p in parts}
+        best = max(shared, key=lambda p: (len(shared[p]), len(p), p), default=left[0])
+        group = shared.get(best, left[:1])
+        groups.append((best, group) if len(group) > 1 else (left[0], left[:1]))
+        left = [n for n in left if n not in groups[-1][1]]
+    return groups
+
+
 def contains_any(value: str, needles) -> str:
     """True when ``value`` holds at least one of the literal ``needles``."""
-    return "(" + " OR ".join(f"contains({value}, {literal(n)})" for n in needles) + ")"
+
+    def contains(n: str) -> str:
+        return f"contains({value}, {literal(n)})"
+
+    # Whatever holds a needle that holds another one holds that one, too.
+    needles = [n for n in needles if not any(m != n and m in n for m in needles)]
+    groups = [
+        contains(part) if part in group else f"({contains(part)} AND ({' OR '.join(map(contains, group))}))"
+        for part, group in by_common_part(needles)
+    ]
+    return "(" + " OR ".join(groups) + ")"
 
 
 def first_match(value: str, pattern: str, needs=(), group: int = 1) -> str:
@@ -86,8 +111,12 @@ def has_match(value: str, pattern: str, needs=()) -> str:
 
 
 def whole_number(captured: str) -> str:
-    """Digits with thousands commas as BIGINT; NULL for anything that is no number."""
-    return f"try_cast(translate({captured}, ',', '') AS BIGINT)"
+    """Digits with thousands commas as BIGINT; NULL for anything that is no number.
+
+    ``captured`` is named once only, since it may be a regex.  No match is an empty text, and
+    a cast that fails makes an exception inside, which costs more than the regex."""
+    digits = f"translate({captured}, ',', '')"
+    return f"transform(array({digits}), d -> CASE WHEN d != '' THEN try_cast(d AS BIGINT) END)[0]"
 
 
 def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
