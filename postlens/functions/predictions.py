@@ -90,7 +90,8 @@ def known_amenities(amenities: Column) -> Column:
 
 def plausible_date(value: str) -> Column:
     """Keep dates that name a month or say immediate; full ISO dates are made up."""
-    named = contains_any(f"lower({value})", (*fv.MONTH_ABBREVIATIONS, "immedia"))
+    # In lower case once for all the words.
+    named = f"exists(array(lower({value})), v -> {contains_any('v', (*fv.MONTH_ABBREVIATIONS, 'immedia'))})"
     iso = f"(char_length({value}) = 10 AND substring({value}, 5, 1) = '-')"
     return F.expr(f"CASE WHEN NOT {iso} AND {named} THEN {value} END")
 

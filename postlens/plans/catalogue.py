@@ -62,6 +62,8 @@ SHORT_VALUES = ("Furnished", " semi ", "2 car", "bike", "two wheeler", "rk", "RK
 # JSON texts of arrays, whole and broken, chosen by the order key.
 ARRAY_TEXTS = ('["a", "b"]', "[", "", '{"a": 1}', "[]", '["x", null]', "null", '["q\\"r"]', "plain words", '["a"')
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
+#: Rows of a landed file, about.
+LANDED_ROWS = 20_000
 #: Orders whose post fails, one in so many.
 FAILING = 13
 SHOWN = ("id", "bhk", "rent", "location", "furnished", "listing_type", "gender_preference")
@@ -582,14 +584,19 @@ def _tasks(spark) -> int | None:
     return int(tasks) if tasks else None
 
 
-def _landed(spark, rows: DataFrame, order: str, out: str, batches: int) -> DataFrame:
-    """``rows`` as a stream of so many micro-batches in the given order."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+def _in_batches(spark, rows: DataFrame, order: str, out: str, batches: int, start) -> None:
+    """Land ``rows`` in so many parts in the given order.  ``start(stream)`` begins a query over
+    what has landed; with one checkpoint and all that is there, each part is one micro-batch,
+    in as many files as its rows ask for."""
+    low, high, count = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     step = ((high or 0) - (low or 0)) // batches + 1
+    files = count // (batches * LANDED_ROWS) + 1
     for k in range(batches):
         first = (low or 0) + k * step
-        rows.where(F.col(order).between(first, first + step - 1)).coalesce(1).write.mode("append").parquet(f"{out}/landed")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+        part = rows.where(F.col(order).between(first, first + step - 1))
+        dealt = part.repartition(files, order) if files > 1 else part.coalesce(1)
+        dealt.write.mode("append").parquet(f"{out}/landed")
+        start(spark.readStream.schema(rows.schema).parquet(f"{out}/landed")).awaitTermination()
 
 
 def stream_ingest_listings(spark, sf_dir):
@@ -602,10 +609,9 @@ def stream_ingest_listings(spark, sf_dir):
 def stream_ingest_merged(spark, sf_dir):
     """Posts in four micro-batches, with predictions and both uniqueness rules."""
     out = new_folder(spark, "stream-merged")
-    incoming = _landed(spark, posts(spark, sf_dir), "post_id", out, 4)
-    stream_ingest.start_ingest(
+    _in_batches(spark, posts(spark, sf_dir), "post_id", out, 4, lambda incoming: stream_ingest.start_ingest(
         incoming, f"{out}/listings", f"{out}/checkpoint", predictions=predictions(spark, sf_dir), tasks=_tasks(spark)
-    ).awaitTermination()
+    ))
     return spark.read.parquet(f"{out}/listings").select("id", "contact", "bhk", "location")
 
 
@@ -613,15 +619,14 @@ def stream_near_copies(spark, sf_dir):
     """Documents that survive the near-copy filter of their source, in two batches."""
     out = new_folder(spark, "stream-near")
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    incoming = _landed(spark, documents, "doc_id", out, 2)
     near = stream_ingest.NearCopies(spark, f"{out}/documents", ["source"], order="doc_id", buckets=8)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         kept = near.filter(rows, "only", batch_id).select("doc_id", "source")
         kept.write.mode("overwrite").parquet(f"{out}/kept/batch_id={batch_id}")
 
-    incoming.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
+    _in_batches(spark, documents, "doc_id", out, 2, lambda incoming: incoming.writeStream.foreachBatch(batch).option(
+        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     return spark.read.parquet(f"{out}/kept").select("doc_id", "source")
 
 
@@ -629,9 +634,9 @@ def stream_unique_within(spark, sf_dir):
     """Texts that are unique within a horizon longer than the log, in three batches."""
     out = new_folder(spark, "stream-unique")
     rows = posts(spark, sf_dir).select("post_id", "text", F.col("scraped_at").cast("timestamp").alias("scraped_at"))
-    unique = stream_ingest.unique_within(_landed(spark, rows, "post_id", out, 3), "10000 days")
-    unique.writeStream.format("parquet").option("path", f"{out}/unique").option(
-        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    _in_batches(spark, rows, "post_id", out, 3, lambda incoming: stream_ingest.unique_within(
+        incoming, "10000 days").writeStream.format("parquet").option("path", f"{out}/unique").option(
+        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     return spark.read.parquet(f"{out}/unique").select("text")
 
 

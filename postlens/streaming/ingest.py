@@ -150,7 +150,11 @@ def start_ingest(
         if near_copies_within:
             good = NearCopies(spark, table, near_copies_within, buckets=buckets).filter(good, name, batch_id)
         index = key_index(spark, table, buckets)
-        rows = cut_lineage(to_listings(good, groups, predictions), "batch-listings")
+        said = predictions
+        if said is not None:
+            # Only the answers to the posts of this batch are decoded.
+            said = said.join(good.select("post_id"), "post_id", "left_semi")
+        rows = cut_lineage(to_listings(good, groups, said), "batch-listings")
         fresh = _not_stored(rows, index, name, batch_id)
         admitted = admit_new(fresh) if predictions is None else admit_new_two_keys(cut_lineage(fresh, "fresh"))
         admitted.write.mode("overwrite").parquet(_batch_path(table, name, batch_id))
