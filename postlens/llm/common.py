@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Labelled rows that a task learns from between two means of the models.
+TASK_ROWS = 8192
+#: Labelled ids that are broadcast to the texts at most, some 40 MB of them.
+BROADCAST_IDS = 1 << 20
+#: Groups in which the means are taken.
+BLOCKS = 256
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not use, in any case."""
     used = {c.lower() for c in df.columns}
@@ -60,12 +69,12 @@ def bounded_sample(
     )
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int) -> DataFrame:
-    """At most ``per_label`` whole texts of each label as ``(text, lang, y)``.
+def labelled(documents: DataFrame, labels: DataFrame, label: str, learn: Column, task_rows: int) -> tuple[DataFrame, int]:
+    """All whole texts with a label as ``(task, order, text, lang, y)``, dealt by their id to
+    tasks of some ``task_rows`` ids, and the number of tasks.
 
-    Rows come in the order of a hash of their id, so the choice does not depend on
-    partitioning.  Rows with a NULL id, NULL label or another label than 0 and 1 are
-    not used; neither are ids with contradicting labels.
+    ``order`` is a hash of the id.  Rows with a NULL id, NULL label or another label than 0
+    and 1 are not used; neither are ids with contradicting labels.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -75,20 +84,66 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
         .where("y = other")
         .select("doc_id", "y")
     )
+    ids = known.count()
+    tasks = ids // task_rows + 1
+    # Up to a bound it is cheaper to send the ids to the texts; beyond, they are merged.
+    side = F.broadcast(known) if ids <= BROADCAST_IDS else known
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").where(learn)
     order = F.xxhash64(F.col("doc_id"))
-    side = lambda y: known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_label)
-    chosen = side(0).unionByName(side(1))
-    return bounded_sample(documents, chosen, 2 * per_label, ["y"])
-
-
-def one_blob(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], bytes]) -> bytes:
-    """Run ``train`` over a bounded sample in one task and return its model.
-
-    The model's size is set by parameters, not by the data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([train(batches)], pa.binary())], ["model"])
-
-    made = sample.repartition(1).mapInArrow(run, "model binary").first()
-    # Without rows there may be no task at all.
-    return bytes(made["model"]) if made else train(iter(()))
+    return texts.join(side, "doc_id").select(
+        F.pmod(order, F.lit(tasks)).alias("task"), order.alias("order"), "text", "lang", "y"
+    ).repartition(4 * tasks, "task"), tasks
+
+
+def in_order(rows: pa.Table) -> pa.Table:
+    """The rows of a task of :func:`labelled` in an order that does not depend on storage."""
+    return rows.sort_by([(c, "ascending") for c in ("order", "text", "lang", "y")])
+
+
+def train_in_rounds(rows: DataFrame, state: np.ndarray, rounds: int,
+                    learn: Callable[[pa.Table, np.ndarray, int], np.ndarray | None]) -> np.ndarray | None:
+    """``state`` after so many rounds over all rows, those of a ``task`` together; None if
+    nothing was learned.
+
+    In a round every task goes on from the same state with its own rows: ``learn(rows,
+    state, round)`` returns what it makes of it, None if they tell nothing.  Then each
+    number moves by the mean move of the tasks that moved it, so what few tasks know is not
+    diluted.  The means are taken in ``BLOCKS`` groups; the driver holds one state, whose
+    size is set by parameters, not by the data."""
+    context = rows.sparkSession.sparkContext
+    for number in range(rounds):
+        shared = context.broadcast(state)
+        moves = (
+            rows.groupBy("task").applyInArrow(_moved(learn, shared, number), "task long, block int, move binary")
+            .groupBy("block").applyInArrow(_mean_move, "block int, move binary").collect()
+        )
+        if not moves:
+            return None
+        parts = [np.frombuffer(r["move"], np.float32) for r in sorted(moves, key=lambda r: r["block"])]
+        state = state + np.concatenate(parts)
+        shared.destroy()
+    return state
+
+
+def _moved(learn: Callable[[pa.Table, np.ndarray, int], np.ndarray | None], shared, number: int) -> Callable:
+    """What a round moves in a task, block by block."""
+
+    def run(own: pa.Table) -> pa.Table:
+        after = learn(in_order(own), shared.value.copy(), number)
+        moves = [] if after is None else np.array_split(after - shared.value, BLOCKS)
+        return pa.table({
+            "task": pa.array([own.column("task")[0].as_py()] * len(moves), pa.int64()),
+            "block": pa.array(range(len(moves)), pa.int32()),
+            "move": pa.array([move.tobytes() for move in moves], pa.binary()),
+        })
+
+    return run
+
+
+def _mean_move(moves: pa.Table) -> pa.Table:
+    total = count = 0
+    for move in moves.sort_by("task").column("move"):
+        part = np.frombuffer(move.as_buffer(), np.float32)
+        total, count = total + part.astype(np.float64), count + (part != 0)
+    mean = (total / np.maximum(count, 1)).astype(np.float32)
+    return pa.table({"block": moves.column("block").slice(0, 1), "move": pa.array([mean.tobytes()], pa.binary())})

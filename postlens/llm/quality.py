@@ -2,7 +2,9 @@
 
 A document is the average of learned vectors of its words and of the character n-grams
 of its words, all hashed into one table; a softmax over two classes follows.  Training
-is plain stochastic gradient descent in numpy over a bounded sample of labelled rows.
+is plain stochastic gradient descent over all labelled rows: tasks go over their own
+rows, and after every pass the moves of their weights are averaged (where one task holds
+all rows it makes all passes at once).
 
 A repeated word adds one more token, the same for every word, because a bag of words
 does not see repetition.
@@ -18,21 +20,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import fold, labelled_sample, one_blob, per_batch
+from .common import TASK_ROWS, fold, labelled, per_batch, train_in_rounds
 
 BUCKETS = 1 << 17
 DIM = 12
 RATE = 0.5
-#: Passes over the sample, and updates at least, however small the sample is.
+#: Passes over the labelled rows, and updates at least, however few those are.
 EPOCHS, STEPS = 4, 6000
 #: Characters of the n-grams.
 SHORTEST, LONGEST = 2, 4
-#: Labelled rows per label that training reads.
-PER_LABEL = 1500
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 
@@ -74,15 +75,11 @@ def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
     return bags
 
 
-def _train(texts: list[str], labels: list[int], buckets: int, dim: int, epochs: int, rate: float) -> np.ndarray:
-    """Per bucket the difference of the two class logits that its vector adds."""
-    docs = [(*bag, y) for bag, y in zip(_bags(texts, buckets), labels) if len(bag[0])]
-    rng = np.random.default_rng(7)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    out = np.zeros((dim, 2), np.float32)
-    epochs = max(epochs, -(-STEPS // max(1, len(docs)))) if docs else 0
-    steps, done = max(1, epochs * len(docs)), 0
-    for _ in range(epochs):
+def _learn(docs: list[tuple[np.ndarray, np.ndarray, int]], vectors: np.ndarray, out: np.ndarray,
+           passes: range, of: int, rate: float, rng: np.random.Generator) -> None:
+    """These passes over ``docs``, of so many; vectors and output weights change in place."""
+    done, steps = passes.start * len(docs), max(1, of * len(docs))
+    for _ in passes:
         for k in rng.permutation(len(docs)):
             ids, weight, y = docs[k]
             step = rate * (1 - done / steps)
@@ -96,18 +93,38 @@ def _train(texts: list[str], labels: list[int], buckets: int, dim: int, epochs:
             out -= step * np.outer(hidden, p)
             # An average over many features has small shares; the rate makes up for it.
             vectors[ids] -= (step * min(len(ids), 50)) * np.outer(weight, back)
-    return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
 
 
-def train(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL,
+def train(documents: DataFrame, labels: DataFrame, learn: Column, task_rows: int = TASK_ROWS,
           buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE) -> bytes:
-    """The model as bytes, ``4 * buckets`` of them.  ``learn`` says which labels may be used."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> bytes:
-        rows = [(t or "", y) for b in batches for t, y in zip(*(b.column(c).to_pylist() for c in ("text", "y")))]
-        return _train([t for t, _ in rows], [y for _, y in rows], buckets, dim, epochs, rate).tobytes()
-
-    return one_blob(labelled_sample(documents, labels, "quality", learn, per_label), run)
+    """The model as bytes, ``4 * buckets`` of them: per bucket the difference of the two
+    class logits that its vector adds.  ``learn`` says which labels may be used."""
+    rows, tasks = labelled(documents, labels, "quality", learn, task_rows)
+    rows.persist(StorageLevel.DISK_ONLY)
+    alone = tasks == 1
+
+    def start(rng: np.random.Generator) -> np.ndarray:
+        return rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+
+    def run(own: pa.Table, flat: np.ndarray, number: int) -> np.ndarray | None:
+        bags = _bags(own.column("text").to_pylist(), buckets)
+        docs = [(*bag, y) for bag, y in zip(bags, own.column("y").to_pylist()) if len(bag[0])]
+        if not docs:
+            return None
+        rng = np.random.default_rng(7 + number)
+        start(rng)  # the first permutation comes after what was drawn for the start
+        vectors, out = flat[: buckets * dim].reshape(buckets, dim), flat[buckets * dim :].reshape(dim, 2)
+        least = -(-STEPS // len(docs))
+        each = max(epochs, least) if alone else -(-least // epochs)
+        _learn(docs, vectors, out, range(number * each, (number + 1) * each), each if alone else epochs * each, rate, rng)
+        return flat
+
+    first = np.concatenate([start(np.random.default_rng(7)).ravel(), np.zeros(2 * dim, np.float32)])
+    trained = train_in_rounds(rows, first, 1 if alone else epochs, run)
+    rows.unpersist()
+    flat = first if trained is None else trained
+    out = flat[buckets * dim :].reshape(dim, 2)
+    return (flat[: buckets * dim].reshape(buckets, dim) @ (out[:, 1] - out[:, 0])).astype(np.float32).tobytes()
 
 
 def _scorer(weights: np.ndarray) -> Callable[[list[str]], np.ndarray]:

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens.llm import language, quality, toxicity
-from postlens.llm.common import fold
+from postlens.llm.common import fold, train_in_rounds
 from tests.conftest import SF
 
 BIG = SF.replace("sf0.001", "sf0.01")
@@ -32,6 +33,34 @@ def test_toxicity_finds_words_with_known_beginnings(spark):
     assert accuracy(toxicity.score_documents(documents, labels), labels, "toxic") >= 0.97
 
 
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_every_labelled_row_is_learned(spark, module, label):
+    """A mark that only rows late in the order of their hash have is learned too."""
+    plain = spark.range(12000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias(label))
+    late = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"))) > 5400
+    word = F.when(late, F.when(F.col(label) == 0, "mild").otherwise("vile")).when(F.col(label) == 0, "calm").otherwise("grim")
+    filler = [F.concat(F.lit("w"), (F.xxhash64("doc_id", F.lit(k)) % 40).cast("string")) for k in range(12)]
+    marked = plain.withColumn("text", F.concat_ws(" ", *filler[:6], word, *filler[6:])).withColumn("lang", F.lit("en"))
+    rows = marked.cache()
+    scored = module.score_documents(rows.select("doc_id", "text", "lang"), rows.select("doc_id", label), task_rows=3000).join(rows, "doc_id")
+    late = scored.where(F.col("text").contains("vile") | F.col("text").contains("mild"))
+    assert late.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= 0.95
+    assert scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= 0.97
+
+
+def test_moves_are_averaged_over_the_tasks_that_moved(spark):
+    rows = spark.createDataFrame([(k % 3, k, "x", "en", 1) for k in range(9)], "task long, order long, text string, lang string, y int")
+    moves = [np.float32([1, 0, 0]), np.float32([3, 5, 0]), None]
+
+    def learn(own, state, number):
+        assert own.column("order").to_pylist() == sorted(own.column("order").to_pylist()) and len(own) == 3
+        move = moves[own.column("task")[0].as_py()]
+        return None if move is None else state + move
+
+    assert train_in_rounds(rows, np.zeros(3, np.float32), 2, learn).tolist() == [4, 10, 0]
+    assert train_in_rounds(rows.where("task = 2"), np.zeros(3, np.float32), 2, learn) is None
+
+
 def test_language_on_held_out_rows(spark):
     documents = spark.read.parquet(f"{BIG}/documents.parquet")
     held = language.predict_documents(documents).where("held_out").join(documents, "doc_id")
