@@ -27,7 +27,9 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +65,7 @@ def _count(longest: int, large_nodes: dict[str, list[bytes]] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[Counter]] = {}
         hot = large_nodes or {}
+        shifts = range(longest)
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counters in held.items():
@@ -74,7 +77,7 @@ def _count(longest: int, large_nodes: dict[str, list[bytes]] | None = None):
                         last = pa.nulls(n, pa.binary())
                         if k == longest:
                             halves = pc.split_pattern(part, b" ", max_splits=1, reverse=True).flatten()
-                            part, last = halves.take(pa.array(range(0, 2 * n, 2))), halves.take(pa.array(range(1, 2 * n, 2)))
+                            part, last = halves.take(pa.array(np.arange(0, 2 * n, 2))), halves.take(pa.array(np.arange(1, 2 * n, 2)))
                         kind = b"\n%s\n" % (b"" if k >= longest - 1 else b"e%d" % k) + lang.encode()
                         keys = pc.binary_join_element_wise(part, pa.scalar(kind, pa.binary()), pa.scalar(b"", pa.binary()))
                         if hot.get(lang) and k >= longest - 1:
@@ -97,15 +100,19 @@ def _count(longest: int, large_nodes: dict[str, list[bytes]] | None = None):
                     # A very long text is counted in parts, cut where a piece ends.
                     cut = _PIECE_ENDS.search(body, start + (1 << 20))
                     end = cut.end() if cut else len(body)
-                    edges = counters[-1]
+                    # One update for all pieces; most of them are short.
+                    grams: list[list[bytes]] = [[] for _ in range(longest)]
+                    edges = grams[-1]
                     for piece in _PIECE_ENDS.split(body[start:end]):
                         words = piece.split()
                         if len(words) >= longest:
-                            edges.update(map(b" ".join, zip(*(words[k:] for k in range(longest)))))
+                            edges += map(b" ".join, zip(*[words[k:] for k in shifts]))
                         for k in range(1, min(len(words) + 1, longest)):
-                            counters[k - 1][b" ".join(words[-k:])] += 1
+                            grams[k - 1].append(b" ".join(words[-k:]))
+                    for counter, found in zip(counters, grams):
+                        counter.update(found)
                     start = end
-                    if sum(len(c) for cs in held.values() for c in cs) > HELD:
+                    if sum(map(len, chain.from_iterable(held.values()))) > HELD:
                         yield from rows()
                         counters = held.setdefault(lang, [Counter() for _ in range(longest)])
         yield from rows()
