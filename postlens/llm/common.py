@@ -115,22 +115,21 @@ def train_in_rounds(rows: DataFrame, state: np.ndarray, rounds: int,
         shared = context.broadcast(state)
         moves = (
             rows.groupBy("task").applyInArrow(_moved(learn, shared, number), "task long, block int, move binary")
-            .groupBy("block").applyInArrow(_mean_move, "block int, move binary").collect()
+            .groupBy("block").applyInArrow(_mean(shared), "block int, after binary").collect()
         )
         if not moves:
             return None
-        parts = [np.frombuffer(r["move"], np.float32) for r in sorted(moves, key=lambda r: r["block"])]
-        state = state + np.concatenate(parts)
+        state = np.concatenate([np.frombuffer(r["after"], np.float32) for r in sorted(moves, key=lambda r: r["block"])])
         shared.destroy()
     return state
 
 
 def _moved(learn: Callable[[pa.Table, np.ndarray, int], np.ndarray | None], shared, number: int) -> Callable:
-    """What a round moves in a task, block by block."""
+    """The bits that a round changes in a task, block by block: none where nothing moves."""
 
     def run(own: pa.Table) -> pa.Table:
         after = learn(in_order(own), shared.value.copy(), number)
-        moves = [] if after is None else np.array_split(after - shared.value, BLOCKS)
+        moves = [] if after is None else np.array_split(after.view(np.uint32) ^ shared.value.view(np.uint32), BLOCKS)
         return pa.table({
             "task": pa.array([own.column("task")[0].as_py()] * len(moves), pa.int64()),
             "block": pa.array(range(len(moves)), pa.int32()),
@@ -140,10 +139,18 @@ def _moved(learn: Callable[[pa.Table, np.ndarray, int], np.ndarray | None], shar
     return run
 
 
-def _mean_move(moves: pa.Table) -> pa.Table:
-    total = count = 0
-    for move in moves.sort_by("task").column("move"):
-        part = np.frombuffer(move.as_buffer(), np.float32)
-        total, count = total + part.astype(np.float64), count + (part != 0)
-    mean = (total / np.maximum(count, 1)).astype(np.float32)
-    return pa.table({"block": moves.column("block").slice(0, 1), "move": pa.array([mean.tobytes()], pa.binary())})
+def _mean(shared) -> Callable:
+    """A block after the mean move of the tasks, each number over those that moved it."""
+
+    def run(moves: pa.Table) -> pa.Table:
+        block = moves.column("block")[0].as_py()
+        before = np.array_split(shared.value, BLOCKS)[block]
+        total, count = np.zeros(len(before)), np.zeros(len(before), np.int64)
+        for move in moves.sort_by("task").column("move"):
+            bits = np.frombuffer(move.as_buffer(), np.uint32)
+            total += (before.view(np.uint32) ^ bits).view(np.float32).astype(np.float64) - before
+            count += bits != 0
+        after = (before + total / np.maximum(count, 1)).astype(np.float32)
+        return pa.table({"block": pa.array([block], pa.int32()), "after": pa.array([after.tobytes()], pa.binary())})
+
+    return run

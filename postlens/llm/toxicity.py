@@ -199,11 +199,14 @@ def _known(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _shifts(bins: np.ndarray, languages: int) -> np.ndarray:
     """Per language, and last for all together, the logit that separates the labels best.
 
-    ``bins`` has a row for each language number, rounded logit and label, and how many
-    rows have them."""
+    ``bins`` has a row for each language number, rounded logit and label: how many rows
+    have them, and their least and greatest logit."""
 
     def cut(own: np.ndarray) -> float | None:
         logits, slot = np.unique(own[:, 1], return_inverse=True)
+        least, most = np.full(len(logits), np.inf), np.full(len(logits), -np.inf)
+        np.minimum.at(least, slot, own[:, 4])
+        np.maximum.at(most, slot, own[:, 5])
         below, above = (np.bincount(slot, own[:, 3] * (own[:, 2] == y), len(logits)) for y in (1, 0))
         if below.sum() < 5 or above.sum() < 5:
             return None
@@ -211,9 +214,8 @@ def _shifts(bins: np.ndarray, languages: int) -> np.ndarray:
         errors = np.concatenate([[0], np.cumsum(below)]) + np.concatenate([np.cumsum(above[::-1])[::-1], [0]])
         best = np.nonzero(errors == errors.min())[0]
         i = int(best[len(best) // 2])
-        values = logits / LOGIT_BINS
-        low = values[i - 1] if i else values[0] - 1
-        high = values[i] if i < len(values) else values[-1] + 1
+        low = most[i - 1] if i else least[0] - 1
+        high = least[i] if i < len(least) else most[-1] + 1
         return float((low + high) / 2)
 
     every = cut(bins)
@@ -229,16 +231,20 @@ def _separated(rows: DataFrame, model: dict[str, np.ndarray], languages: int) ->
     def judge(own: pa.Table) -> pa.Table:
         texts, labels = _rows(in_order(own), True)
         z, guess = _logits(shared.value)(texts)
-        z = np.rint(np.clip(z, -30, 30) * LOGIT_BINS)
-        found, n = np.unique(np.stack([guess, z, labels]).astype(np.int64), axis=1, return_counts=True)
-        return pa.table([pa.array(x) for x in (*found, n)], ["guess", "z", "y", "n"])
+        bins = np.rint(np.clip(z, -30, 30) * LOGIT_BINS).astype(np.int64)
+        columns = (guess.astype(np.int64), bins, np.array(labels, np.int64), z.astype(np.float64))
+        judged = pa.table([pa.array(c) for c in columns], ["guess", "bin", "y", "z"])
+        counted = judged.group_by(["guess", "bin", "y"]).aggregate([("z", "count"), ("z", "min"), ("z", "max")])
+        names = ["guess", "bin", "y", "n", "least", "most"]
+        return counted.select(["guess", "bin", "y", "z_count", "z_min", "z_max"]).rename_columns(names)
 
     # At most 60 * LOGIT_BINS logits of two labels in each language.
     counted = (
-        rows.groupBy("task").applyInArrow(judge, "guess long, z long, y long, n long")
-        .groupBy("guess", "z", "y").agg(F.sum("n").alias("n")).toArrow()
+        rows.groupBy("task").applyInArrow(judge, "guess long, bin long, y long, n long, least double, most double")
+        .groupBy("guess", "bin", "y").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        .toArrow()
     )
-    return _shifts(np.stack([c.to_numpy() for c in counted.columns], 1).reshape(-1, 4), languages)
+    return _shifts(np.stack([c.to_numpy() for c in counted.columns], 1).astype(np.float64).reshape(-1, 6), languages)
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, task_rows: int = TASK_ROWS,
