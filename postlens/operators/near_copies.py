@@ -5,19 +5,26 @@ run and group are such that the first 80 characters of one occur in the other.
 
 The heads are found without comparing posts pairwise.  Posts are at least 50
 characters long, so a head contains a window of 35 overlapping 16-character grams.
-Every text emits the smallest gram hash of each of its windows (winnowing:
+Every text selects the smallest gram hash of each of its windows (winnowing:
 Schleimer, Wilkerson and Aiken, SIGMOD 2003), about one gram in eighteen, and every
 distinct head is known by the smallest gram of its first window.  A shared gram
 says where a head could start; the characters at that place are then looked up
 among the distinct heads.  The result has one row per (head, text) that contains
 it, which is bounded by the length of the texts and not by the square of a group.
+
+Most grams of a text are no head's.  A bitmap of the grams that heads are known by, of a
+fixed size, is sent to the tasks that read the texts, so that only grams that may be one
+of those become rows, each with the characters around it; texts are not shuffled.  The
+bitmap only leaves out what has no match: where it is crowded, more rows pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +37,10 @@ from .skew import HOT_ROWS, lookup_join
 
 GRAM = 16
 WINDOW = fv.MIN_POST_CHARS - GRAM + 1
+#: The bitmap of grams: blocks, and bits of one (64 KB each, 16 MB together).
+BLOCKS, BLOCK_BITS = 256, 1 << 19
+#: A gram is 32 bits of a hash; its highest bits are its place in the bitmap.
+SLOT_SHIFT = 32 - (BLOCKS * BLOCK_BITS - 1).bit_length()
 
 
 def long_enough(posts: DataFrame, text: str = "text") -> DataFrame:
@@ -37,11 +48,27 @@ def long_enough(posts: DataFrame, text: str = "text") -> DataFrame:
     return posts.withColumn(text, strip(F.col(text))).where(F.char_length(text) >= fv.MIN_POST_CHARS)
 
 
-def _winnow():
-    """``mapInArrow`` function: texts to their selected grams (hash and position)."""
-    gram, window, chunk_chars = GRAM, WINDOW, 1 << 20
+def _passes(known: Broadcast):
+    """Function that tells for each gram whether its bit is set."""
+
+    def passes(gram):
+        import numpy as np
+
+        slot = (gram >> np.uint32(SLOT_SHIFT)).astype(np.int64)
+        return (known.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+    return passes
+
 
-    def marks(codes, lengths):
+def _winnow(known: Broadcast | None):
+    """``mapInArrow`` function: texts to their selected grams (hash and position).
+
+    With a bitmap of ``known`` grams, only those that may be among them, with the
+    characters in which a head that has the gram in its first window would lie."""
+    gram, window, chunk_chars, reach = GRAM, WINDOW, 1 << 20, fv.HEAD_CHARS
+    passes = None if known is None else _passes(known)
+
+    def marks(codes, lengths, seeds):
         """Selected (row, position, hash) of texts that lie one after another in ``codes``."""
         import numpy as np
 
@@ -55,19 +82,22 @@ def _winnow():
             value ^= value >> np.uint64(29)
             value *= np.uint64(0xBF58476D1CE4E5B9)
             value ^= value >> np.uint64(32)
-        best, width = np.arange(len(value)), 1
-        while width < window:  # position of the leftmost minimum of each window
+        # The leftmost minimum of each window: 33 bits of the hash, then the position.
+        low = np.uint64((1 << 31) - 1)
+        best, width = (value & ~low) | np.arange(len(value), dtype=np.uint64), 1
+        while width < window:
             step = min(width, window - width)
-            left, right = best[:-step], best[step:]
-            best = np.where(value[left] <= value[right], left, right)
+            best = np.minimum(best[:-step], best[step:])
             width += step
         ends = np.cumsum(lengths)
-        starts = ends - lengths
-        row = np.searchsorted(ends, np.arange(len(best)), side="right")
+        row = np.repeat(np.arange(len(lengths)), lengths)[: len(best)]
         inside = np.arange(len(best)) + (window + gram - 1) <= ends[row]
-        chosen = np.unique(best[inside])
+        chosen = (best[inside] & low).astype(np.int64)  # never decreases
+        chosen = chosen[np.diff(chosen, prepend=-1) != 0]
         at = np.searchsorted(ends, chosen, side="right")
-        return at, chosen - starts[at], value[chosen]
+        with np.errstate(over="ignore"):
+            hashes = (value[chosen] ^ seeds[at]) * multiplier
+        return at, chosen - (ends - lengths)[at], (hashes >> np.uint64(32)).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -75,7 +105,8 @@ def _winnow():
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            carried = [n for n in batch.schema.names if n != "text"]
+            seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            carried = [n for n in batch.schema.names if n not in ("text", "seed")]
             start = 0
             while start < len(texts):
                 stop, chars = start, 0
@@ -84,48 +115,116 @@ def _winnow():
                     stop += 1
                 part = texts[start:stop]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32)
-                row, position, value = marks(codes, np.array([len(t) for t in part]))
+                row, position, value = marks(codes, np.array([len(t) for t in part]), seeds[start:stop])
+                if passes is None:
+                    more = {"first": pyarrow.array(np.diff(row, prepend=-1) != 0)}
+                else:
+                    passed = passes(value)
+                    row, position, value = row[passed], position[passed], value[passed]
+                    more = {"around": pyarrow.array(
+                        [part[r][max(0, p - window + 1) : p + reach] for r, p in zip(row.tolist(), position.tolist())],
+                        pyarrow.string(),
+                    )}
                 index = pyarrow.array(row + start)
                 yield pyarrow.RecordBatch.from_arrays(
                     [batch.column(n).take(index) for n in carried]
-                    + [
-                        pyarrow.array(position.astype(np.int32)),
-                        pyarrow.array(value.view(np.int64)),
-                        pyarrow.array(np.diff(row, prepend=-1) != 0),
-                    ],
-                    names=[*carried, "at", "gram", "first"],
+                    + [pyarrow.array(position.astype(np.int32)), pyarrow.array(value.view(np.int32)), *more.values()],
+                    names=[*carried, "at", "gram", *more],
                 )
                 start = stop
 
     return run
 
 
+def _marked(rows: DataFrame, known: Broadcast | None) -> DataFrame:
+    """``rows(..., part, text)`` winnowed; the hash of a gram depends on the part."""
+    fields = rows.drop("text").schema.add("at", T.IntegerType()).add("gram", T.IntegerType())
+    fields = fields.add("first", T.BooleanType()) if known is None else fields.add("around", T.StringType())
+    return rows.withColumn("seed", F.xxhash64("part")).mapInArrow(_winnow(known), fields)
+
+
 def marks(posts: DataFrame) -> DataFrame:
-    """Selected grams of ``posts(part, node, text, head)``, those of the head's first window
-    marked ``first``: ``(part, node, own_size, chars, at, gram, first)``."""
-    sizes = posts.select(
-        "part", "node", F.char_length("head").alias("own_size"), F.char_length("text").alias("chars"), "text"
-    )
-    fields = (
-        sizes.drop("text").schema.add("at", T.IntegerType()).add("gram", T.LongType()).add("first", T.BooleanType())
-    )
-    return sizes.mapInArrow(_winnow(), fields)
+    """Selected grams of ``posts(part, node, text, head)`` as ``(node, at, gram, size)``:
+    ``size`` is that of the post's head where the gram is in its first window, else 0."""
+    rows = posts.select("part", "node", F.char_length("head").alias("size"), "text")
+    return _marked(rows, None).select("node", "at", "gram", F.when(F.col("first"), F.col("size")).otherwise(0).alias("size"))
+
+
+def head_marks(posts: DataFrame) -> DataFrame:
+    """Those of :func:`marks` with a size, one for each post: the grams that heads are known by."""
+    return marks(posts.withColumn("text", F.substring("text", 1, fv.MIN_POST_CHARS)))
+
+
+def gram_bits(grams: DataFrame) -> Broadcast:
+    """A bitmap in which the bit of every ``gram`` is set, put together block by block."""
+
+    def bits(own: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow
+
+        flags = np.zeros(BLOCK_BITS, bool)
+        flags[(own.column("gram").to_numpy().view(np.uint32) >> np.uint32(SLOT_SHIFT)) % BLOCK_BITS] = True
+        block = own.column("block")[0].as_py()
+        return pyarrow.table({"block": pyarrow.array([block], pyarrow.int32()),
+                              "bits": pyarrow.array([np.packbits(flags, bitorder="little").tobytes()], pyarrow.binary())})
+
+    block = F.shiftrightunsigned("gram", 32 - (BLOCKS - 1).bit_length()).alias("block")
+    found = grams.select("gram", block).distinct().groupBy("block").applyInArrow(bits, "block int, bits binary")
+    size = BLOCK_BITS // 8
+    whole = np.zeros(BLOCKS * size, np.uint8)
+    for row in found.collect():
+        whole[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(whole)
 
 
-def head_places(texts: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(part, node, own_size, start, size)``: where a head that shares a gram may start in
-    a text.  Both are :func:`marks`, of texts and of posts whose heads are looked for."""
+def hits(posts: DataFrame, known: Broadcast) -> DataFrame:
+    """``(part, node, own_head, at, gram, around)``: grams of ``posts`` that may be among the
+    known ones, and the characters around them."""
+    return _marked(posts.select("part", "node", F.col("head").alias("own_head"), "text"), known)
+
+
+def marks_among(marked: DataFrame, known: Broadcast) -> DataFrame:
+    """Rows of ``marked`` whose gram may be among the known ones."""
+
+    passes = _passes(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow
+
+        for batch in batches:
+            gram = batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint32)
+            yield batch.filter(pyarrow.array(passes(gram)))
+
+    return marked.mapInArrow(run, marked.schema)
+
+
+def _at_spots(texts: DataFrame, heads: DataFrame, hot_rows: int) -> DataFrame:
+    """``texts(at, gram, ...)`` with ``start`` and ``size``: where a head of ``heads`` that
+    shares the gram may lie."""
     # Per gram: where it sits in the heads it stands for, and how long those are.
     # Offsets are below 35 and sizes between 50 and 80, so the sets are bounded.
-    spot = F.struct(F.col("at").alias("offset"), F.col("own_size").alias("size"))
-    head_grams = heads.where("first").groupBy("part", "gram").agg(F.collect_set(spot).alias("spots"))
+    spots = heads.groupBy("gram").agg(F.collect_set(F.struct(F.col("at").alias("offset"), "size")).alias("spots"))
+    columns = [c for c in texts.columns if c not in ("gram", "size")]
+    return (
+        lookup_join(texts, spots, ["gram"], hot_rows)
+        .select(*columns, F.explode("spots").alias("spot"))
+        .withColumn("start", F.col("at") - F.col("spot.offset")).withColumn("size", F.col("spot.size"))
+        .where("start >= 0").drop("spot")
+    )
+
+
+def possible_heads(found: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(part, head, node)``: texts of ``found`` (:func:`hits`) have these characters, not
+    their own head, where a head of ``heads`` (:func:`head_marks`) may lie."""
+    begin = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
+    # Whatever the size, the own head lies at the beginning.
     return (
-        lookup_join(texts, head_grams, ["part", "gram"], hot_rows)
-        .select("part", "node", "at", "own_size", "chars", F.explode("spots").alias("spot"))
-        .select("part", "node", "own_size", (F.col("at") - F.col("spot.offset")).alias("start"),
-                F.col("spot.size").alias("size"), "chars")
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("chars")))
-        .drop("chars").distinct()
+        _at_spots(found, heads, hot_rows)
+        .where(~((F.col("start") == 0) & (F.col("size") == F.char_length("own_head"))))
+        .withColumn("head", F.substring(F.col("around"), F.col("start") - begin + 1, F.col("size")))
+        .where((F.char_length("head") == F.col("size")) & (F.col("head") != F.col("own_head")))
+        .select("part", "head", "node").distinct()
     )
 
 
@@ -134,24 +233,21 @@ def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     ``posts(part, node, text, head)``.
     """
-    marked = cut_lineage(marks(posts), "grams")
-    places = head_places(marked, marked, hot_rows).where("NOT (start = 0 AND size = own_size)").drop("part", "own_size")
-    found = places.join(posts, "node").select(
-        "part", "node", F.col("head").alias("own_head"),
-        F.expr("substring(text, start + 1, size)").alias("head"),
-    ).where(F.col("head") != F.col("own_head"))
-    heads = posts.select("part", "head").distinct()
-    candidates = cut_lineage(found.select("part", "head", "node").distinct(), "candidates")
-    return lookup_join(candidates, heads, ["part", "head"], hot_rows)
-
-
-def heads_in_texts(texts: DataFrame, heads: DataFrame, text_marks: DataFrame, head_marks: DataFrame) -> DataFrame:
-    """``(part, head, node)``: a head of ``heads`` occurs in the text of a node of ``texts``,
-    two sets of posts without a common node."""
-    found = head_places(text_marks, head_marks).join(texts.select("node", "text"), "node").select(
-        "part", "node", F.expr("substring(text, start + 1, size)").alias("head")
-    )
-    return found.distinct().join(heads.select("part", "head").distinct(), ["part", "head"])
+    heads = cut_lineage(head_marks(posts), "head-grams")
+    known = gram_bits(heads)
+    found = cut_lineage(hits(posts, known), "grams")
+    known.destroy()
+    candidates = cut_lineage(possible_heads(found, heads, hot_rows), "candidates")
+    return lookup_join(candidates, posts.select("part", "head").distinct(), ["part", "head"], hot_rows)
+
+
+def heads_in_texts(marked: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(part, head)``: characters of ``texts(part, node, text)`` where a head of ``heads``
+    may lie, by ``marked``, the :func:`marks` of the texts."""
+    places = _at_spots(marked, heads, HOT_ROWS).select("node", "start", "size").distinct()
+    found = places.join(texts.select("part", "node", "text"), "node")
+    head = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
+    return found.where("start + size <= char_length(text)").select("part", head.alias("head")).distinct()
 
 
 def as_posts(posts: DataFrame, part: list[str], order: str, text: str = "text") -> DataFrame:
@@ -174,11 +270,17 @@ def drop_near_copies(
     usable = long_enough(posts, text)
     base = cut_lineage(as_posts(usable, part, order, text), "posts")
     inside = cut_lineage(contained_heads(base, hot_rows), "heads")
+    kept = survivors(base.select("part", "head", "node"), inside, hot_rows)
+    return usable.join(kept.withColumnRenamed("node", order), order, "left_semi")
 
+
+def survivors(posts: DataFrame, inside: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Nodes of ``posts(part, head, node)`` that the filter keeps; ``inside`` is
+    :func:`contained_heads` of the same posts."""
     # Posts with the same head conflict with each other.  Of those that contain no
     # other head only the earliest can be kept, so the rest is folded away here.
     holders = inside.select("node").distinct().withColumn("holds", F.lit(True))
-    flagged = base.select("part", "head", "node").join(holders, "node", "left")
+    flagged = posts.join(holders, "node", "left").select("part", "head", "node", "holds")
     firsts = (
         flagged.where(F.col("holds").isNull())
         .groupBy("part", "head")
@@ -195,5 +297,4 @@ def drop_near_copies(
     ).unionByName(
         inside.select(edge, "node", F.col("node").alias("ord"), F.lit(False).alias("member"))
     )
-    kept = settled.unionByName(first_come(incidence, hot_rows))
-    return usable.join(kept.withColumnRenamed("node", order), order, "left_semi")
+    return settled.unionByName(first_come(incidence, hot_rows))

@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedupe import admit_new, admit_new_two_keys, text_key, triple_key
-from ..operators.near_copies import as_posts, drop_near_copies, heads_in_texts, long_enough, marks
+from ..operators.near_copies import (
+    as_posts, gram_bits, head_marks, heads_in_texts, hits, long_enough, marks, marks_among, possible_heads, survivors,
+)
+from ..operators.skew import lookup_join
 from ..plans.jobs import to_listings
 from ..sources.schemas import POSTS
 from ..sources.scratch import cut_lineage
@@ -75,28 +78,52 @@ class NearCopies:
 
     def filter(self, posts: DataFrame, run: str, batch_id: int) -> DataFrame:
         usable = cut_lineage(long_enough(posts), "batch-posts")
-        new = cut_lineage(as_posts(usable, self.part, self.order), "new-posts")
-        new_marks = cut_lineage(marks(new), "new-marks")
-        grams = BucketIndex(self.spark, self.path + "/grams", new_marks.schema, ["part", "gram"], self.buckets)
+        new = as_posts(usable, self.part, self.order)
+        new_heads = cut_lineage(head_marks(new), "new-heads")
+        grams = BucketIndex(self.spark, self.path + "/grams", new_heads.schema, ["gram"], self.buckets)
         texts = BucketIndex(self.spark, self.path + "/posts", new.schema, ["node"], self.buckets)
 
-        shared = grams.find(grams.touched(new_marks), run, batch_id).join(
-            new_marks.select("part", "gram").distinct(), ["part", "gram"], "left_semi"
-        )
-        old_marks = cut_lineage(shared, "old-marks")
-        nodes = cut_lineage(old_marks.select("node").distinct(), "old-nodes")
-        old = cut_lineage(texts.find(texts.touched(nodes), run, batch_id).join(nodes, "node", "left_semi"), "old-posts")
-        holding = heads_in_texts(new, old, new_marks, old_marks).select("node")
-        held = heads_in_texts(old, new, old_marks, new_marks).select("part", "head").distinct()
-        dropped = cut_lineage(holding.unionByName(new.join(held, ["part", "head"], "left_semi").select("node")), "known-copies")
-
-        left = usable.join(dropped.withColumnRenamed("node", self.order), self.order, "left_anti")
-        kept = cut_lineage(drop_near_copies(left, self.part, self.order), "kept-posts")
-        ids = kept.select(F.col(self.order).alias("node"))
-        grams.append(new_marks.join(ids, "node", "left_semi"), run, batch_id)
-        texts.append(new.join(ids, "node", "left_semi"), run, batch_id)
+        stored = bool(grams.settled(run, batch_id))
+        marked = grams.find(grams.touched(marks(new)) if stored else [], run, batch_id)
+        old_heads = marked.where("size > 0")
+        known = gram_bits(new_heads.select("gram").unionByName(old_heads.select("gram")))
+        found = cut_lineage(hits(new, known), "new-hits")
+        known.destroy()
+        own = cut_lineage(possible_heads(found, new_heads), "candidates")
+        live = new.select("part", "head", "node")
+        if stored:
+            dropped = cut_lineage(self._known_copies(live, new_heads, found, marked, texts, run, batch_id), "known-copies")
+            live = cut_lineage(live.join(dropped, "node", "left_anti"), "live-posts")
+            own = own.join(dropped, "node", "left_anti")
+        inside = cut_lineage(lookup_join(own, live.select("part", "head").distinct(), ["part", "head"]), "heads")
+        ids = survivors(live, inside).withColumnRenamed("node", self.order)
+        kept = cut_lineage(usable.join(ids, self.order, "left_semi"), "kept-posts")
+        left = as_posts(kept, self.part, self.order)
+        grams.append(marks(left), run, batch_id)
+        texts.append(left, run, batch_id)
         return kept
 
+    def _known_copies(self, live: DataFrame, new_heads: DataFrame, found: DataFrame, marked: DataFrame,
+                      texts: BucketIndex, run: str, batch_id: int) -> DataFrame:
+        """Nodes of the new posts that a stored post makes a near-copy.
+
+        ``found`` are the :func:`hits` of the new texts, ``marked`` the stored grams."""
+        old_heads = cut_lineage(
+            marked.where("size > 0").join(found.select("gram").distinct(), "gram", "left_semi"), "old-heads"
+        )
+        known = gram_bits(new_heads)
+        shared = cut_lineage(
+            marks_among(marked, known).join(new_heads.select("gram").distinct(), "gram", "left_semi"), "old-marks"
+        )
+        known.destroy()
+        behind = texts.find(texts.touched(shared.select("node").distinct(), "node"), run, batch_id)
+        held = heads_in_texts(shared, behind, new_heads)
+        nodes = old_heads.select("node").distinct()
+        old = texts.find(texts.touched(nodes, "node"), run, batch_id).join(nodes, "node", "left_semi").select("part", "head")
+        # A new post may begin with a stored head, or hold it further on.
+        holding = possible_heads(found.withColumn("own_head", F.lit("")), old_heads).join(old.distinct(), ["part", "head"])
+        return holding.select("node").unionByName(live.join(held, ["part", "head"], "left_semi").select("node")).distinct()
+
 
 def _reason(batch: DataFrame) -> Column:
     """Why a row cannot become a listing; NULL for good rows."""
