@@ -55,24 +55,46 @@ def _features(chunk: w.Chunk, buckets: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its distinct buckets and their shares."""
-    counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    """Per text its distinct buckets and their shares.
+
+    A text is put together as soon as its last piece is counted, so that the counts of
+    one chunk and of one text are held besides the bags.  These lie in two long buffers:
+    many small arrays would stay with the worker after the task."""
+    bags, shares = bytearray(), bytearray()
+    sizes = [0] * len(texts)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    last = -1
+
+    def put() -> None:
+        ids, share = _bag(parts)
+        bags.extend(ids.data)
+        shares.extend(share.data)
+        sizes[last] = len(ids)
+        parts.clear()
+
     for chunk in w.chunks(texts):
-        parts = list(_features(chunk, buckets))
-        ids, place = (np.concatenate(x) for x in zip(*parts))
+        features = list(_features(chunk, buckets))
+        ids, place = (np.concatenate(x) for x in zip(*features))
         piece = np.searchsorted(chunk.starts, place, "right") - 1
         keys, n = np.unique(piece * buckets + ids, return_counts=True)
         cuts = np.searchsorted(keys, np.arange(len(chunk.starts) + 1) * buckets)
         for p, k in enumerate(chunk.owner):
-            at = slice(cuts[p], cuts[p + 1])
-            counts[k].append((keys[at] - p * buckets, n[at]))
-    bags = []
-    for parts in counts:
-        ids, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
-        ids, where = np.unique(ids, return_inverse=True)
-        n = np.bincount(where, weights=n, minlength=len(ids))
-        bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    return bags
+            if k != last and parts:
+                put()
+            at, last = slice(cuts[p], cuts[p + 1]), k
+            parts.append((keys[at] - p * buckets, n[at]))
+    if parts:
+        put()
+    ends = np.cumsum(sizes)[:-1]
+    return list(zip(*(np.split(np.frombuffer(x, kind), ends) for x, kind in ((bags, np.int32), (shares, np.float32)))))[: len(texts)]
+
+
+def _bag(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their shares, from the counts of its pieces."""
+    ids, n = (np.concatenate(x) for x in zip(*parts))
+    ids, where = np.unique(ids, return_inverse=True)
+    n = np.bincount(where, weights=n, minlength=len(ids))
+    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def _learn(docs: list[tuple[np.ndarray, np.ndarray, int]], vectors: np.ndarray, out: np.ndarray,
