@@ -50,6 +50,8 @@ def key_index(spark: SparkSession, table: str, buckets: int = BUCKETS) -> Bucket
 
 def _not_stored(rows: DataFrame, index: BucketIndex, run: str, batch_id: int) -> DataFrame:
     """Rows whose text and whose triple are in no stored row."""
+    if not index.settled(run, batch_id):
+        return rows  # nothing is stored: no row is shuffled to look for it
     for key in (text_key(), triple_key()):
         # A row known by its id only never conflicts with another one.
         digest = F.when(key["kind"] != "row", _digest(key))
