@@ -100,6 +100,14 @@ def in_order(rows: pa.Table) -> pa.Table:
     return rows.sort_by([(c, "ascending") for c in ("order", "text", "lang", "y")])
 
 
+def texts_of(rows: pa.Table, places: np.ndarray | None = None) -> Iterator[str]:
+    """The texts at these places, or all, a few at a time, so that they are not held twice."""
+    column = rows.column("text").combine_chunks()
+    places = np.arange(len(rows)) if places is None else places
+    for start in range(0, len(places), 64):
+        yield from column.take(pa.array(places[start : start + 64])).to_pylist()
+
+
 def train_in_rounds(rows: DataFrame, state: np.ndarray, rounds: int,
                     learn: Callable[[pa.Table, np.ndarray, int], np.ndarray | None]) -> np.ndarray | None:
     """``state`` after so many rounds over all rows, those of a ``task`` together; None if

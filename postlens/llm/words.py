@@ -8,7 +8,7 @@ a piece exceeds the size only if one word does.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +37,7 @@ class Chunk(NamedTuple):
     owner: np.ndarray
 
 
-def chunks(texts: list[str], overlap: int = 0, size: int = CHUNK) -> Iterator[Chunk]:
+def chunks(texts: Iterable[str], overlap: int = 0, size: int = CHUNK) -> Iterator[Chunk]:
     """All texts in order.  A piece of a cut text repeats the last ``overlap`` words
     of the piece before it."""
     pieces: list[str] = []
