@@ -16,7 +16,7 @@ text scores 0.5.  Texts are read whole.  Equal texts have equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import TASK_ROWS, fold, labelled, per_batch, train_in_rounds
+from .common import TASK_ROWS, fold, labelled, per_batch, texts_of, train_in_rounds
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -54,24 +54,48 @@ def _features(chunk: w.Chunk, buckets: int) -> Iterator[tuple[np.ndarray, np.nda
             yield (grams[place] >> bits).astype(np.int64), place
 
 
-def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+class _Bags(Sequence):
     """Per text its distinct buckets and their shares.
 
-    A text is put together as soon as its last piece is counted, so that the counts of
-    one chunk and of one text are held besides the bags.  These lie in two long buffers:
-    many small arrays would stay with the worker after the task."""
-    bags, shares = bytearray(), bytearray()
-    sizes = [0] * len(texts)
+    A bucket of a text takes one number: which it is, and how often below; higher counts
+    take several.  All numbers lie in one long buffer: many small arrays would stay with
+    the worker after the task."""
+
+    def __init__(self, buckets: int):
+        self.kind = np.uint32 if buckets <= 1 << 24 else np.uint64
+        self.bits = 8 * np.dtype(self.kind).itemsize - (buckets - 1).bit_length()
+        self.held, self.ends = bytearray(), [0]
+
+    def put(self, ids: np.ndarray, n: np.ndarray) -> None:
+        most = (1 << self.bits) - 1
+        parts = np.maximum(1, -(-n // most))
+        counts = np.full(parts.sum(), most)
+        counts[np.cumsum(parts) - 1] = n - most * (parts - 1)
+        numbers = (np.repeat(ids, parts).astype(self.kind) << self.kind(self.bits)) | counts.astype(self.kind)
+        self.held.extend(numbers.data)
+        self.ends.append(self.ends[-1] + len(numbers))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        numbers = np.frombuffer(self.held, self.kind)[self.ends[k] : self.ends[k + 1]]
+        ids = (numbers >> self.kind(self.bits)).astype(np.int32)
+        n = (numbers & self.kind((1 << self.bits) - 1)).astype(np.float64)
+        if (ids[1:] == ids[:-1]).any():
+            ids, where = np.unique(ids, return_inverse=True)
+            n = np.bincount(where, n)
+        return ids, (n / max(1, n.sum())).astype(np.float32)
+
+
+def _bags(texts: Iterable[str], buckets: int) -> Sequence[tuple[np.ndarray, np.ndarray]]:
+    """The bags of all texts.  A text is put together as soon as its last piece is counted,
+    so that the counts of one chunk and of one text are held besides the bags."""
+    bags = _Bags(buckets)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     last = -1
-
-    def put() -> None:
-        ids, share = _bag(parts)
-        bags.extend(ids.data)
-        shares.extend(share.data)
-        sizes[last] = len(ids)
-        parts.clear()
-
     for chunk in w.chunks(texts):
         features = list(_features(chunk, buckets))
         ids, place = (np.concatenate(x) for x in zip(*features))
@@ -80,30 +104,31 @@ def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
         cuts = np.searchsorted(keys, np.arange(len(chunk.starts) + 1) * buckets)
         for p, k in enumerate(chunk.owner):
             if k != last and parts:
-                put()
+                bags.put(*_sums(parts))
+                parts.clear()
             at, last = slice(cuts[p], cuts[p + 1]), k
             parts.append((keys[at] - p * buckets, n[at]))
     if parts:
-        put()
-    ends = np.cumsum(sizes)[:-1]
-    return list(zip(*(np.split(np.frombuffer(x, kind), ends) for x, kind in ((bags, np.int32), (shares, np.float32)))))[: len(texts)]
+        bags.put(*_sums(parts))
+    return bags if len(bags) else []
 
 
-def _bag(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares, from the counts of its pieces."""
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their counts, from the counts of its pieces."""
     ids, n = (np.concatenate(x) for x in zip(*parts))
     ids, where = np.unique(ids, return_inverse=True)
-    n = np.bincount(where, weights=n, minlength=len(ids))
-    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+    return ids, np.bincount(where, weights=n, minlength=len(ids)).astype(np.int64)
 
 
-def _learn(docs: list[tuple[np.ndarray, np.ndarray, int]], vectors: np.ndarray, out: np.ndarray,
-           passes: range, of: int, rate: float, rng: np.random.Generator) -> None:
-    """These passes over ``docs``, of so many; vectors and output weights change in place."""
+def _learn(bags: Sequence[tuple[np.ndarray, np.ndarray]], docs: list[tuple[int, int]], vectors: np.ndarray,
+           out: np.ndarray, passes: range, of: int, rate: float, rng: np.random.Generator) -> None:
+    """These passes over ``docs``, of so many, each a place in ``bags`` and a label; vectors and
+    output weights change in place."""
     done, steps = passes.start * len(docs), max(1, of * len(docs))
     for _ in passes:
         for k in rng.permutation(len(docs)):
-            ids, weight, y = docs[k]
+            place, y = docs[k]
+            ids, weight = bags[place]
             step = rate * (1 - done / steps)
             done += 1
             hidden = weight @ vectors[ids]
@@ -129,8 +154,8 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, task_rows: int
         return rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
 
     def run(own: pa.Table, flat: np.ndarray, number: int) -> np.ndarray | None:
-        bags = _bags(own.column("text").to_pylist(), buckets)
-        docs = [(*bag, y) for bag, y in zip(bags, own.column("y").to_pylist()) if len(bag[0])]
+        bags = _bags(texts_of(own), buckets)
+        docs = [(k, y) for k, (bag, y) in enumerate(zip(bags, own.column("y").to_pylist())) if len(bag[0])]
         if not docs:
             return None
         rng = np.random.default_rng(7 + number)
@@ -138,7 +163,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, task_rows: int
         vectors, out = flat[: buckets * dim].reshape(buckets, dim), flat[buckets * dim :].reshape(dim, 2)
         least = -(-STEPS // len(docs))
         each = max(epochs, least) if alone else -(-least // epochs)
-        _learn(docs, vectors, out, range(number * each, (number + 1) * each), each if alone else epochs * each, rate, rng)
+        _learn(bags, docs, vectors, out, range(number * each, (number + 1) * each), each if alone else epochs * each, rate, rng)
         return flat
 
     first = np.concatenate([start(np.random.default_rng(7)).ravel(), np.zeros(2 * dim, np.float32)])

@@ -47,3 +47,19 @@ def test_a_cut_text_is_one_bag(monkeypatch):
     monkeypatch.setattr(q.w, "chunks", lambda texts: cut(texts, size=500))
     _, (ids, other) = q._bags(["x", text], 1 << 20)
     assert set(ids) <= set(whole) and np.isclose(other.sum(), 1) and abs(len(ids) - len(whole)) < 100
+
+
+def test_a_bag_takes_a_number_for_each_bucket():
+    texts = _texts(600, 700)
+    tracemalloc.start()
+    bags = q._bags(iter(texts), q.BUCKETS)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 0.6 * sum(ids.nbytes + share.nbytes for ids, share in bags)
+
+
+def test_counts_beyond_a_number_are_whole():
+    (ids, share), (_, short) = q._bags(["ab " * 9000 + "cd", "ab ab cd"], 1 << 20)
+    assert len(set(ids)) == len(ids) and np.isclose(share.sum(), 1)
+    # A repeated word adds nearly as much as each feature of the word.
+    assert np.isclose(share.max(), 1 / 8, rtol=0.01) and np.count_nonzero(share > 0.1) == 8
