@@ -40,6 +40,13 @@ def triple_key(row_id: str = "id") -> Column:
     ).otherwise(_key("row", F.col(row_id)))
 
 
+def _digest(key: Column) -> Column:
+    """128 bits of a digest of a key; NULL for the key of a row by its id."""
+    # Parts are quoted, so that different keys have different texts.
+    whole = F.unhex(F.substring(F.sha2(F.to_json(key), 256), 1, 32))
+    return F.when(key["kind"] != "row", whole)
+
+
 def entry_key(text: str = "raw_text", row_id: str = "id") -> Column:
     """Both rules in one key, for fields that depend on the text alone.
 
@@ -114,19 +121,19 @@ def admit_new_two_keys(
     column.  Rows equal in both keys follow the first of them, so they are folded
     before the conflicts are resolved.
     """
-    keyed = rows.withColumns({"_text_key": text_key(text, order), "_triple_key": triple_key(order)})
+    digests = {"_text": _digest(text_key(text, order)), "_triple": _digest(triple_key(order))}
+    keyed = rows.select(order, *[d.alias(name) for name, d in digests.items()])
     if stored is not None:
-        for name, key in (("_text_key", text_key(text, order)), ("_triple_key", triple_key(order))):
-            known = stored.withColumn(order, F.lit(None)).select(key.alias(name))
-            keyed = keyed.join(known.where(F.col(f"{name}.kind") != "row"), name, "left_anti")
-    firsts = keyed.groupBy("_text_key", "_triple_key").agg(F.min(order).alias("node"))
+        for name, digest in digests.items():
+            keyed = keyed.join(stored.withColumn(order, F.lit(None)).select(digest.alias(name)), name, "left_anti")
+    # Without one of the keys a row is not folded with others.
+    own = F.when(F.col("_text").isNull() | F.col("_triple").isNull(), F.col(order)).alias("own")
+    firsts = cut_lineage(keyed.groupBy("_text", "_triple", own).agg(F.min(order).alias("node")).drop("own"), "keys")
     # Keys of one row alone are no conflict; rows without any shared key enter at once.
-    edges = cut_lineage(
-        firsts.select("node", F.explode(F.array("_text_key", "_triple_key")).alias("edge")), "keys"
-    )
-    alone = edges.groupBy("edge").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    shared = cut_lineage(edges.join(alone.drop("last"), ["edge", "node"], "left_anti"), "shared-keys")
-    single = edges.select("node").distinct().join(shared.select("node"), "node", "left_anti")
+    edges = firsts.select("node", F.explode(F.array("_text", "_triple")).alias("edge")).where(F.col("edge").isNotNull())
+    several = edges.groupBy("edge").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    shared = cut_lineage(edges.join(several.select("edge"), "edge", "left_semi"), "shared-keys")
+    single = firsts.select("node").distinct().join(shared.select("node"), "node", "left_anti")
     incidence = shared.distinct().select(
         "node", F.col("node").alias("ord"), "edge", F.lit(True).alias("member")
     )

@@ -199,3 +199,20 @@ def test_incomplete_rows_are_not_known_by_their_id(spark):
     new = spark.createDataFrame([(1, None, None, None, None), (2, "text", None, None, None)], schema)
     for rule in (dedupe.unique_texts, dedupe.unique_across_groups, dedupe.admit_new):
         assert sorted(r.id for r in rule(new, stored).collect()) == [1, 2]
+
+
+def test_rows_without_a_shared_key_make_no_edges(spark, monkeypatch):
+    rows = spark.range(500).selectExpr(
+        "id", "concat('text ', id % 499) AS raw_text", "if(id % 2 = 0, concat('9', id), '') AS contact", "'2' AS bhk", "'kondapur' AS location"
+    )
+    written, cut = {}, dedupe.cut_lineage
+
+    def count(df, name):
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(dedupe, "cut_lineage", count)
+    # The last text is that of the first row.
+    assert sorted(r.id for r in dedupe.admit_new_two_keys(rows).collect()) == list(range(499))
+    assert written["keys"].count() == 500 and written["shared-keys"].count() == 2
+    assert max(len(r.edge) for r in written["shared-keys"].collect()) == 16
