@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from postlens.sources import json_arrays
 from postlens.sources.json_arrays import read_json_arrays
 
 SCHEMA = "id long, text string, tags array<string>, inner struct<a: string, more: struct<b: long>>"
@@ -51,3 +52,28 @@ def test_only_empty_files(spark, tmp_path):
     (tmp_path / "a.json").write_text("")
     (tmp_path / "b.json").write_text(" [ ] ")
     assert read_json_arrays(spark, str(tmp_path), SCHEMA).collect() == []
+
+
+def test_elements_within_a_chunk_are_not_shuffled(spark, tmp_path):
+    rows = [{"id": i, "text": "x" * 100, "tags": [], "inner": None} for i in range(4000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    ends, cut = [], json_arrays.cut_lineage
+
+    def keep(df, name):
+        ends.extend([found := cut(df, name)] if name == "json-ends" else [])
+        return found if name == "json-ends" else cut(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(json_arrays, "cut_lineage", keep)
+        got = json_arrays.read_json_arrays(spark, str(tmp_path), SCHEMA)
+    assert got.count() == 4000
+    size = sum(len(r.lead) + len(r.tail or b"") for r in ends[0].collect())
+    assert 0 < size < len(json.dumps(rows)) / 20
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 500])
+def test_any_chunk_gives_the_same_elements(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(json_arrays, "CHUNK", chunk)
+    rows = elements(150, chunk)
+    (tmp_path / "a.json").write_text(json.dumps(rows, ensure_ascii=False))
+    assert found(read_json_arrays(spark, str(tmp_path), SCHEMA)) == rows
