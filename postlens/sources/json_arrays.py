@@ -148,8 +148,10 @@ def read_json_arrays(spark: SparkSession, path: str, schema: StructType) -> Data
         F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"),
     )
     counts = ", ".join(f"{f.name} long" for f in _CHUNKS if f.name not in ("file", "block", "at", "text"))
+    # Whole ranges go together where they are many, so that few files are written.
+    few = pieces.coalesce(4 * spark.sparkContext.defaultParallelism)
     chunks = cut_lineage(
-        pieces.mapInArrow(_chunks(), f"file string, block long, at long, text binary, {counts}"), "json-chunks"
+        few.mapInArrow(_chunks(), f"file string, block long, at long, text binary, {counts}"), "json-chunks"
     )
     # One row for each range of the files.
     ranges = chunks.groupBy(*_RANGE).agg(*[F.sum(c).alias(c) for c in ("quotes", "delta_0", "delta_1")])
