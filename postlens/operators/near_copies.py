@@ -14,8 +14,10 @@ it, which is bounded by the length of the texts and not by the square of a group
 
 Most grams of a text are no head's.  A bitmap of the grams that heads are known by, of a
 fixed size, is sent to the tasks that read the texts, so that only grams that may be one
-of those become rows, each with the characters around it; texts are not shuffled.  The
-bitmap only leaves out what has no match: where it is crowded, more rows pass.
+of those become rows, each with the characters around it; texts are not shuffled.  A second
+bitmap of that size knows how heads begin, by a hash of their first 50 characters, so that
+a gram that texts share, or that is only the text's own head's, makes no row either.  The
+bitmaps only leave out what has no match: where they are crowded, more rows pass.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ GRAM = 16
 WINDOW = fv.MIN_POST_CHARS - GRAM + 1
 #: The bitmap of grams: blocks, and bits of one (64 KB each, 16 MB together).
 BLOCKS, BLOCK_BITS = 256, 1 << 19
+#: Factor of the hashes, and what tells keys of short heads from those of all heads.
+MULTIPLIER, SHORT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: A gram is 32 bits of a hash; its highest bits are its place in the bitmap.
 SLOT_SHIFT = 32 - (BLOCKS * BLOCK_BITS - 1).bit_length()
 
@@ -49,7 +53,7 @@ def long_enough(posts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _passes(known: Broadcast):
-    """Function that tells for each gram whether its bit is set."""
+    """Function that tells for each gram, or half of a key, whether its bit is set."""
 
     def passes(gram):
         import numpy as np
@@ -60,25 +64,76 @@ def _passes(known: Broadcast):
     return passes
 
 
-def _winnow(known: Broadcast | None):
+def _hashes():
+    """Functions that are shipped to the tasks by value: hashes of runs of characters, keys of
+    the beginnings of heads, and both halves of such keys."""
+    multiplier, other = MULTIPLIER, SHORT
+
+    def rolled(codes, width):
+        """A hash of every ``width`` characters, put together from runs of 1, 2, 4, ... of them."""
+        import numpy as np
+
+        value, factor, size = codes.astype(np.uint64) + np.uint64(1), np.uint64(multiplier), 1
+        whole, taken = None, 0
+        with np.errstate(over="ignore"):
+            while True:
+                if width & size:
+                    more = value[taken:]
+                    whole = more if whole is None else whole[: len(more)] * factor + more
+                    taken += size
+                if taken == width:
+                    return whole
+                value = value[:-size] * factor + value[size:]
+                factor = factor * factor
+                size *= 2
+
+    def begun(value, seeds, short):
+        """Keys of characters that a head may begin with.  Heads shorter than others have a
+        second one, for the beginning of a text, which is that of its own head, too."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            key = (value ^ seeds ^ np.where(short, np.uint64(other), np.uint64(0))) * np.uint64(multiplier)
+            return (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def halves(keys):
+        import numpy as np
+
+        return (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+
+    return rolled, begun, halves
+
+
+def _winnow(known: Broadcast | None, begins: Broadcast | None = None):
     """``mapInArrow`` function: texts to their selected grams (hash and position).
 
     With a bitmap of ``known`` grams, only those that may be among them, with the
-    characters in which a head that has the gram in its first window would lie."""
-    gram, window, chunk_chars, reach = GRAM, WINDOW, 1 << 20, fv.HEAD_CHARS
+    characters in which a head that has the gram in its first window would lie; with one of
+    how heads begin, too, only those in which one may, and the places where."""
+    gram, window, chunk_chars, reach, least = GRAM, WINDOW, 1 << 20, fv.HEAD_CHARS, fv.MIN_POST_CHARS
+    multiplier, (rolled, begun, halves) = MULTIPLIER, _hashes()
     passes = None if known is None else _passes(known)
+    may_begin = None if begins is None else _passes(begins)
+
+    def places(codes, lengths, seeds, row, position):
+        """Of selected grams, which may lie in a head that is not the text's own (as a flag
+        for each), and where such heads may begin: (number of the gram, place)."""
+        import numpy as np
+
+        value, first = rolled(codes, least), np.cumsum(lengths) - lengths
+        start = position[:, None] - np.arange(window)
+        hit, back = np.nonzero((start >= 0) & (start + least <= lengths[row][:, None]))
+        start = start[hit, back]
+        high, low = halves(begun(value[first[row[hit]] + start], seeds[row[hit]], start == 0))
+        found = may_begin(high) & may_begin(low)
+        return np.bincount(hit[found], minlength=len(row)) > 0, hit[found], start[found]
 
     def marks(codes, lengths, seeds):
         """Selected (row, position, hash) of texts that lie one after another in ``codes``."""
         import numpy as np
 
-        multiplier = np.uint64(0x9E3779B97F4A7C15)
-        value, factor, size = codes.astype(np.uint64) + np.uint64(1), multiplier, 1
+        value = rolled(codes, gram)
         with np.errstate(over="ignore"):
-            while size < gram:  # grams of 2, 4, 8 and 16 characters by doubling
-                value = value[:-size] * factor + value[size:]
-                factor = factor * factor
-                size *= 2
             value ^= value >> np.uint64(29)
             value *= np.uint64(0xBF58476D1CE4E5B9)
             value ^= value >> np.uint64(32)
@@ -96,7 +151,7 @@ def _winnow(known: Broadcast | None):
         chosen = chosen[np.diff(chosen, prepend=-1) != 0]
         at = np.searchsorted(ends, chosen, side="right")
         with np.errstate(over="ignore"):
-            hashes = (value[chosen] ^ seeds[at]) * multiplier
+            hashes = (value[chosen] ^ seeds[at]) * np.uint64(multiplier)
         return at, chosen - (ends - lengths)[at], (hashes >> np.uint64(32)).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +170,21 @@ def _winnow(known: Broadcast | None):
                     stop += 1
                 part = texts[start:stop]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32)
-                row, position, value = marks(codes, np.array([len(t) for t in part]), seeds[start:stop])
+                lengths, own = np.array([len(t) for t in part]), seeds[start:stop]
+                row, position, value = marks(codes, lengths, own)
                 if passes is None:
                     more = {"first": pyarrow.array(np.diff(row, prepend=-1) != 0)}
                 else:
                     passed = passes(value)
                     row, position, value = row[passed], position[passed], value[passed]
-                    more = {"around": pyarrow.array(
+                    more = {}
+                    if may_begin is not None:
+                        may, hit, place = places(codes, lengths, own, row, position)
+                        row, position, value = row[may], position[may], value[may]
+                        counts = np.bincount(hit, minlength=len(may))[may]
+                        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                        more["starts"] = pyarrow.ListArray.from_arrays(ends, pyarrow.array(place.astype(np.int32)))
+                    more |= {"around": pyarrow.array(
                         [part[r][max(0, p - window + 1) : p + reach] for r, p in zip(row.tolist(), position.tolist())],
                         pyarrow.string(),
                     )}
@@ -136,11 +199,13 @@ def _winnow(known: Broadcast | None):
     return run
 
 
-def _marked(rows: DataFrame, known: Broadcast | None) -> DataFrame:
+def _marked(rows: DataFrame, known: Broadcast | None, begins: Broadcast | None = None) -> DataFrame:
     """``rows(..., part, text)`` winnowed; the hash of a gram depends on the part."""
     fields = rows.drop("text").schema.add("at", T.IntegerType()).add("gram", T.IntegerType())
+    if begins is not None:
+        fields = fields.add("starts", T.ArrayType(T.IntegerType()))
     fields = fields.add("first", T.BooleanType()) if known is None else fields.add("around", T.StringType())
-    return rows.withColumn("seed", F.xxhash64("part")).mapInArrow(_winnow(known), fields)
+    return rows.withColumn("seed", F.xxhash64("part")).mapInArrow(_winnow(known, begins), fields)
 
 
 def marks(posts: DataFrame) -> DataFrame:
@@ -155,6 +220,30 @@ def head_marks(posts: DataFrame) -> DataFrame:
     return marks(posts.withColumn("text", F.substring("text", 1, fv.MIN_POST_CHARS)))
 
 
+def head_begins(posts: DataFrame) -> DataFrame:
+    """``gram``: both halves of the keys that the beginnings of the heads of
+    ``posts(part, head)`` are known by, for :func:`gram_bits`."""
+    least, most, (rolled, begun, halves) = fv.MIN_POST_CHARS, fv.HEAD_CHARS, _hashes()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            short = batch.column("size").to_numpy(zero_copy_only=False) < most
+            codes = np.frombuffer("".join(batch.column("begin").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+            value = rolled(codes, least)[::least]
+            found = [begun(value, seeds, np.zeros(len(value), bool)), begun(value, seeds, short)[short]]
+            grams = np.concatenate([half for key in found for half in halves(key)])
+            yield pyarrow.record_batch({"gram": pyarrow.array(grams.view(np.int32))})
+
+    begin, size = F.substring("head", 1, least).alias("begin"), F.char_length("head").alias("size")
+    return posts.select(F.xxhash64("part").alias("seed"), begin, size).mapInArrow(keys, "gram int")
+
+
 def gram_bits(grams: DataFrame) -> Broadcast:
     """A bitmap in which the bit of every ``gram`` is set, put together block by block."""
 
@@ -177,10 +266,13 @@ def gram_bits(grams: DataFrame) -> Broadcast:
     return grams.sparkSession.sparkContext.broadcast(whole)
 
 
-def hits(posts: DataFrame, known: Broadcast) -> DataFrame:
+def hits(posts: DataFrame, known: Broadcast, begins: Broadcast | None = None) -> DataFrame:
     """``(part, node, own_head, at, gram, around)``: grams of ``posts`` that may be among the
-    known ones, and the characters around them."""
-    return _marked(posts.select("part", "node", F.col("head").alias("own_head"), "text"), known)
+    known ones, and the characters around them.
+
+    With a bitmap of :func:`head_begins`, only those in which a head that is not the post's
+    own may lie, with the ``starts`` of such heads."""
+    return _marked(posts.select("part", "node", F.col("head").alias("own_head"), "text"), known, begins)
 
 
 def marks_among(marked: DataFrame, known: Broadcast) -> DataFrame:
@@ -218,9 +310,12 @@ def possible_heads(found: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS)
     """``(part, head, node)``: texts of ``found`` (:func:`hits`) have these characters, not
     their own head, where a head of ``heads`` (:func:`head_marks`) may lie."""
     begin = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
+    spots = _at_spots(found, heads, hot_rows)
+    if "starts" in found.columns:
+        spots = spots.where(F.array_contains("starts", F.col("start")))
     # Whatever the size, the own head lies at the beginning.
     return (
-        _at_spots(found, heads, hot_rows)
+        spots
         .where(~((F.col("start") == 0) & (F.col("size") == F.char_length("own_head"))))
         .withColumn("head", F.substring(F.col("around"), F.col("start") - begin + 1, F.col("size")))
         .where((F.char_length("head") == F.col("size")) & (F.col("head") != F.col("own_head")))
@@ -234,9 +329,10 @@ def contained_heads(posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ``posts(part, node, text, head)``.
     """
     heads = cut_lineage(head_marks(posts), "head-grams")
-    known = gram_bits(heads)
-    found = cut_lineage(hits(posts, known), "grams")
-    known.destroy()
+    known, begins = gram_bits(heads), gram_bits(head_begins(posts))
+    found = cut_lineage(hits(posts, known, begins), "grams")
+    for bits in {known, begins}:
+        bits.destroy()
     candidates = cut_lineage(possible_heads(found, heads, hot_rows), "candidates")
     return lookup_join(candidates, posts.select("part", "head").distinct(), ["part", "head"], hot_rows)
 
