@@ -48,35 +48,43 @@ def _last_of_repeated_keys(whole: Column) -> Column:
     return F.when(F.size(objects) == 1, F.try_parse_json(F.to_json(F.map_from_entries(last))))
 
 
-def _field(obj: Column, name: str, kind: str) -> Column:
-    return F.try_variant_get(obj, f"$.{name}", kind)
+def _members(obj: Column) -> Column:
+    """The fields of an object by name; NULL for other values."""
+    return F.try_variant_get(obj, "$", "map<string,variant>")
 
 
-def _kind(obj: Column, name: str) -> Column:
+def _field(members: Column, name: str, kind: str) -> Column:
+    """A field of :func:`_members`.  A path to a field that is not there makes an exception
+    inside, which costs more than all the rest, and most fields are in few answers."""
+    value = F.try_element_at(members, F.lit(name))
+    return value if kind == "variant" else F.try_variant_get(value, "$", kind)
+
+
+def _kind(members: Column, name: str) -> Column:
     """JSON type of a field as Spark spells it: BOOLEAN, BIGINT, STRING, ARRAY<...>, ..."""
-    return F.schema_of_variant(_field(obj, name, "variant"))
+    return F.schema_of_variant(_field(members, name, "variant"))
 
 
-def _text(obj: Column, name: str) -> Column:
+def _text(members: Column, name: str) -> Column:
     """String or number as text.  False and 0 count as absent, other types do not fit."""
-    kind = _kind(obj, name)
-    value = _field(obj, name, "string")
+    kind = _kind(members, name)
+    value = _field(members, name, "string")
     is_number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
     return F.when(kind == "STRING", value).when(
-        is_number & (_field(obj, name, "double") != 0), value
+        is_number & (_field(members, name, "double") != 0), value
     )
 
 
-def _truthy(obj: Column, name: str) -> Column:
+def _truthy(members: Column, name: str) -> Column:
     """Python's idea of truth for any JSON value; NULL counts as false."""
-    kind = _kind(obj, name)
-    text = _field(obj, name, "string")
+    kind = _kind(members, name)
+    text = _field(members, name, "string")
     return F.coalesce(
-        F.when(kind == "BOOLEAN", _field(obj, name, "boolean"))
+        F.when(kind == "BOOLEAN", _field(members, name, "boolean"))
         .when(kind == "STRING", text != "")
-        .when(kind.startswith("ARRAY"), F.size(_field(obj, name, "array<variant>")) > 0)
+        .when(kind.startswith("ARRAY"), F.size(_field(members, name, "array<variant>")) > 0)
         .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(_field(obj, name, "double") != 0),
+        .otherwise(_field(members, name, "double") != 0),
         F.lit(False),
     )
 
@@ -101,28 +109,29 @@ def decode_predictions(predictions: DataFrame, widest: bool = False) -> DataFram
 
     ``model_empty`` tells whether nothing usable came back.
     """
-    obj = F.col("_obj")
-    columns = {f"model_{f}": _text(obj, f) for f in TEXT_FIELDS}
-    columns |= {f"model_{f}": _field(obj, f, "int") for f in NUMBER_FIELDS}
-    rent_text = _field(obj, "rent", "string")
+    obj, members = F.col("_obj"), F.col("_members")
+    columns = {f"model_{f}": _text(members, f) for f in TEXT_FIELDS}
+    columns |= {f"model_{f}": _field(members, f, "int") for f in NUMBER_FIELDS}
+    rent_text = _field(members, "rent", "string")
     columns |= {
-        "model_rent": F.when(_kind(obj, "rent") == "STRING", normal_rent_text(rent_text)).when(
-            _kind(obj, "rent") == "BIGINT", normal_rent(_field(obj, "rent", "bigint"))
+        "model_rent": F.when(_kind(members, "rent") == "STRING", normal_rent_text(rent_text)).when(
+            _kind(members, "rent") == "BIGINT", normal_rent(_field(members, "rent", "bigint"))
         ),
         "model_gated_community": F.when(
-            _kind(obj, "gated_community") != "VOID", _truthy(obj, "gated_community")
+            _kind(members, "gated_community") != "VOID", _truthy(members, "gated_community")
         ),
         "model_furnished": F.when(
-            _kind(obj, "furnished") == "STRING", _field(obj, "furnished", "string")
+            _kind(members, "furnished") == "STRING", _field(members, "furnished", "string")
         ),
-        "model_amenities": known_amenities(_field(obj, "amenities", "array<string>")),
-        "model_preferred_tenant": _text(obj, "preferred_tenant"),
+        "model_amenities": known_amenities(_field(members, "amenities", "array<string>")),
+        "model_preferred_tenant": _text(members, "preferred_tenant"),
         "model_empty": obj.isNull() | (F.to_json(obj) == "{}"),
     }
     return (
         predictions.withColumn("_obj", prediction_object(F.col("raw_output"), widest))
+        .withColumn("_members", _members(obj))
         .withColumns(columns)
-        .drop("_obj")
+        .drop("_obj", "_members")
     )
 
 
@@ -132,19 +141,20 @@ def raw_answers(predictions: DataFrame) -> DataFrame:
     The widest JSON object counts.  Nothing is checked against lists or bounds; a value
     that does not fit its column's type is NULL, and a number given as text fits.
     """
-    obj = F.col("_obj")
-    columns = {f"model_{f}": _field(obj, f, "string") for f in (*TEXT_FIELDS, "preferred_tenant")}
-    columns |= {f"model_{f}": _field(obj, f, "int") for f in (*NUMBER_FIELDS, "rent")}
-    one = F.when(_kind(obj, "amenities") == "STRING", F.array(_field(obj, "amenities", "string")))
+    obj, members = F.col("_obj"), F.col("_members")
+    columns = {f"model_{f}": _field(members, f, "string") for f in (*TEXT_FIELDS, "preferred_tenant")}
+    columns |= {f"model_{f}": _field(members, f, "int") for f in (*NUMBER_FIELDS, "rent")}
+    one = F.when(_kind(members, "amenities") == "STRING", F.array(_field(members, "amenities", "string")))
     columns |= {
-        "model_gated_community": _field(obj, "gated_community", "boolean"),
-        "model_amenities": F.coalesce(_field(obj, "amenities", "array<string>"), one),
+        "model_gated_community": _field(members, "gated_community", "boolean"),
+        "model_amenities": F.coalesce(_field(members, "amenities", "array<string>"), one),
         "model_empty": obj.isNull() | (F.to_json(obj) == "{}"),
     }
     return (
         predictions.withColumn("_obj", prediction_object(F.col("raw_output"), widest=True))
+        .withColumn("_members", _members(obj))
         .withColumns(columns)
-        .drop("_obj")
+        .drop("_obj", "_members")
     )
 
 
@@ -171,6 +181,17 @@ def merge_columns() -> dict[str, Column]:
     }
 
 
+def attach_answers(posts: DataFrame, predictions: DataFrame, on: str = "post_id") -> DataFrame:
+    """``posts`` with what the model said about each, NULL where it said nothing."""
+    return posts.join(predictions.select(on, "raw_output"), on, "left")
+
+
+def merge_answers(extracted: DataFrame) -> DataFrame:
+    """Extracted fields of posts with their answers (:func:`attach_answers`) completed by the model's."""
+    kept = [c for c in extracted.columns if c != "raw_output"]
+    return decode_predictions(extracted).withColumns(merge_columns()).select(*kept)
+
+
 def merge_predictions(extracted: DataFrame, predictions: DataFrame, on: str = "post_id") -> DataFrame:
     """Extracted fields completed by the model's; posts without prediction stay as they are."""
     decoded = decode_predictions(predictions.select(on, "raw_output")).drop("raw_output")

@@ -126,6 +126,12 @@ def admit_new_two_keys(
     if stored is not None:
         for name, digest in digests.items():
             keyed = keyed.join(stored.withColumn(order, F.lit(None)).select(digest.alias(name)), name, "left_anti")
+    return rows.join(entering(keyed, order), order, "left_semi")
+
+
+def entering(keyed: DataFrame, order: str = "id") -> DataFrame:
+    """Rows of ``keyed(order, _text, _triple)``, digests or NULL, that enter by
+    :func:`admit_new_two_keys`, as one column ``order``."""
     # Without one of the keys a row is not folded with others.
     own = F.when(F.col("_text").isNull() | F.col("_triple").isNull(), F.col(order)).alias("own")
     firsts = cut_lineage(keyed.groupBy("_text", "_triple", own).agg(F.min(order).alias("node")).drop("own"), "keys")
@@ -137,8 +143,7 @@ def admit_new_two_keys(
     incidence = shared.distinct().select(
         "node", F.col("node").alias("ord"), "edge", F.lit(True).alias("member")
     )
-    entered = single.unionByName(first_come(incidence)).withColumnRenamed("node", order)
-    return rows.join(entered, order, "left_semi")
+    return single.unionByName(first_come(incidence)).withColumnRenamed("node", order)
 
 
 def copy_new(source: DataFrame, target: DataFrame | None, order=("id",)) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut_lineage
@@ -36,11 +36,13 @@ def first_come(incidence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     without waiting rows leave the loop.
     """
     rows = cut_lineage(incidence.withColumn("kept", F.lit(False)), "conflicts")
+    # Rounds only take rows away, so that crowded edges are looked for once.
+    crowded = not rows.groupBy("edge").count().where(F.col("count") > hot_rows).isEmpty()
     results = []
     rounds = 0
     while not rows.where(~F.col("kept")).isEmpty():
         decide = _round if rounds < PLAIN_ROUNDS else _chain_round
-        after = cut_lineage(decide(rows, hot_rows), "conflicts")
+        after = cut_lineage(decide(rows, hot_rows if crowded else None), "conflicts")
         results.append(after.where("kept").select("node"))
         rows = after.where("waits").drop("waits")
         rounds += 1
@@ -49,54 +51,61 @@ def first_come(incidence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return reduce(DataFrame.unionByName, results).distinct()
 
 
-def _round(rows: DataFrame, hot_rows: int) -> DataFrame:
+def _with_edges(rows: DataFrame, values: dict[str, Column], hot_rows: int | None) -> DataFrame:
+    """``rows`` with the aggregated ``values`` of their edge.
+
+    Where no edge is crowded, which ``hot_rows`` None tells, a window has them in one shuffle."""
+    if hot_rows is None:
+        edge = Window.partitionBy("edge")
+        return rows.select("*", *[value.over(edge).alias(name) for name, value in values.items()])
+    edges = rows.groupBy("edge").agg(*[value.alias(name) for name, value in values.items()])
+    return lookup_join(rows, edges, ["edge"], hot_rows)
+
+
+def _firsts() -> dict[str, Column]:
+    """Of an edge: its first row and member, and its first kept ones."""
     member, kept, order = F.col("member"), F.col("kept"), F.col("ord")
-    edges = rows.groupBy("edge").agg(
-        F.min(order).alias("first_any"),
-        F.min(F.when(member, order)).alias("first_member"),
-        F.min(F.when(kept, order)).alias("kept_any"),
-        F.min(F.when(member & kept, order)).alias("kept_member"),
-        F.max(~kept).alias("waits"),
-    )
+    return {
+        "first_any": F.min(order), "first_member": F.min(F.when(member, order)),
+        "kept_any": F.min(F.when(kept, order)), "kept_member": F.min(F.when(member & kept, order)),
+    }
+
+
+def _round(rows: DataFrame, hot_rows: int | None) -> DataFrame:
+    member, order, node = F.col("member"), F.col("ord"), Window.partitionBy("node")
+    edges = _with_edges(rows, _firsts() | {"waits": F.max(~F.col("kept"))}, hot_rows)
     # A member conflicts with every row on the edge, others with members only.
     rival = F.when(member, F.col("first_any")).otherwise(F.col("first_member"))
     kept_rival = F.when(member, F.col("kept_any")).otherwise(F.col("kept_member"))
-    met = cut_lineage(
-        lookup_join(rows, edges, ["edge"], hot_rows).select(
-            "edge", "node", "ord", "member", "waits",
-            F.coalesce(rival < order, F.lit(False)).alias("blocked"),
-            F.coalesce(kept_rival < order, F.lit(False)).alias("dropped"),
-        ),
-        "met",
+    met = edges.select(
+        "edge", "node", "ord", "member", "waits",
+        F.coalesce(rival < order, F.lit(False)).alias("blocked"),
+        F.coalesce(kept_rival < order, F.lit(False)).alias("dropped"),
     )
-    fate = met.groupBy("node").agg(
-        F.max("dropped").alias("dropped"), (~F.max("blocked")).alias("kept")
-    )
-    return (
-        met.drop("blocked", "dropped")
-        .join(fate.where(~F.col("dropped")).drop("dropped"), "node")
-        .select("edge", "node", "ord", "member", "kept", "waits")
+    # A row meets few edges.
+    fate = met.select(
+        "edge", "node", "ord", "member", "waits",
+        F.max("dropped").over(node).alias("dropped"), (~F.max("blocked").over(node)).alias("kept"),
     )
+    return fate.where(~F.col("dropped")).select("edge", "node", "ord", "member", "kept", "waits")
 
 
-def _chain_round(rows: DataFrame, hot_rows: int) -> DataFrame:
+def _chain_round(rows: DataFrame, hot_rows: int | None) -> DataFrame:
     """A round that follows single rivals; columns as of :func:`_round`."""
     member, kept, order = F.col("member"), F.col("kept"), F.col("ord")
-    first = rows.groupBy("edge").agg(
-        F.min(order).alias("first_any"), F.min(F.when(member, order)).alias("first_member"),
-        F.min(F.when(kept, order)).alias("kept_any"), F.min(F.when(member & kept, order)).alias("kept_member"),
-    )
-    met = cut_lineage(lookup_join(rows, first, ["edge"], hot_rows), "met")
-    second = met.groupBy("edge").agg(
-        F.min(F.when(order > F.col("first_any"), order)).alias("second_any"),
-        F.min(F.when(member & (order > F.col("first_member")), order)).alias("second_member"),
-        F.max(~kept).alias("waits"),
-    )
+    met = _with_edges(rows, _firsts(), hot_rows)
+    if hot_rows is not None:
+        met = cut_lineage(met, "met")  # read twice below
+    second = {
+        "second_any": F.min(F.when(order > F.col("first_any"), order)),
+        "second_member": F.min(F.when(member & (order > F.col("first_member")), order)),
+        "waits": F.max(~kept),
+    }
     rival = F.when(member, F.col("first_any")).otherwise(F.col("first_member"))
     other = F.when(member, F.col("second_any")).otherwise(F.col("second_member"))
     kept_rival = F.when(member, F.col("kept_any")).otherwise(F.col("kept_member"))
     met = cut_lineage(
-        lookup_join(met, second, ["edge"], hot_rows).select(
+        _with_edges(met, second, hot_rows).select(
             "edge", "node", "ord", "member", "waits",
             F.when(rival < order, rival).alias("rival"),
             F.coalesce(other < order, F.lit(False)).alias("several"),

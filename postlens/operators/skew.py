@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
-def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Inner join of ``big`` with ``lookup`` (one row per key), hot keys spread out.
 
     A key with more than ``hot_rows`` rows in ``big`` is split into slices of about that
     size, and its single lookup row is repeated once per slice.  Whether the table of
-    such keys is broadcast is left to Spark, which knows its size.
+    such keys is broadcast is left to Spark, which knows its size.  With ``hot_rows`` None
+    the caller knows that there are none.
     """
+    if hot_rows is None:
+        return big.join(lookup, on)
     hot = (
         big.groupBy(*on)
         .count()

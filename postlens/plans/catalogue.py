@@ -584,10 +584,13 @@ def _tasks(spark) -> int | None:
     return int(tasks) if tasks else None
 
 
-def _in_batches(spark, rows: DataFrame, order: str, out: str, batches: int, start) -> None:
-    """Land ``rows`` in so many parts in the given order.  ``start(stream)`` begins a query over
-    what has landed; with one checkpoint and all that is there, each part is one micro-batch,
-    in as many files as its rows ask for."""
+def _in_batches(spark, rows: DataFrame, order: str, out: str, batches: int, start, form=None) -> None:
+    """Land ``rows``, or what ``form`` makes of them, in so many parts in the given order.
+    ``start(stream)`` begins a query over what has landed; with one checkpoint and all that is
+    there, each part is one micro-batch, in as many files as its rows ask for.
+
+    Rows are dealt out to the files before ``form`` makes texts of them."""
+    form = form or (lambda part: part)
     low, high, count = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     step = ((high or 0) - (low or 0)) // batches + 1
     files = count // (batches * LANDED_ROWS) + 1
@@ -595,8 +598,9 @@ def _in_batches(spark, rows: DataFrame, order: str, out: str, batches: int, star
         first = (low or 0) + k * step
         part = rows.where(F.col(order).between(first, first + step - 1))
         dealt = part.repartition(files, order) if files > 1 else part.coalesce(1)
-        dealt.write.mode("append").parquet(f"{out}/landed")
-        start(spark.readStream.schema(rows.schema).parquet(f"{out}/landed")).awaitTermination()
+        landing = form(dealt)
+        landing.write.mode("append").parquet(f"{out}/landed")
+        start(spark.readStream.schema(landing.schema).parquet(f"{out}/landed")).awaitTermination()
 
 
 def stream_ingest_listings(spark, sf_dir):
@@ -609,9 +613,9 @@ def stream_ingest_listings(spark, sf_dir):
 def stream_ingest_merged(spark, sf_dir):
     """Posts in four micro-batches, with predictions and both uniqueness rules."""
     out = new_folder(spark, "stream-merged")
-    _in_batches(spark, posts(spark, sf_dir), "post_id", out, 4, lambda incoming: stream_ingest.start_ingest(
+    _in_batches(spark, table(spark, sf_dir, "orders"), "o_orderkey", out, 4, lambda incoming: stream_ingest.start_ingest(
         incoming, f"{out}/listings", f"{out}/checkpoint", predictions=predictions(spark, sf_dir), tasks=_tasks(spark)
-    ))
+    ), fixture.posts_from_orders)
     return spark.read.parquet(f"{out}/listings").select("id", "contact", "bhk", "location")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import enrich
 from ..functions.extract import extract_fields, extract_phone
-from ..functions.predictions import NUMBER_FIELDS, TEXT_FIELDS, merge_predictions, raw_answers
+from ..functions.predictions import NUMBER_FIELDS, TEXT_FIELDS, attach_answers, merge_answers, raw_answers
 from ..operators.dedupe import admit_new, admit_new_two_keys, copy_new
 from ..operators.near_copies import drop_near_copies
 from ..operators.stats import run_counters
@@ -24,9 +24,13 @@ def to_listings(
 
     ``created_at`` is the time of collection when the posts carry none.
     """
+    if predictions is not None:
+        # Joined before the fields are there, so that few columns are shuffled and no answer
+        # is decoded in vain.
+        posts = attach_answers(posts, predictions)
     fields = extract_fields(posts)
     if predictions is not None:
-        fields = merge_predictions(fields, predictions)
+        fields = merge_answers(fields)
     rows = enrich(fields.withColumnRenamed("text", "raw_text"))
     if groups is not None:
         rows = attach_groups(rows, groups)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedupe import admit_new, admit_new_two_keys, text_key, triple_key
+from ..operators.dedupe import admit_new, entering, text_key, triple_key
 from ..operators.near_copies import (
     as_posts, gram_bits, head_marks, heads_in_texts, hits, long_enough, marks, marks_among, possible_heads, survivors,
 )
@@ -22,6 +22,8 @@ from .runs import run_id
 
 #: Buckets of an index.  A table keeps the number that it was begun with.
 BUCKETS = 32
+#: Posts that a task extracts, about.
+TASK_ROWS = 20_000
 KEYS = T.StructType([T.StructField("key", T.BinaryType())])
 CORRUPT = "_corrupt_record"
 
@@ -62,9 +64,30 @@ def _not_stored(rows: DataFrame, index: BucketIndex, run: str, batch_id: int) ->
     return rows
 
 
-def _new_keys(rows: DataFrame) -> DataFrame:
-    keys = F.explode(F.array(*(F.when(k["kind"] != "row", _digest(k)) for k in (text_key(), triple_key()))))
-    return rows.select(keys.alias("key")).where("key IS NOT NULL")
+def _keys() -> dict[str, Column]:
+    """Digests of the keys of a row; NULL where it is known by its id only."""
+    return {name: F.when(k["kind"] != "row", _digest(k)) for name, k in (("_text", text_key()), ("_triple", triple_key()))}
+
+
+def _new_keys(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.explode(F.array("_text", "_triple")).alias("key")).where("key IS NOT NULL")
+
+
+def _admit_two_keys(rows: DataFrame, index: BucketIndex, run: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch that enter when equal texts may have different triples, and their keys.
+
+    Only keys are looked up and compared; ``rows(_row, _text, _triple, ...)``, numbered and
+    with their :func:`_keys`, are joined once."""
+    fresh = rows.select("_row", "id", "_text", "_triple")
+    if index.settled(run, batch_id):
+        for name in ("_text", "_triple"):
+            touched = index.touched(fresh.where(F.col(name).isNotNull()), name)
+            known = index.find(touched, run, batch_id).select(F.col("key").alias(name))
+            fresh = cut_lineage(fresh.join(known, name, "left_anti"), "fresh-keys")
+    # Half of a digest is enough to tell the keys of one batch from each other.
+    half = [F.substring(name, 1, 16).alias(name) for name in ("_text", "_triple")]
+    entered = cut_lineage(fresh.join(entering(fresh.select("id", *half)), "id", "left_semi"), "entered-keys")
+    return rows.join(entered.select("_row"), "_row", "left_semi").drop("_row", "_text", "_triple"), entered
 
 
 class NearCopies:
@@ -181,15 +204,21 @@ def start_ingest(
         index = key_index(spark, table, buckets)
         said = predictions
         if said is not None:
-            # Only the answers to the posts of this batch are decoded.
-            said = said.join(good.select("post_id"), "post_id", "left_semi")
-        rows = cut_lineage(to_listings(good, groups, said), "batch-listings")
-        fresh = _not_stored(rows, index, name, batch_id)
-        admitted = admit_new(fresh) if predictions is None else admit_new_two_keys(cut_lineage(fresh, "fresh"))
+            # Answers to ids beyond those of the batch are not even shuffled.
+            *ends, count = batch.agg(F.min("post_id"), F.max("post_id"), F.count(F.lit(1))).first()
+            said = said.where(F.col("post_id").between(*map(F.lit, ends)))
+            # Texts take long for their size, so that their number tells how many tasks they are worth.
+            good = good.repartition(max(tasks or 1, count // TASK_ROWS + 1), "post_id")
+        listings = to_listings(good, groups, said)
+        if predictions is None:
+            admitted, keys = admit_new(_not_stored(cut_lineage(listings, "batch-listings"), index, name, batch_id)), None
+        else:
+            keyed = listings.withColumns(_keys() | {"_row": F.monotonically_increasing_id()})
+            admitted, keys = _admit_two_keys(cut_lineage(keyed, "batch-listings"), index, name, batch_id)
         admitted.write.mode("overwrite").parquet(_batch_path(table, name, batch_id))
         # Read back: the keys are those of the rows that were written.
         written = spark.read.schema(admitted.schema).parquet(_batch_path(table, name, batch_id))
-        index.append(_new_keys(written), name, batch_id)
+        index.append(_new_keys(written.withColumns(_keys()) if keys is None else keys), name, batch_id)
         if after_batch:
             after_batch(written, batch_id)
         batch.unpersist()
